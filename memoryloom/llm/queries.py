@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding, warc
+from . import decontaminate, neardup, quality, repeats, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -28,7 +40,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_sharding": op5_sharding,
+    "op6_repeats": op6_repeats,
     "op8_decontamination": op8_decontamination,
     "op10_warc": op10_warc,
 }
@@ -57,6 +72,29 @@ ORACLES: dict[str, str] = {
           FROM sized),
         dealt AS (SELECT *, least(15, ((2 * p + size) * 16 // (2 * total)))::INT AS shard FROM placed)
         SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, pos - min(pos) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM dealt""",
+    "op4_near_duplicates": r"""
+        WITH RECURSIVE doc AS (
+          SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+          FROM documents),
+        shingle AS (SELECT DISTINCT r, doc_id, ws[i:i + 4] AS s FROM (SELECT r, doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM doc WHERE len(ws) > 0)),
+        size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+        shared AS (SELECT a.r AS x, b.r AS y, a.doc_id AS dx, b.doc_id AS dy, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+        link AS (SELECT dx, dy FROM shared JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+        both AS (SELECT dx AS a, dy AS b FROM link UNION SELECT dy, dx FROM link),
+        reach(a, b) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a),
+        least_ AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, component_id, doc.doc_id = component_id AS kept
+        FROM doc LEFT JOIN size USING (r) JOIN least_ ON least_.a = doc.doc_id""",
+    "op6_repeats": r"""
+        WITH doc AS (
+          SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        win AS (SELECT r, doc_id, i, ws[i:i + 19] AS w FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM doc WHERE len(ws) >= 20)),
+        placed AS (SELECT r, i, {'d': doc_id, 'i': i} AS here, min({'d': doc_id, 'i': i}) OVER (PARTITION BY w) AS earliest FROM win),
+        gone AS (SELECT r, list(DISTINCT pos) AS gone FROM (SELECT r, unnest(range(i, i + 20)) AS pos FROM placed WHERE here > earliest) GROUP BY r),
+        kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS body FROM (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM doc) LEFT JOIN gone USING (r)
+          WHERE gone IS NULL OR NOT list_contains(gone, i) GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM doc LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)""",
     "op8_decontamination": r"""
         WITH item AS (
           SELECT item_id::VARCHAR AS item, list_filter(string_split_regex(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws

@@ -24,11 +24,16 @@ def quantile_cuts(df: DataFrame, key: str, rows_per_bucket: int) -> list[int]:
     return sorted({row["lo"], *(row["q"] if shares else [])})
 
 
+def cuts_array(cuts: list[int]) -> Column:
+    """The cuts as one folded literal."""
+    return F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+
+
 def bucket_of(key: Column, cuts: list[int]) -> Column:
     """The number of cuts at or below key, found by binary search inside the row; null keys go to 0."""
     if not cuts:
         return F.lit(0)
-    bounds = F.expr("transform(split('" + ",".join(map(str, cuts)) + "', ','), x -> cast(x as bigint))")
+    bounds = cuts_array(cuts)
     step, steps = 1, []
     while step <= len(cuts):
         steps.insert(0, step)

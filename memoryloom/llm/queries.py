@@ -80,8 +80,8 @@ ORACLES: dict[str, str] = {
         size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
         shared AS (SELECT a.r AS x, b.r AS y, a.doc_id AS dx, b.doc_id AS dy, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
         link AS (SELECT dx, dy FROM shared JOIN size p ON p.r = x JOIN size q ON q.r = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
-        both AS (SELECT dx AS a, dy AS b FROM link UNION SELECT dy, dx FROM link),
-        reach(a, b) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a),
+        pairs AS (SELECT dx AS a, dy AS b FROM link UNION SELECT dy, dx FROM link),
+        reach(a, b) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
         least_ AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
         SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, component_id, doc.doc_id = component_id AS kept
         FROM doc LEFT JOIN size USING (r) JOIN least_ ON least_.a = doc.doc_id""",

@@ -1,8 +1,72 @@
-"""A training-data pipeline over the documents table, each stage one of the llm operators."""
+"""A training-data pipeline over the documents table, each stage one of the llm operators.
 
-STAGES = []
+Each stage works on all rows that the stage before it kept and takes (spark, docs, sf_dir). All but the last return the
+columns of documents:
+
+1. quality: rows whose text the compression classifier scores under 0.5 go;
+2. near_duplicates: of each group of near-duplicate documents the one with the least doc_id stays (one row of it);
+3. decontamination: stretches of benchmark text go, and documents of which more than half is such text;
+4. personal_data: personal data is replaced by its kind;
+5. pieces: texts are encoded; returns doc_id, lang, source, n_pieces, pieces and lossless.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memoryloom.llm import decontaminate, neardup, personal, pieces, quality
+from memoryloom.llm.scratch import drop, stage
+
+#: No SQL: a trained classifier decides what the later stages see.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without doc_id stay; of rows that repeat a kept doc_id the one with the least text hash stays."""
+    found = neardup.near_duplicates(docs)
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti")
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 and doc_id is not null").select("doc_id")
+    again = rest.join(twice, "doc_id").select("doc_id", F.xxhash64("text").alias("_t")).groupBy("doc_id").agg(F.min("_t").alias("_least"))
+    kept = rest.join(again, "doc_id", "left").filter(F.col("_least").isNull() | F.xxhash64("text").eqNullSafe(F.col("_least")))
+    once = kept.filter("_least is null").select(*docs.columns)
+    return once.unionByName(kept.filter("_least is not null").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return personal.redact(docs)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs.select("doc_id", "lang", "source", "text"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("personal_data", personal_data_stage),
+    ("pieces", pieces_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after another over documents, each staged as Parquet and read again by the next."""
+
+    def step(docs: DataFrame, function) -> DataFrame:
+        out = stage(function(spark, docs, sf_dir), "pipeline")
+        drop(docs)
+        return out
+
+    return reduce(step, (f for _, f in STAGES), spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -147,6 +147,20 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, te
     return links
 
 
+def _open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
+    """The likely pairs, not tried yet, of members of one bucket that are in different components; staged."""
+    named = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("bucket", "members", "class_id", "component")
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("bucket")
+    open_ = stage(named.join(mixed, "bucket").join(classes.select("class_id", "sketch", "n_shingles"), "class_id"), "open-buckets")
+    n = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = open_.withColumn("block", F.pmod(F.xxhash64("class_id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component", "n_shingles", "sketch")
+    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(_across, "a long, b long").distinct()
+    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    drop(open_)
+    return rest
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -174,21 +188,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = _confirm(docs, classes, stars, key, text)
     labels = components(links)
 
-    named = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("bucket", "members", "class_id", "component")
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("bucket")
-    open_ = stage(named.join(mixed, "bucket").join(classes.select("class_id", "sketch", "n_shingles"), "class_id"), "open-buckets")
-    n = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = open_.withColumn("block", F.pmod(F.xxhash64("class_id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component", "n_shingles", "sketch")
-    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(_across, "a long, b long").distinct()
-    rest = stage(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _confirm(docs, classes, rest, key, text)
+    rest = _open_pairs(members, labels, classes, stars)
+    settled = rest.limit(1).count() == 0
+    more = links if settled else _confirm(docs, classes, rest, key, text)
 
     classed = sketches.join(classes.select("digest", "class_id"), "digest", "left").select("doc_id", "n_shingles", "class_id")
     twice = known.groupBy("doc_id").agg(F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).filter("_lo <> _hi").select("doc_id")
     bridges = classed.join(twice, "doc_id").filter("class_id is not null").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    final = components(links.union(more).union(bridges))
+    final = labels if settled and bridges.limit(1).count() == 0 else components(links.union(more).union(bridges))
     out = classed.join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "class_id", "doc_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    drop(members, stars, open_, rest)
+    drop(members, stars, rest)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -18,13 +18,15 @@ from .words import WordHashes, gram_hashes, spaced_words
 SHINGLE = 5
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Registers; a band is ROWS neighbouring ones. At a similarity of 0.75 all BANDS bands miss once in 10^7 pairs.
-ROWS, BANDS = 3, 32
+#: Registers; a band is ROWS neighbouring ones. At a similarity of 0.75 all BANDS bands miss 3 in 10^5 pairs, at 0.8
+#: 2 in 10^7.
+ROWS, BANDS = 5, 38
 REGISTERS = ROWS * BANDS
 #: SetSketch parameters: base, rate and the largest register value (two bytes).
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-#: Pairs estimated below this go unverified: more than four standard errors under the threshold.
-LEAST_ESTIMATE = 0.53
+#: Pairs estimated below this go unverified: it is 3.2 standard errors under the threshold. Pairs with fewer equal
+#: registers than LEAST_EQUAL, 4.8 standard errors under it, are not estimated at all.
+LEAST_ESTIMATE, LEAST_EQUAL = 0.65, 0.60
 #: Members of a bucket that are compared at once.
 BLOCK = 256
 _HASH_ROWS = 1024
@@ -72,6 +74,17 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, cells
     return np.take_along_axis(grid, score.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether pairs may be similar enough. Sizes too different for it are ruled out exactly, the rest by estimate."""
+    out = 100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb)
+    out[out] = (a[out] == b[out]).sum(axis=1) >= LEAST_EQUAL * REGISTERS
+    at = np.flatnonzero(out)
+    for i in range(0, len(at), 4096):
+        k = at[i : i + 4096]
+        out[k] = estimate(a[k], b[k], na[k], nb[k]) >= LEAST_ESTIMATE
+    return out
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
@@ -98,64 +111,76 @@ def _rows(column: pa.Array | pd.Series) -> np.ndarray:
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = []
-        for i in range(0, batch.num_rows, 8192):
-            b = batch.slice(i, 8192)
-            parts.append(estimate(_rows(b.column("sketch_a")), _rows(b.column("sketch_b")), b.column("n_a").to_numpy(), b.column("n_b").to_numpy()) >= LEAST_ESTIMATE)
-        if parts:
-            yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(parts)))
+        if batch.num_rows:
+            mask = likely(_rows(batch.column("sketch_a")), _rows(batch.column("sketch_b")), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(mask))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
-    for batch in batches:
-        keep, last = [], (None, None)
+    for batch in (part for whole in batches for part in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500))):
+        keep, shared, last = [], [], (None, None)
         for ta, tb, da, db in zip(*(batch.column(c).to_pylist() for c in ("text_a", "text_b", "digest_a", "digest_b")), strict=True):
             sa = last[1] if last[0] == ta else shingle_set(ta, cache)
             last, sb = (ta, sa), shingle_set(tb, cache)
             both = len(np.intersect1d(sa, sb, assume_unique=True))
             mine = xxhash.xxh3_128_digest(sa.tobytes()) == da and xxhash.xxh3_128_digest(sb.tobytes()) == db
             keep.append(mine and 100 * both >= THRESHOLD * (len(sa) + len(sb) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            shared.append(both if mine else None)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(keep, pa.bool_())], names=["a", "b", "shared", "linked"])
 
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components that look similar, between the two blocks of a bucket in pdf."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    """Pairs of different components that look similar, between the two blocks of a bucket in pdf.
+
+    What two sets share is at most what both share with the bucket's hub, plus what neither does: where that is known
+    and too little, the pair is ruled out. A pair is reported by the first band in which its registers agree, and by no
+    other bucket.
+    """
+    i, j, band = (int(pdf[c].iloc[0]) for c in ("i", "j", "band"))
     left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
     sl, sr, out = _rows(left["sketch"]), _rows(right["sketch"]), []
     nl, nr = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
     cl, cr = left["component"].to_numpy(), right["component"].to_numpy()
+    hl, hr = left["with_hub"].to_numpy(float), right["with_hub"].to_numpy(float)
     il, ir = left["class_id"].to_numpy(), right["class_id"].to_numpy()
     for k in range(len(left)):
         others = np.flatnonzero((cr != cl[k]) & ((ir > il[k]) if i == j else True))
+        most = np.minimum(hr[others], hl[k]) + np.minimum(nr[others] - hr[others], nl[k] - hl[k])
+        others = others[~(100 * most < THRESHOLD * (nr[others] + nl[k] - most))]  # unknown (nan) stays
+        if len(others) and band:
+            agree = (sr[others, : band * ROWS] == sl[k, : band * ROWS]).reshape(len(others), band, ROWS).all(axis=2).any(axis=1)
+            others = others[~agree]
         if len(others):
-            est = estimate(np.broadcast_to(sl[k], (len(others), REGISTERS)), sr[others], np.full(len(others), nl[k]), nr[others])
-            out += [(min(il[k], ir[o]), max(il[k], ir[o])) for o in others[est >= LEAST_ESTIMATE]]
+            mask = likely(np.broadcast_to(sl[k], (len(others), REGISTERS)), sr[others], np.full(len(others), nl[k]), nr[others])
+            out += [(min(il[k], ir[o]), max(il[k], ir[o])) for o in others[mask]]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough, staged."""
+    """(a, b, shared, linked) of pairs of class ids: the size of their full sets' intersection, and whether it is large
+    enough; staged. A class may have several rows here, of which at least one is of its own text."""
     ends = stage(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct(), "ends")
     ids = ends.withColumnRenamed("class_id", key)
     texts = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("binary").alias("text")).join(ids, key, "left_semi")
     texts = stage(texts.withColumnRenamed(key, "class_id").join(classes.select("class_id", "digest"), "class_id"), "end-texts")
     side = lambda x: texts.select(F.col("class_id").alias(x), F.col("text").alias(f"text_{x}"), F.col("digest").alias(f"digest_{x}"))
-    links = stage(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verified, "a long, b long").distinct(), "confirmed")
+    links = stage(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verified, "a long, b long, shared long, linked boolean").filter("shared is not null").distinct(), "confirmed")
     drop(ends, texts)
     return links
 
 
 def _open_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
     """The likely pairs, not tried yet, of members of one bucket that are in different components; staged."""
-    named = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("bucket", "members", "class_id", "component")
+    named = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("bucket", "band", "members", "hub", "class_id", "component")
     mixed = named.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("bucket")
-    open_ = stage(named.join(mixed, "bucket").join(classes.select("class_id", "sketch", "n_shingles"), "class_id"), "open-buckets")
+    open_ = named.join(mixed, "bucket").join(classes.select("class_id", "sketch", "n_shingles"), "class_id").withColumns({"a": F.least("hub", "class_id"), "b": F.greatest("hub", "class_id")})
+    known = F.when(F.col("hub") == F.col("class_id"), F.col("n_shingles")).otherwise(F.col("shared"))
+    open_ = stage(open_.join(tried.select("a", "b", "shared"), ["a", "b"], "left").withColumn("with_hub", known).drop("a", "b", "shared", "hub"), "open-buckets")
     n = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = open_.withColumn("block", F.pmod(F.xxhash64("class_id"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component", "n_shingles", "sketch")
-    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(_across, "a long, b long").distinct()
+    dealt = dealt.select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component", "n_shingles", "with_hub", "sketch")
+    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(_across, "a long, b long")
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     drop(open_)
     return rest
@@ -170,27 +195,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     linked with nothing and have no component_id. Only the two columns are read.
 
     Equal sets are one class from the start. In each bucket of a band the members are first paired with a hub of the
-    bucket alone (another in each band); what is confirmed is united. Only buckets with several components then have
+    bucket alone; what is confirmed is united. Only buckets with several components then have
     their remaining pairs compared, in blocks, so a large group costs its size and not its square.
     """
     sketches = stage(sketch_documents(docs, key, text), "sketches")
     known = sketches.filter("digest is not null and doc_id is not null")
     classes = stage(known.groupBy("digest", "n_shingles", "sketch").agg(F.min("doc_id").alias("class_id")), "classes")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("band", "part")
-    bands = classes.select("class_id", band).select("class_id", F.xxhash64("band", "part").alias("bucket"))
-    hubs = stage(bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min_by("class_id", F.xxhash64("class_id", "bucket")).alias("hub")).filter("members > 1"), "hubs")
-    members = stage(bands.join(hubs, "bucket"), "members")
-    drop(hubs)
+    bands = classes.select("class_id", band).select("class_id", "band", F.xxhash64("band", "part").alias("bucket"))
+    shared = stage(bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
+    met = stage(bands.join(shared, "bucket"), "met")
+    drop(shared)
+    # the hub of a bucket is the member that meets most others in all its buckets, as an original does its copies
+    fame = met.groupBy("class_id").agg((F.sum("members") * (1 << 20) + F.pmod(F.xxhash64("class_id"), F.lit(1 << 20))).alias("fame"))
+    hubs = met.select("bucket", "class_id").join(fame, "class_id").groupBy("bucket").agg(F.max_by("class_id", "fame").alias("hub"))
+    members = stage(met.join(hubs, "bucket"), "members")
+    drop(met)
 
     shape = lambda x: classes.select(F.col("class_id").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     stars = members.filter("hub <> class_id").select(F.least("hub", "class_id").alias("a"), F.greatest("hub", "class_id").alias("b")).distinct()
     stars = stage(stars.join(shape("a"), "a").join(shape("b"), "b").mapInArrow(_likely, "a long, b long").distinct(), "stars")
-    links = _confirm(docs, classes, stars, key, text)
+    tried = _confirm(docs, classes, stars, key, text)
+    links = tried.filter("linked").select("a", "b")
     labels = components(links)
 
-    rest = _open_pairs(members, labels, classes, stars)
+    rest = _open_pairs(members, labels, classes, tried)
     settled = rest.limit(1).count() == 0
-    more = links if settled else _confirm(docs, classes, rest, key, text)
+    more = links if settled else _confirm(docs, classes, rest, key, text).filter("linked").select("a", "b")
 
     classed = sketches.join(classes.select("digest", "class_id"), "digest", "left").select("doc_id", "n_shingles", "class_id")
     twice = known.groupBy("doc_id").agg(F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).filter("_lo <> _hi").select("doc_id")

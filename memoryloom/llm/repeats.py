@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +23,7 @@ GRAM = 6
 HEAVY = 4000
 #: Stretches of text that one automaton is compiled for and streamed over.
 CHUNK = 4000
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,8 +32,13 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         none = np.empty(0, np.int64)
         return none, np.empty(0, np.uint64), none, none
     grams = gram_hashes(hashes, GRAM)
-    views = sliding_window_view(grams, WINDOW - GRAM + 1)
-    at = np.arange(len(views)) + views.argmin(axis=1)
+    # high bits order the runs, low bits are their places: the least of both is the leftmost least run
+    least, width, span = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64), 1, WINDOW - GRAM + 1
+    while 2 * width <= span:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    if width < span:
+        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    at = (least & ~_HIGH).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.concatenate((first[1:] - 1, [len(at) - 1]))
     return at[first], grams[at[first]], first, last
@@ -83,65 +88,64 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     over. Rows with passage null: words [start, end) pairs to remove; others: the first place of a passage in a part of
     a heavy group, to be held against the other parts.
     """
-    cache, seen, group = WordHashes(), {}, None
+    cache, seen, group = WordHashes(), {}, None  # seen: the open group's passages -> their first places
     for whole in batches:
         for i in range(0, whole.num_rows, CHUNK):
             batch = whole.slice(i, CHUNK)
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("gram", "salt", "parts", "doc_id", "tkey", "lo", "body")), strict=True))
-            hashes = [cache.of(r[6].split(b" ")) for r in rows]
+            gram, salt, parts, doc, tkey, lo = (batch.column(c).to_numpy() for c in ("gram", "salt", "parts", "doc_id", "tkey", "lo"))
+            hashes = [cache.of(body.split(b" ")) for body in batch.column("body").to_pylist()]
             sizes = np.array([len(h) for h in hashes])
-            flat, ids = np.unique(np.concatenate(hashes), return_inverse=True)
-            ids = ids + 1
-            keys = [gram_hashes(h, WINDOW).tolist() for h in hashes]
-            first: dict[tuple, tuple] = {}  # (group, passage) -> its first place
-            again: dict[tuple, int] = {}  # (anchor, passage) of what recurs -> where its words are
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-            for n, (gram, salt, _, doc, _, lo, _) in enumerate(rows):
-                for k, key in enumerate(keys[n]):
-                    name = (gram, salt, key)
-                    if (gram, salt) == group and key in seen or name in first:
-                        again.setdefault((gram, key), offsets[n] + k)
-                    if name not in first:
-                        first[name] = seen[key] if (gram, salt) == group and key in seen else (doc, lo + k)
-            removed: dict[int, list[int]] = {}
-            if again:
-                names = list(again)
+            offsets = np.cumsum(sizes) - sizes
+            words = np.concatenate(hashes)
+            # every window: its stretch, its place in the chunk and in its document, its hash
+            counts = sizes - WINDOW + 1
+            row = np.repeat(np.arange(len(sizes)), counts)
+            place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            at, start = offsets[row] + place, lo[row] + place
+            key = gram_hashes(words, WINDOW)[at]
+            name = key ^ (salt[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # parts of a heavy group are apart
+            unique, first, inverse, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+            first_doc, first_start = doc[row[first]].copy(), start[first].astype(np.int64)
+            recurs = times > 1
+            in_group = (gram[row[first]] == group[0]) & (salt[row[first]] == group[1]) if group else np.zeros(len(unique), bool)
+            for u in np.flatnonzero(in_group).tolist():
+                before = seen.get(int(unique[u]))
+                if before is not None:
+                    recurs[u] = True
+                    first_doc[u], first_start[u] = before
+            spans: dict[int, list[int]] = {}
+            if recurs.any():
+                _, ids = np.unique(words, return_inverse=True)
+                listed = (ids + 1).tolist()
                 machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                listed = ids.tolist()
-                for p, name in enumerate(names):
-                    at = again[name]
-                    machine.add_word(tuple(listed[at : at + WINDOW]), p)
+                for p in first[recurs].tolist():
+                    machine.add_word(tuple(listed[at[p] : at[p] + WINDOW]), p)
                 machine.make_automaton()
-                stream, owner = [], []
-                for n in range(len(rows)):
-                    stream += listed[offsets[n] : offsets[n + 1]]
-                    stream.append(0)  # no word: nothing matches across stretches
-                    owner += [n] * (int(sizes[n]) + 1)
-                for end, p in machine.iter(tuple(stream)):
-                    n = owner[end]
-                    start = rows[n][5] + end - WINDOW + 1 - int(offsets[n]) - n
-                    if (rows[n][3], start) > first[rows[n][0], rows[n][1], names[p][1]]:
-                        removed.setdefault(n, []).append(start)
-            out = []
-            for n, starts in removed.items():
-                spans = []
-                for s in sorted(starts):
-                    if spans and s <= spans[-1]:
-                        spans[-1] = s + WINDOW
+                stream = np.zeros(len(words) + len(sizes), np.int64)  # a 0 after each stretch: nothing matches across
+                stream[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = ids + 1
+                found = np.array(list(machine.iter(tuple(stream.tolist()))), np.int64).reshape(-1, 2)
+                owner = np.searchsorted(offsets + np.arange(len(sizes)), found[:, 0], side="right") - 1
+                begin = found[:, 0] - WINDOW + 1 - owner - offsets[owner]
+                which = inverse[np.cumsum(counts)[owner] - counts[owner] + begin]
+                begin = begin + lo[owner]
+                later = (doc[owner] > first_doc[which]) | ((doc[owner] == first_doc[which]) & (begin > first_start[which]))
+                for n, b in sorted(zip(owner[later].tolist(), begin[later].tolist(), strict=True)):
+                    own = spans.setdefault(n, [])
+                    if own and b <= own[-1]:
+                        own[-1] = max(own[-1], b + WINDOW)
                     else:
-                        spans += [s, s + WINDOW]
-                out.append({"gram": None, "passage": None, "doc_id": rows[n][3], "tkey": rows[n][4], "spans": spans})
-            for n, (gram, salt, parts, doc, tkey, lo, _) in enumerate(rows):
-                if parts > 1:
-                    for k, key in enumerate(keys[n]):
-                        if first[gram, salt, key] == (doc, lo + k):
-                            out.append({"gram": gram, "passage": key, "doc_id": doc, "tkey": tkey, "spans": [lo + k, lo + k + WINDOW]})
-            tail = rows[-1][:2]
-            kept = {key: place for (gram, salt, key), place in first.items() if (gram, salt) == tail}
+                        own += [b, b + WINDOW]
+            out = [{"gram": None, "passage": None, "doc_id": int(doc[n]), "tkey": int(tkey[n]), "spans": x} for n, x in spans.items()]
+            heads = np.flatnonzero((parts[row[first]] > 1) & (doc[row[first]] == first_doc) & (start[first] == first_start))
+            if in_group.any():
+                heads = heads[[int(unique[u]) not in seen or not in_group[u] for u in heads.tolist()]]
+            for u in heads.tolist():
+                r, p = row[first[u]], int(start[first[u]])
+                out.append({"gram": int(gram[r]), "passage": int(key[first[u]].view(np.int64)), "doc_id": int(doc[r]), "tkey": int(tkey[r]), "spans": [p, p + WINDOW]})
+            tail = int(gram[-1]), int(salt[-1])
+            ends = np.flatnonzero((gram[row[first]] == tail[0]) & (salt[row[first]] == tail[1])).tolist()
+            kept = {int(unique[u]): (int(first_doc[u]), int(first_start[u])) for u in ends}
             seen, group = (seen | kept if tail == group else kept), tail
-            for o in out:
-                if o["passage"] is not None and o["passage"] >= 1 << 63:
-                    o["passage"] -= 1 << 64
             yield pa.RecordBatch.from_pylist(out, pa.schema([("gram", pa.int64()), ("passage", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("spans", pa.list_(pa.int32()))]))
 
 

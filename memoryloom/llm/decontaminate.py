@@ -212,22 +212,20 @@ def remove_overlaps(docs: DataFrame, benchmark: DataFrame, max_coverage: float =
     Text outside the hit stretches stays byte for byte; a removed stretch leaves one space. Untouched documents are
     unchanged.
     """
-    found = _scan(docs, benchmark, text)
-    fields = docs.schema
+    found = _scan(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_body")), benchmark, "_body")
+    packed = found.select("_row", "_body").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = fields.names.index(text)
         for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
+            texts, keep = batch.column("_body").to_pylist(), []
             for i, (n, runs) in enumerate(zip(batch.column("_n").to_pylist(), batch.column("_hit").to_pylist(), strict=True)):
                 keep.append(not runs or sum(runs[1::2]) - sum(runs[::2]) <= max_coverage * n)
                 if runs and keep[-1]:
                     texts[i] = cut_words(texts[i].encode(), runs).decode()
-            k = batch.num_columns - 3
-            columns = [pa.array(texts, c.type) if j == at else c for j, c in enumerate(batch.columns[:k])]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:k]).filter(pa.array(keep, pa.bool_()))
+            columns = [batch.column("_row"), pa.array(texts, batch.column("_body").type)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "_body"]).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(cut, fields)
+    return found.mapInArrow(cut, packed).select(*[F.col("_body").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def cut_words(text: bytes, runs: list[int]) -> bytes:

@@ -171,14 +171,15 @@ def _slices(texts: list[str | None]) -> Iterator[slice]:
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None, alpha: float = 1.0, seed: int = 1) -> DataFrame:
-    """docs' columns without text, then n_pieces long, pieces array<int> and lossless boolean (decoding gives the text).
+    """docs' columns without text, then n_pieces long, pieces array<int> and lossless boolean (decoding gives the text);
+    columns of these names are replaced.
 
     Each text is segmented by sampling its piece lattice: chances are filtered forwards and pieces drawn backwards,
     with numbers seeded by the row's key, so a rerun or another partitioning gives the same pieces. alpha flattens
     (under 1) or sharpens the pieces' weights. Null and empty texts have no pieces; a character that is no piece is
     encoded as its bytes; rows without key share a seed. model is the path of a SentencePiece model on the executors.
     """
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, "_text", "n_pieces", "pieces", "lossless")]
     path = model or default_model()
     ready = docs.select(*kept, F.col(text).alias("_text"))
     fields = ready.drop("_text").withColumns({"n_pieces": F.lit(0).cast("long"), "pieces": F.array().cast("array<int>"), "lossless": F.lit(True)}).schema

@@ -139,4 +139,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, whose text scores 0.5 or more."""
-    return score(docs, fit(docs, labels), name="_quality").filter(F.col("_quality") >= 0.5).drop("_quality")
+    packed = docs.select(F.struct("*").alias("_row"), "text")
+    return score(packed, fit(docs, labels)).filter(F.col("score") >= 0.5).select("_row.*")

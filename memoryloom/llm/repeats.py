@@ -23,6 +23,7 @@ GRAM = 6
 HEAVY = 4000
 #: Stretches of text that one automaton is compiled for and streamed over.
 CHUNK = 4000
+ALL = -1
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -153,16 +154,21 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(doc_id, tkey, spans) of documents with later occurrences of a passage; staged.
 
     spans: starts and ends, in words, of every window of 20 words whose sequence also starts earlier: in a document of
-    smaller doc_id, or earlier in the same one. tkey is the text's hash, as doc_ids may repeat.
+    smaller doc_id, or earlier in the same one; [-1] for a later copy of a whole text. tkey is the text's hash, as doc_ids may repeat.
 
     Anchors that occur once are dropped after a pre-aggregated count. The text around the others is dealt out by
     anchor, so that equal windows meet in one shard; an anchor with many occurrences is dealt to several, whose first
     places are then compared.
     """
     body = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tkey"), F.col(text).cast("binary").alias("text"))
+    # a later copy of a whole text goes as a whole; only the first one takes part in what follows
+    texts = body.groupBy("tkey").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter("first < _last").select("tkey", "first")
+    copies = stage(body.select("doc_id", "tkey").distinct().join(texts, "tkey").filter("doc_id > first").select("doc_id", "tkey"), "copies")
     found = body.mapInArrow(_anchor_rows, "gram long, doc_id long, tkey long, pos int")
-    recurring = stage(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "anchors")
-    hits = stage(found.join(recurring, "gram").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("pos", "parts")).alias("hits")), "anchor-places")
+    # what occurs at one place of one text alone recurs in its copies only
+    counted = found.groupBy("gram").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("tkey", "pos")])
+    recurring = stage(counted.filter("min_tkey <> max_tkey or min_pos <> max_pos").select("gram", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "anchors")
+    hits = stage(found.join(recurring, "gram").join(copies, ["doc_id", "tkey"], "left_anti").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("pos", "parts")).alias("hits")), "anchor-places")
     drop(recurring)
     parts = body.join(hits, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "hits").mapInArrow(_stretches, "gram long, parts int, doc_id long, tkey long, lo int, body binary")
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tkey"), F.col("parts")).cast("int"))
@@ -171,13 +177,16 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     place = F.struct("doc_id", F.col("spans")[0])
     heavy = located.filter("passage is not null").withColumn("_first", F.min(place).over(Window.partitionBy("gram", "passage"))).filter(place > F.col("_first"))
     spans = located.filter("passage is null").select("doc_id", "tkey", "spans").union(heavy.select("doc_id", "tkey", "spans"))
+    spans = spans.union(copies.select("doc_id", "tkey", F.array(F.lit(ALL)).alias("spans")))
     out = stage(spans.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    drop(located)
+    drop(located, copies)
     return out
 
 
 def covered(spans: list[int] | None, n: int) -> np.ndarray:
-    """Which of n words the spans cover."""
+    """Which of n words the spans cover; ALL alone stands for all words of a text that has a window at all."""
+    if spans and spans[0] == ALL:
+        return np.full(n, n >= WINDOW)
     delta = np.zeros(n + 1, np.int64)
     if spans:
         np.add.at(delta, spans[::2], 1)

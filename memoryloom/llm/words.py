@@ -8,7 +8,7 @@ import xxhash
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(29)
 #: A worker forgets its word hashes beyond this many, so that its memory is bounded.
-WORDS_KEPT = 1 << 18
+WORDS_KEPT = 1 << 19
 
 
 class WordHashes(dict):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from ..sources.checkpoints import checkpointed
 
 #: Fixed maps and patterns: the language of a suffix; (node type, pattern, group) of definitions; import patterns.
 SUFFIXES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp"}
@@ -130,8 +131,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, params: Param
     return parts.groupBy("user_id").applyInPandas(run, "user_id string, file string, score double, is_seed boolean")
 
 
-def pagerank_large(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, params: Params = DEFAULT, checkpoint_every: int = 10) -> DataFrame:
-    """The same by joins and aggregates, for graphs that no task can hold; lineage is cut by checkpoints."""
+def pagerank_large(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The same by joins and aggregates, for graphs that no task can hold; each step is checkpointed, as
+    it reads the one before more than once."""
     d = params.pagerank_damping
     counts = nodes.groupBy("user_id").agg(F.count("*").alias("n"))
     picked = seeds.join(nodes, ["user_id", "file"], "left_semi").withColumn("is_seed", F.lit(True))
@@ -142,16 +144,15 @@ def pagerank_large(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, params:
     start = F.when(F.col("_seeds") > 0, F.col("is_seed").cast("double") / F.col("_seeds")).otherwise(1 / F.col("n"))
     state = base.select("user_id", "file", "is_seed", "n", "_out", start.alias("_start"), (1 / F.col("n")).alias("score"))
     share = edges.join(out, ["user_id", "src"]).select("user_id", "src", "dst", (F.col("w") / F.col("_out")).alias("p"))
-    for i in range(params.pagerank_iterations):
+    share, state = checkpointed(share), checkpointed(state)
+    for _ in range(params.pagerank_iterations):
         flow = share.join(state.select("user_id", F.col("file").alias("src"), "score"), ["user_id", "src"]).groupBy("user_id", F.col("dst").alias("file")).agg(F.sum(F.col("p") * F.col("score")).alias("_in"))
         loose = state.groupBy("user_id").agg(F.sum(F.when(F.col("_out").isNull(), F.col("score")).otherwise(0.0)).alias("_loose"))
         spread = (F.col("_loose") - F.when(F.col("_out").isNull(), F.col("score")).otherwise(0.0)) / F.greatest(F.col("n") - 1, F.lit(1))
         new = (1 - d) * F.col("_start") + d * (F.coalesce("_in", F.lit(0.0)) + spread)
-        raw = state.join(flow, ["user_id", "file"], "left").join(loose, "user_id").select("user_id", "file", "is_seed", "n", "_out", "_start", new.alias("score"))
+        raw = checkpointed(state.join(flow, ["user_id", "file"], "left").join(loose, "user_id").select("user_id", "file", "is_seed", "n", "_out", "_start", new.alias("score")))
         sums = raw.groupBy("user_id").agg(F.sum("score").alias("_sum"))
         state = raw.join(sums, "user_id").select("user_id", "file", "is_seed", "n", "_out", "_start", (F.col("score") / F.col("_sum")).alias("score"))
-        if (i + 1) % checkpoint_every == 0:
-            state = state.checkpoint()
     return state.select("user_id", "file", "score", "is_seed")
 
 

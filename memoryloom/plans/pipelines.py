@@ -31,9 +31,10 @@ def ingest(events: DataFrame, store: stores.Store, now: Column, params: Params =
     """Fold the events' cards into the store. Returns the decisions; replaying the same events adds no rows."""
     candidates = cards_of_events(events, now, params, embed)
     memories = store.memories()
-    known = memories.select("user_id", "id").distinct()
+    known = store.decided().withColumnRenamed("candidate_id", "id")
     decisions = revise.revise(candidates.join(known, ["user_id", "id"], "left_anti"), memories, params, judge, embed).persist()
     store.write_memories(revise.latest(decisions))
+    store.write_decisions(decisions)
     bodies = transcript.tool_contents(events).withColumnRenamed("body", "content")
     kept = decisions.filter("action = 'INSERT' and memory_type = 'record'").select("user_id", "session_id", "request_id").distinct()
     symbols = graph.extract_symbols(bodies.join(kept, _SESSION, "left_semi"))

@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 from ..schema import FILE_SYMBOLS, MEMORIES, MEMORY_TYPES
 
 
+DECISIONS = "user_id string, candidate_id string, action string, decided_on string"
+
+
 def newest_first() -> tuple[Column, ...]:
     return F.desc("created_at"), F.asc("id")
 
@@ -84,6 +87,13 @@ class Store:
         held = self._log("memories", MEMORIES).select(*keys)
         new.join(held, keys, "left_anti").repartition("user_id").sortWithinPartitions("user_id", "created_at").write.mode("append").parquet(f"{self.path}/memories")
 
+    def decided(self) -> DataFrame:
+        """The candidates that a decision was made on, whatever it was."""
+        return self._log("decisions", DECISIONS).select("user_id", "candidate_id").distinct()
+
+    def write_decisions(self, decisions: DataFrame) -> None:
+        decisions.filter("candidate_id is not null").select("user_id", "candidate_id", "action", "decided_on").write.mode("append").parquet(f"{self.path}/decisions")
+
     def write_file_symbols(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.path}/file_symbols")
 

@@ -24,9 +24,10 @@ HEAD_WORDS = 1 << 16
 NEURAL_WORDS, WORD_CLASSES = 4096, 64
 #: Rarer words are in a class by their last three bytes, and told apart in it by their counts.
 TAIL_CLASSES = 64
-#: Training passes, each over other documents, and the tokens that a task trains on in a pass; so the trained tokens
-#: grow with the number of input splits.
-PASSES, TASK_TOKENS = 2, 200_000
+#: Training passes, each over other documents, so that every training document is learned from once.
+PASSES = 2
+#: Tokens that a task gathers before it trains on them.
+TRAINED_AT_ONCE = 200_000
 #: Words that a counting task holds before it hands them on.
 COUNTED_AT_ONCE = 500_000
 #: Documents that are scored at once are bounded by their tokens.
@@ -145,22 +146,27 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def train_pass(texts: DataFrame, lex: Lexicon, model: Gru) -> Gru:
-    """The mean, weighted by tokens, of what each task makes of the model. Means are taken in a tree, 64 at a time."""
+    """The mean, weighted by tokens, of what each task makes of the model from all of its texts. Means are taken in a
+    tree, 64 at a time."""
     shared = texts.sparkSession.sparkContext.broadcast((lex, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = shared.value
-        places, docs, room = Places(lex.head), [], TASK_TOKENS
+        places, docs, size, weight, trainer = Places(lex.head), [], 0, 0, None
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if room > 0:
-                    docs.append(lex.ids[places.of([*spaced_words(text.lower() if text else b""), END])])
-                    room -= len(docs[-1])
+                docs.append(lex.ids[places.of([*spaced_words(text.lower() if text else b""), END])])
+                size += len(docs[-1])
+                if size >= TRAINED_AT_ONCE:
+                    trainer = train(model, docs, lex.class_of, lex.member_of, lex.end, trainer)
+                    docs, size, weight = [], 0, weight + size
         if docs:
-            vector = train(model, docs, lex.class_of, lex.member_of, lex.end).m.vector()
+            trainer = train(model, docs, lex.class_of, lex.member_of, lex.end, trainer)
+        if trainer:
+            vector = trainer.m.vector()
             parts = [vector[i : i + PIECE].tobytes() for i in range(0, len(vector), PIECE)]
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array([float(sum(map(len, docs)))] * k, pa.float64()), pa.array(parts, pa.binary())], names=["piece", "task", "weight", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array([float(weight + size)] * k, pa.float64()), pa.array(parts, pa.binary())], names=["piece", "task", "weight", "part"])
 
     schema = "piece int, task long, weight double, part binary"
     parts = stage(texts.mapInArrow(run, schema), "lm-parts")
@@ -221,7 +227,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     Words are lower-cased (A-Z) and one end follows them; null texts are empty. Counts cover all documents that aren't
-    held out, and the network is trained on theirs. score is the log10 probability of the whole text: the network's
+    held out, and the network is trained on all of theirs, dealt to tasks by hash and not by place in the files. score is the log10 probability of the whole text: the network's
     P(class) times, for frequent words, its P(word in class), for others add-one counts in their class; all unseen
     words of a class share one count. Without training documents, the counts are 0. Repeated rows are scored alike.
 
@@ -234,7 +240,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lex = lexicon(counts)
     model = lex.start()
     for i in range(PASSES):
-        model = train_pass(learned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == i).select("text"), lex, model)
+        dealt = learned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PASSES)) == i).select("text", F.xxhash64("text", "doc_id").alias("_deal"))
+        model = train_pass(dealt.repartition("_deal").sortWithinPartitions("_deal").select("text"), lex, model)
     shared = spark.sparkContext.broadcast((lex, model))
     scored = stage(body.mapInArrow(_scorer(shared), _SCORED), "lm-scores")
     rare = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n")

@@ -245,6 +245,24 @@ def test_language_model_base_and_gain(spark, head, monkeypatch):
         assert lm.score_documents(docs.limit(0)).collect() == []
 
 
+def test_language_model_learns_from_all_of_a_task(spark):
+    rng = __import__("random").Random(9)
+    first = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(1000)) for _ in range(300)]
+    texts = spark.createDataFrame([(t.encode(),) for t in first + ["ee ff " * 500] * 100], "text binary").coalesce(1)
+    counts = texts.mapInArrow(lm._count, "word binary, tail int, n long").groupBy("word", "tail").sum("n").withColumnRenamed("sum(n)", "n")
+    lex = lm.lexicon(counts)
+    model = lm.train_pass(texts, lex, lex.start())
+    ids = lex.ids[lm.Places(lex.head).of([b"ee", b"ff"] * 100 + [b""])]
+    assert log_likelihoods(model, [ids], lex.class_of, lex.member_of, lex.end)[0] / len(ids) > -0.7
+
+
+def test_language_model_does_not_follow_file_layout(spark):
+    rng = __import__("random").Random(10)
+    rows = [(i, sentence(rng, 40)) for i in range(60)]
+    one, other = ({r["doc_id"]: r["score"] for r in lm.score_documents(frame(spark, x).coalesce(n)).collect()} for x, n in ((rows, 1), (rows[::-1], 2)))
+    assert one == pytest.approx(other, abs=1e-2)
+
+
 def test_recurrent_model_is_a_distribution_and_carries_state():
     mass, first, size = np.array([4.0, 3, 2, 1]), np.array([0, 2]), np.array([2, 2])
     model = Gru.start(4, np.array([7.0, 3.0]), mass, first, size)

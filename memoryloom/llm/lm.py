@@ -124,11 +124,9 @@ def lexicon(counts: DataFrame) -> Lexicon:
     if total["v"] > HEAD_WORDS:  # each task would send the driver a head of its own: cut by count first
         least = counts.agg(F.percentile_approx("n", 1 - HEAD_WORDS / total["v"], 100_000)).first()[0]
         often = counts.filter(F.col("n") > least)
-    top = often.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
-    rows = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda r: (r[0] != END, -r[1], r[0]))
-    if not rows or rows[0][0] != END:
-        rows.insert(0, (END, 0))
-    rows = [rows[0], *rows[1:HEAD_WORDS]]
+    top = often.filter(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(HEAD_WORDS - 1).collect()
+    ends = counts.filter(F.length("word") == 0).agg(F.sum("n")).first()[0]  # however few, the end is in the head
+    rows = [(END, ends or 0), *sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda r: (-r[1], r[0]))]
     tokens, words = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     for r in counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tokens[r["tail"]], words[r["tail"]] = r["n"], r["v"]

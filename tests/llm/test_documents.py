@@ -245,6 +245,17 @@ def test_language_model_base_and_gain(spark, head, monkeypatch):
         assert lm.score_documents(docs.limit(0)).collect() == []
 
 
+def test_language_model_counts_the_end_of_few_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD_WORDS", 40)
+    docs = frame(spark, [(i, " ".join(f"w{k} " * (10 + k) for k in range(200))) for i in (2, 3, 4)])
+    assert not docs.filter(lm.held_out(docs.doc_id)).count()
+    counts = Counter({f"w{k}": 3 * (10 + k) for k in range(200)} | {"": 3})
+    n, v = sum(counts.values()), len(counts)
+    want = sum(c // 3 * np.log10((c + 1) / (n + v + 1)) for c in counts.values())
+    for r in lm.score_documents(docs).collect():
+        assert r["n_known"] == r["n_tokens"] == n // 3 and r["base_score"] == pytest.approx(want)
+
+
 def test_language_model_learns_from_all_of_a_task(spark):
     rng = __import__("random").Random(9)
     first = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(1000)) for _ in range(300)]

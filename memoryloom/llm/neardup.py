@@ -18,15 +18,14 @@ from .words import WordHashes, gram_hashes, spaced_words
 SHINGLE = 5
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-#: Registers; a band is ROWS neighbouring ones. At a similarity of 0.75 all BANDS bands miss 3 in 10^5 pairs, at 0.8
-#: 2 in 10^7.
-ROWS, BANDS = 5, 38
+#: Registers; a band is ROWS neighbouring ones. At a similarity of 0.75 all BANDS bands miss once in 10^7 pairs.
+ROWS, BANDS = 5, 60
 REGISTERS = ROWS * BANDS
 #: SetSketch parameters: base, rate and the largest register value (two bytes).
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-#: Pairs estimated below this go unverified: it is 3.2 standard errors under the threshold. Pairs with fewer equal
-#: registers than LEAST_EQUAL, 4.8 standard errors under it, are not estimated at all.
-LEAST_ESTIMATE, LEAST_EQUAL = 0.65, 0.60
+#: Pairs estimated below this go unverified, and pairs with a smaller share of equal registers than LEAST_EQUAL are not
+#: estimated at all: both are five standard errors under the threshold.
+LEAST_ESTIMATE, LEAST_EQUAL = 0.62, 0.62
 #: Members of a bucket that are compared at once.
 BLOCK = 256
 _HASH_ROWS = 1024

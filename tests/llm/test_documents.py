@@ -51,6 +51,15 @@ def test_registers_merge_and_estimate():
     assert abs(est[0] - 350 / 450) < 0.15
 
 
+def test_pairs_at_the_threshold_are_not_cut():
+    assert (1 - 0.75**neardup.ROWS) ** neardup.BANDS < 2e-7
+    rng = np.random.default_rng(4)
+    a = rng.integers(20_000, 30_000, (20_000, neardup.REGISTERS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.75, a, a + rng.choice([-50, 50], a.shape)).astype(np.uint16)
+    n = np.full(len(a), 400)
+    assert neardup.likely(a, b, n, n).all()
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     found = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -8,7 +8,10 @@ tool calls or task headers.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,15 +173,61 @@ def bm25_topk(spark, sf):
     return r.select("query_id", "id", F.round("score", 4).alias("score"))
 
 
+#: Query vectors that are compared with all rows in one go, and rows that a task compares them with at once.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 4096, 1024
+
+
+def _padded(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as rows of a matrix, their lengths and norms; those longer than width, which match no query, are zero."""
+    out, size = np.zeros((len(vectors), width)), np.array([len(v or ()) for v in vectors], np.int64)
+    for row, v in zip(out, vectors, strict=True):
+        if v and len(v) <= width:
+            row[: len(v)] = v
+    return out, size, np.sqrt((out * out).sum(axis=1)) + 1e-12
+
+
+def _nearest(shared, k: int):
+    """For mapInArrow over (vec_id, embedding): the task's k nearest rows of each query, kept up while rows stream by."""
+
+    def run(batches):
+        ids, vectors = shared.value
+        width = max(len(v or ()) for v in vectors)
+        q, size, norm = _padded(vectors, width)
+        slot, vec, cos, least = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(ids), -np.inf)
+        for part in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
+            at = part.column(0).to_numpy()
+            rows, rows_size, rows_norm = _padded(part.column(1).to_pylist(), width)
+            c = q @ rows.T / (norm[:, None] * rows_norm)
+            c[(size[:, None] != rows_size) | (size[:, None] == 0)] = 0.0
+            c[ids[:, None] == at] = -np.inf
+            if len(at) >= k:
+                least = np.maximum(least, np.partition(c, -k, axis=1)[:, -k])
+            s, r = np.nonzero((c >= least[:, None] - 2e-6) & (c > -np.inf))
+            slot, vec, cos = np.concatenate((slot, s)), np.concatenate((vec, at[r])), np.concatenate((cos, c[s, r]))
+            order = np.lexsort((vec, -np.round(cos, 6), slot))
+            first = np.searchsorted(slot[order], np.arange(len(ids)))
+            order = order[np.arange(len(order)) - first[slot[order]] < k]
+            slot, vec, cos = slot[order], vec[order], cos[order]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[slot], pa.int64()), pa.array(vec, pa.int64()), pa.array(cos, pa.float64())], names=["query_id", "vec_id", "cosine"])
+
+    return run
+
+
 def cosine_topk(spark, sf):
+    """The five nearest of all other rows, whatever their label, for each query vector."""
     from pyspark.sql.window import Window
 
-    e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    c = F.round(scoring.cosine(F.col("q"), F.col("embedding")), 6)
-    near = q.join(e, "label").filter("query_id <> vec_id").select("query_id", "vec_id", c.alias("cosine"))
+    e = table(spark, sf, "embeddings").filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    q = e.filter("vec_id % 50 = 0")
+    blocks, found = -(-q.count() // QUERIES_AT_ONCE), []
+    for b in range(max(1, blocks)):
+        some = q.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))) == b).collect()
+        if some:
+            shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some], np.int64), [r["embedding"] for r in some]))
+            found.append(e.mapInArrow(_nearest(shared, 5), "query_id long, vec_id long, cosine double"))
+    near = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, vec_id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    return near.withColumn("cosine", F.round("cosine", 6)).withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
 
 
 def temporal_decay(spark, sf):

@@ -186,6 +186,23 @@ def test_dense_anchor_is_the_query(spark):
     assert first(DEFAULT) == "b" and first(Params(dense_anchor="first_note")) == "a"
 
 
+def test_nearest_vectors_are_sought_under_all_labels(spark, tmp_path):
+    from memoryloom import queries
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(120, 8)).astype(np.float32)
+    vectors[70:80] = vectors[60]
+    rows = [(i, [float(x) for x in v], i % 10) for i, v in enumerate(vectors)] + [(500, None, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = set()
+    for i, a, _ in rows:
+        if i % 50 == 0:
+            cos = lambda b: round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 6) if a and b else 0.0
+            best = sorted((-cos(b), j) for j, b, _ in rows if j != i)[:5]
+            want |= {(i, j, -c, k + 1) for k, (c, j) in enumerate(best)}
+    assert {(r["query_id"], r["vec_id"], r["cosine"], r["rank"]) for r in queries.cosine_topk(spark, str(tmp_path)).collect()} == want
+
+
 def test_gate_and_levels(spark):
     rows = [("q", "a", "profile", 1.0), ("q", "b", "record", 5.0), ("q", "c", "profile", 9.0), ("z", "d", "profile", 1.0)]
     df = spark.createDataFrame(rows, "query_id string, id string, memory_type string, score double")

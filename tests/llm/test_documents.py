@@ -38,6 +38,82 @@ def test_near_duplicates_match_brute_force(docs, rows):
     assert Counter(tuple(r) for r in neardup.near_duplicates(docs).collect()) == want
 
 
+@pytest.mark.parametrize("block, members", [(256, 2000), (3, 2)])
+def test_near_duplicates_in_large_groups(spark, block, members, monkeypatch):
+    """Groups whose members are linked with their original, with each other alone, or with nothing: no link is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HUB_MEMBERS", members)
+    rng, rows = np.random.default_rng(11), []
+    for _ in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        for cut in [0] * 2 + [8] * 8 + [14] * 8 + [17] * 12 + [25] * 4:  # so many words' shingles differ, in one run
+            at = int(rng.integers(0, 120 - cut))
+            rows.append((int(rng.integers(0, 10**9)), " ".join([*base[:at], *(f"x{x}" for x in rng.integers(0, 10**6, cut)), *base[at + cut :]])))
+    sets = {i: shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if label[j] < label[i] and 100 * len(a & b) >= 75 * len(a | b):
+                    label[i], changed = label[j], True
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows).repartition(5)).collect()}
+    assert got == label and 20 < len(set(label.values())) < len(rows)
+
+
+def test_pairs_over_the_threshold_are_found(spark):
+    """2,000 planted pairs with a similarity of 0.75 to 0.8: all are linked."""
+    rng, rows, want = np.random.default_rng(12), [], 0
+    for p in range(2000):
+        n = int(rng.integers(60, 140))
+        base = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        size, most = n - 4, max(c for c in range(n) if 100 * (n - 4 - c) >= 75 * (n - 4 + c)) - 4  # a run of k words at the inside changes k + 4 shingles
+        at = int(rng.integers(5, n - most - 5))
+        other = [*base[:at], *(f"x{x}" for x in rng.integers(0, 10**9, most)), *base[at + most :]]
+        both = size - most - 4
+        want += 0.75 <= both / (2 * size - both) < 0.8
+        rows += [(2 * p, " ".join(base)), (2 * p + 1, " ".join(other))]
+    got = neardup.near_duplicates(frame(spark, rows).repartition(4)).filter("doc_id % 2 = 1").collect()
+    assert want == 2000 and all(r["component_id"] == r["doc_id"] - 1 for r in got)
+
+
+def test_links_across_components_match_brute_force():
+    rng = np.random.default_rng(13)
+    for same in (True, False):
+        hub = np.unique(rng.integers(0, 2**63, 60, np.uint64))
+        sets = [np.union1d(hub[rng.random(len(hub)) < rng.choice([0.4, 0.93])], rng.integers(0, 2**63, int(rng.integers(0, 9)), np.uint64)) for _ in range(40)]
+        sets += [np.union1d(s[1:], hub[:2]) for s in sets[:10]]
+        ids, side, component = np.arange(50), rng.integers(0, 2, 50), rng.integers(0, 30, 50)
+        n, has = np.array([len(s) for s in sets]), np.array([np.isin(hub, s) for s in sets])
+        got = neardup.links_across(ids, side, component, n, np.packbits(has, axis=1), [np.setdiff1d(s, hub) for s in sets], same)
+        alike = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
+        want = [(i, j) for i in range(50) for j in range(i + 1, 50) if (same or side[i] != side[j]) and alike(i, j)]
+
+        def joined(links, c=component):
+            c = c.copy()
+            for i, j in links:
+                c[c == c[j]] = c[i]
+            return len(set(c.tolist()))
+
+        assert set(got) <= set(want) and joined(got) == joined(want) < len(set(component.tolist()))
+
+
+@pytest.mark.parametrize("fold", [False, True])
+def test_word_hashes_tell_words_apart(fold, monkeypatch):
+    from memoryloom.llm import words as w
+
+    monkeypatch.setattr(w, "BLOCK_BYTES", 50)
+    texts = [None, b"", b" \t", b"one Two one", sentence(__import__("random").Random(2), 300).encode(), b"x" * 200 + b"\x0by", b"TWO\n"]
+    hashes, bounds, start, end = w.hashed_words(texts, fold)
+    plain = [(x.lower() if fold else x) for t in texts for x in (t or b"").split()]
+    assert np.diff(bounds).tolist() == [len((t or b"").split()) for t in texts]
+    assert len(set(zip(plain, hashes.tolist(), strict=True))) == len(set(plain)) == len(set(hashes.tolist()))
+    data = b" ".join(t or b"" for t in texts)
+    assert [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)] == [x for t in texts for x in (t or b"").split()]
+    assert w.hashed_words([], fold)[1].tolist() == [0]
+
+
 def test_near_duplicates_of_nothing(docs):
     assert neardup.near_duplicates(docs.limit(0)).collect() == []
 

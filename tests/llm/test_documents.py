@@ -417,9 +417,59 @@ def test_sampled_pieces_follow_the_lattice():
         paths += [[*p, unit[at:j]] for j in range(at + 1, len(unit) + 1) if unit[at:j] in vocab.weights]
     weight = {p: float(np.prod([vocab.weights[x][1] for x in p])) for p in done}
     assert abs(np.log(sum(weight.values())) - pieces.log_chance(vocab, unit)) < 1e-9
-    lattices = pieces.Lattices(vocab)
-    found = Counter(tuple(x.tolist()) for x in pieces.encode_batch(lattices, list(range(20_000)), ["then"] * 20_000, 1))
+    found = Counter(tuple(x.tolist()) for x in pieces.encode_batch(vocab, list(range(20_000)), ["then"] * 20_000, 1))
     for p, w in weight.items():
         share = w / sum(weight.values())
         ids = tuple(vocab.weights[x][0] for x in p)
         assert abs(found[ids] / 20_000 - share) < 5 * np.sqrt(share / 20_000) + 1e-3
+
+
+@pytest.mark.parametrize("narrow", [0, 1, 4, 10**9])
+def test_lattices_match_brute_force(narrow, monkeypatch):
+    """Every node's chances against sums over all segmentations, with bytes, CJK, emoji and repeated characters."""
+    monkeypatch.setattr(pieces, "NARROW", narrow)
+    vocab = pieces.Vocabulary(pieces.default_model(), 1.0)
+    units = [" then", " a", "\n", "   ", " 中文字", " ééß", " 😀x😀", " internationals", "zz\x07q", " \u4e2d\U0001f9ec"]
+    lattices = pieces.Lattices(vocab, units)
+
+    def mass(text):
+        """The summed weights of all segmentations."""
+        if not text:
+            return 1.0
+        total = sum(mass(text[:i]) * vocab.weights[text[i:]][1] for i in range(len(text)) if text[i:] in vocab.weights)
+        return total if text[-1] in vocab.weights else total + mass(text[:-1]) * vocab.byte_weight ** len(text[-1].encode())
+
+    for unit, last in zip(units, lattices.last.tolist(), strict=True):
+        texts = {last: unit}  # nodes that can be reached backwards, and what is before them
+        while texts:
+            at, text = texts.popitem()
+            a, b = int(lattices.edges[at]), int(lattices.edges[at + 1])
+            got, low = {}, float(at)
+            for e in range(a, b):
+                out = int(lattices.out[e])
+                tail = chr(-1 - out) if out < 0 else vocab.bytes[out].decode()
+                assert text.endswith(tail)
+                w = vocab.byte_weight ** len(tail.encode()) if out < 0 else vocab.weights[tail][1]
+                got[tail, out < 0] = float(lattices.cdf[e]) - low
+                low = float(lattices.cdf[e])
+                assert abs(got[tail, out < 0] - mass(text[: -len(tail)]) * w / mass(text)) < 1e-9
+                if lattices.back[e] >= 0:
+                    texts[int(lattices.back[e])] = text[: -len(tail)]
+                else:
+                    assert tail == text
+            assert len(got) == sum(text[i:] in vocab.weights for i in range(len(text))) + (text[-1] not in vocab.weights)
+
+
+def test_long_units_and_any_text_survive():
+    vocab = pieces.Vocabulary(pieces.default_model(), 1.0)
+    texts = ["a" * 5000, "中" * 3000, "\U0001f9ec" * 700, "x\n\n  y \t z", " ", None, "", "é" * 10 + " then" * 50]
+    ids = pieces.encode_batch(vocab, list(range(len(texts))), texts, 3)
+    assert [vocab.decode(i.tolist()) for i in ids] == [(t or "").encode() for t in texts]
+    alone = [pieces.encode_batch(vocab, [k], [t], 3)[0].tolist() for k, t in enumerate(texts)]
+    assert alone == [i.tolist() for i in ids]
+
+
+def test_pieces_bear_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", "y", 5), (1, "a b", "x", "y", 5)], "doc_id long, text string, _text string, _ string, n_pieces int")
+    got = pieces.encode(rows).collect()
+    assert got[0].asDict().keys() == {"doc_id", "_text", "_", "n_pieces", "pieces", "lossless"} and got[0] == got[1] and got[0]["_text"] == "x"

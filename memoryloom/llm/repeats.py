@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import drop, stage
-from .words import WordHashes, gram_hashes, spaced_words
+from .words import byte_slices, gram_hashes, hashed_words, spaced_words
 
 #: A passage is a window of so many consecutive words.
 WINDOW = 20
 #: Each window is represented by the least hash among its runs of GRAM words (its anchor), so equal windows share one.
 GRAM = 6
 #: An anchor with more occurrences is dealt to several tasks.
-HEAVY = 4000
+HEAVY = 512
 #: Stretches of text that one automaton is compiled for and streamed over.
 CHUNK = 4000
+#: Bytes of text that are parsed at once.
+BYTES_AT_ONCE = 4 << 20
 ALL = -1
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 
@@ -46,115 +48,124 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
-    for batch in batches:
-        grams, rows, places = [], [], []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            at, gram, _, _ = anchors(cache.of(spaced_words(text)))
-            grams.append(gram)
-            places.append(at)
-            rows.append(np.full(len(at), i))
-        if grams:
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "doc_id", "tkey", "pos"])
+    for whole in batches:
+        for a, b in byte_slices(whole.column(2), BYTES_AT_ONCE):
+            batch = whole.slice(a, b - a)
+            hashes, bounds, _, _ = hashed_words(batch.column(2).to_pylist())
+            found = [anchors(hashes[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            take = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+            grams, places = (np.concatenate([x[i] for x in found]) for i in (1, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(places.astype(np.int32))], names=["gram", "doc_id", "tkey", "pos"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text under the windows of each recurring anchor: a row for each anchor of a document."""
-    cache = WordHashes()
-    for batch in batches:
-        rows, grams, parts, lows, bodies = [], [], [], [], []
-        for i, (text, hits) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            words, wanted = spaced_words(text), {h["pos"]: h["parts"] for h in hits}
-            at, gram, first, last = anchors(cache.of(words))
-            for p, g, a, b in zip(at.tolist(), gram.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-                if p in wanted:
-                    rows.append(i)
-                    grams.append(g)
-                    parts.append(wanted[p])
-                    lows.append(a)
-                    bodies.append(b" ".join(words[a : b + WINDOW]))
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(parts, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(lows, pa.int32()), pa.array(bodies, pa.binary())], names=["gram", "parts", "doc_id", "tkey", "lo", "body"])
+    for whole in batches:
+        for a, b in byte_slices(whole.column(2), BYTES_AT_ONCE):
+            batch = whole.slice(a, b - a)
+            texts, hits = batch.column(2).to_pylist(), batch.column(3)
+            pos, parts = (hits.flatten().field(i).to_numpy() for i in (0, 1))
+            offsets = (hits.offsets.to_numpy() - hits.offsets[0].as_py()).tolist()
+            hashes, bounds, start, end = hashed_words(texts)
+            data, rows, grams, dealt, lows, bodies = b" ".join(texts), [], [], [], [], []
+            for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                at, gram, first, last = anchors(hashes[x:y])
+                own = pos[offsets[i] : offsets[i + 1]]
+                near = np.searchsorted(own, at)
+                near[near == len(own)] = 0
+                hit = np.flatnonzero(own[near] == at)
+                rows.append(np.full(len(hit), i))
+                grams.append(gram[hit])
+                dealt.append(parts[offsets[i] + near[hit]])
+                lows.append(first[hit])
+                bodies += [data[f:t] for f, t in zip(start[x + first[hit]].tolist(), end[x + last[hit] + WINDOW - 1].tolist(), strict=True)]
+            take, gram, part, low = (np.concatenate(c) for c in (rows, grams, dealt, lows))
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(part, pa.int32()), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take)), pa.array(low.astype(np.int32)), pa.array(bodies, pa.binary())], names=["gram", "parts", "doc_id", "tkey", "lo", "body"])
 
 
 _LOCATED = "gram long, passage long, doc_id long, tkey long, spans array<int>"
 
 
+def _located(gram, passage, doc, tkey, first, last) -> pa.RecordBatch:
+    """Rows of _LOCATED; gram and passage None: null."""
+    n = len(doc)
+    pair = np.empty(2 * n, np.int32)
+    pair[::2], pair[1::2] = first, last
+    column = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
+    spans = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2, np.int32)), pa.array(pair))
+    return pa.RecordBatch.from_arrays([column(gram), column(passage), column(doc), column(tkey), spans], names=["gram", "passage", "doc_id", "tkey", "spans"])
+
+
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Later occurrences of passages, from stretches ordered by gram, salt, doc_id and place.
 
-    For each chunk the passages that recur in it, or occurred before in the group still open, are compiled into one
-    automaton, which the chunk's stretches are streamed through. Only the open group's distinct passages are carried
-    over. Rows with passage null: words [start, end) pairs to remove; others: the first place of a passage in a part of
-    a heavy group, to be held against the other parts.
+    For each chunk the windows whose hash recurs in it, or occurred before in the group still open, are compiled into
+    one automaton of word sequences, which the chunk's stretches are streamed through; what it matches, word by word,
+    is an occurrence of the passage, and nothing else is. Only the open group's distinct passages are carried over.
+    Rows with passage null: words [start, end) to remove; others: the first place of a passage in a part of a heavy
+    group, to be held against the other parts.
     """
-    cache, seen, group = WordHashes(), {}, None  # seen: the open group's passages -> their first places
+    seen: dict[int, tuple[int, int]] = {}  # the open group's passages -> their first places
+    group = None
     for whole in batches:
         for i in range(0, whole.num_rows, CHUNK):
             batch = whole.slice(i, CHUNK)
             gram, salt, parts, doc, tkey, lo = (batch.column(c).to_numpy() for c in ("gram", "salt", "parts", "doc_id", "tkey", "lo"))
-            hashes = [cache.of(body.split(b" ")) for body in batch.column("body").to_pylist()]
-            sizes = np.array([len(h) for h in hashes])
-            offsets = np.cumsum(sizes) - sizes
-            words = np.concatenate(hashes)
+            words, bounds, _, _ = hashed_words(batch.column("body").to_pylist())
+            offsets, sizes = bounds[:-1], np.diff(bounds)
             # every window: its stretch, its place in the chunk and in its document, its hash
             counts = sizes - WINDOW + 1
             row = np.repeat(np.arange(len(sizes)), counts)
             place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             at, start = offsets[row] + place, lo[row] + place
             key = gram_hashes(words, WINDOW)[at]
-            name = key ^ (salt[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # parts of a heavy group are apart
-            unique, first, inverse, times = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+            mark = salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # parts of a heavy group are apart
+            name = key ^ mark[row]
+            unique, first, times = np.unique(name, return_index=True, return_counts=True)
             first_doc, first_start = doc[row[first]].copy(), start[first].astype(np.int64)
-            recurs = times > 1
-            in_group = (gram[row[first]] == group[0]) & (salt[row[first]] == group[1]) if group else np.zeros(len(unique), bool)
-            for u in np.flatnonzero(in_group).tolist():
-                before = seen.get(int(unique[u]))
-                if before is not None:
-                    recurs[u] = True
-                    first_doc[u], first_start[u] = before
-            spans: dict[int, list[int]] = {}
+            recurs, fresh = times > 1, np.ones(len(unique), bool)
+            if seen:
+                for u in np.flatnonzero((gram[row[first]] == group[0]) & (salt[row[first]] == group[1])).tolist():
+                    before = seen.get(int(unique[u]))
+                    if before is not None:
+                        recurs[u], fresh[u] = True, False
+                        first_doc[u], first_start[u] = before
             if recurs.any():
                 _, ids = np.unique(words, return_inverse=True)
                 listed = (ids + 1).tolist()
                 machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                for p in first[recurs].tolist():
-                    machine.add_word(tuple(listed[at[p] : at[p] + WINDOW]), p)
+                for u, p in zip(np.flatnonzero(recurs).tolist(), at[first[recurs]].tolist(), strict=True):  # in any part
+                    machine.add_word(tuple(listed[p : p + WINDOW]), u)
                 machine.make_automaton()
                 stream = np.zeros(len(words) + len(sizes), np.int64)  # a 0 after each stretch: nothing matches across
                 stream[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = ids + 1
                 found = np.array(list(machine.iter(tuple(stream.tolist()))), np.int64).reshape(-1, 2)
                 owner = np.searchsorted(offsets + np.arange(len(sizes)), found[:, 0], side="right") - 1
-                begin = found[:, 0] - WINDOW + 1 - owner - offsets[owner]
-                which = inverse[np.cumsum(counts)[owner] - counts[owner] + begin]
-                begin = begin + lo[owner]
+                begin = found[:, 0] - WINDOW + 1 - owner - offsets[owner] + lo[owner]
+                own = key[first[found[:, 1]]] ^ mark[owner]  # the passage in the owner's part
+                which = np.minimum(np.searchsorted(unique, own), len(unique) - 1)
+                owner, begin, which = (x[unique[which] == own] for x in (owner, begin, which))
                 later = (doc[owner] > first_doc[which]) | ((doc[owner] == first_doc[which]) & (begin > first_start[which]))
-                for n, b in sorted(zip(owner[later].tolist(), begin[later].tolist(), strict=True)):
-                    own = spans.setdefault(n, [])
-                    if own and b <= own[-1]:
-                        own[-1] = max(own[-1], b + WINDOW)
-                    else:
-                        own += [b, b + WINDOW]
-            out = [{"gram": None, "passage": None, "doc_id": int(doc[n]), "tkey": int(tkey[n]), "spans": x} for n, x in spans.items()]
-            heads = np.flatnonzero((parts[row[first]] > 1) & (doc[row[first]] == first_doc) & (start[first] == first_start))
-            if in_group.any():
-                heads = heads[[int(unique[u]) not in seen or not in_group[u] for u in heads.tolist()]]
-            for u in heads.tolist():
-                r, p = row[first[u]], int(start[first[u]])
-                out.append({"gram": int(gram[r]), "passage": int(key[first[u]].view(np.int64)), "doc_id": int(doc[r]), "tkey": int(tkey[r]), "spans": [p, p + WINDOW]})
+                owner, begin = owner[later], begin[later]  # ascending, as the stream is
+                new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (begin[1:] > begin[:-1] + WINDOW)))) if len(owner) else np.empty(0, np.int64)
+                last = np.concatenate((new[1:], [len(owner)]))[: len(new)] - 1
+                yield _located(None, None, doc[owner[new]], tkey[owner[new]], begin[new], begin[last] + WINDOW)
+            heads = first[(parts[row[first]] > 1) & fresh]
+            if len(heads):
+                r, p = row[heads], start[heads]
+                yield _located(gram[r], key[heads].view(np.int64), doc[r], tkey[r], p, p + WINDOW)
             tail = int(gram[-1]), int(salt[-1])
-            ends = np.flatnonzero((gram[row[first]] == tail[0]) & (salt[row[first]] == tail[1])).tolist()
-            kept = {int(unique[u]): (int(first_doc[u]), int(first_start[u])) for u in ends}
+            ends = np.flatnonzero((gram[row[first]] == tail[0]) & (salt[row[first]] == tail[1]))
+            kept = dict(zip(unique[ends].tolist(), zip(first_doc[ends].tolist(), first_start[ends].tolist(), strict=True), strict=True))
             seen, group = (seen | kept if tail == group else kept), tail
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("gram", pa.int64()), ("passage", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("spans", pa.list_(pa.int32()))]))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tkey, spans) of documents with later occurrences of a passage; staged.
 
     spans: starts and ends, in words, of every window of 20 words whose sequence also starts earlier: in a document of
-    smaller doc_id, or earlier in the same one; [-1] for a later copy of a whole text. tkey is the text's hash, as doc_ids may repeat.
+    smaller doc_id, or earlier in the same one; [-1] for a later copy of a whole text. tkey is the text's hash, as
+    doc_ids may repeat; copies of whole texts are told by 128 bits and their length.
 
     Anchors that occur once are dropped after a pre-aggregated count. The text around the others is dealt out by
     anchor, so that equal windows meet in one shard; an anchor with many occurrences is dealt to several, whose first
@@ -162,13 +173,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     body = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tkey"), F.col(text).cast("binary").alias("text"))
     # a later copy of a whole text goes as a whole; only the first one takes part in what follows
-    texts = body.groupBy("tkey").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter("first < _last").select("tkey", "first")
-    copies = stage(body.select("doc_id", "tkey").distinct().join(texts, "tkey").filter("doc_id > first").select("doc_id", "tkey"), "copies")
+    same = ["tkey", "_more", "_size"]
+    told = body.withColumns({"_more": F.xxhash64(F.lit(1), "text"), "_size": F.octet_length("text")}).select("doc_id", *same)
+    texts = told.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter("first < _last").select(*same, "first")
+    copies = stage(told.distinct().join(texts, same).filter("doc_id > first").select("doc_id", "tkey").distinct(), "copies")
     found = body.mapInArrow(_anchor_rows, "gram long, doc_id long, tkey long, pos int")
     # what occurs at one place of one text alone recurs in its copies only
     counted = found.groupBy("gram").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("tkey", "pos")])
     recurring = stage(counted.filter("min_tkey <> max_tkey or min_pos <> max_pos").select("gram", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "anchors")
-    hits = stage(found.join(recurring, "gram").join(copies, ["doc_id", "tkey"], "left_anti").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("pos", "parts")).alias("hits")), "anchor-places")
+    hits = stage(found.join(recurring, "gram").join(copies, ["doc_id", "tkey"], "left_anti").groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set(F.struct("pos", "parts"))).alias("hits")), "anchor-places")
     drop(recurring)
     parts = body.join(hits, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "hits").mapInArrow(_stretches, "gram long, parts int, doc_id long, tkey long, lo int, body binary")
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tkey"), F.col("parts")).cast("int"))

@@ -164,6 +164,21 @@ def test_repeats_match_brute_force(docs, rows, heavy, monkeypatch):
     assert Counter(tuple(r) for r in repeats.remove_repeats(docs).collect()) == Counter(brute_repeats(rows))
 
 
+@pytest.mark.parametrize("heavy, chunk", [(2, 4000), (5, 7), (512, 3)])
+def test_repeats_of_heavy_passages_match_brute_force(spark, heavy, chunk, monkeypatch):
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    rng = __import__("random").Random(8)
+    passages, rows = [sentence(rng, 30) for _ in range(3)], []
+    for i in range(80):
+        parts = [sentence(rng, rng.randint(1, 25)) for _ in range(3)]
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            cut = p.split(" ")[rng.randint(0, 9) : rng.randint(22, 30)]
+            parts.insert(rng.randint(0, len(parts)), " ".join(cut))
+        rows.append((rng.randint(0, 10**6) * 100 + i, "  ".join(parts)))
+    assert Counter(tuple(r) for r in repeats.remove_repeats(frame(spark, rows).repartition(4)).collect()) == Counter(brute_repeats(rows))
+
+
 def test_repeats_across_chunks():
     import pyarrow as pa
 

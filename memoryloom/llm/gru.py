@@ -6,14 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 24
+HIDDEN = 16
 #: Documents run side by side in so many lanes, in windows of so many steps.
 LANES, STEPS = 512, 16
-TRAIN_LANES = 64
+TRAIN_LANES = 256
+#: Texts are trained on in stretches of so many tokens, each from a fresh state, so that lanes are of like length.
+STRETCH = 512
 #: Adagrad's step size.
-RATE = 0.08
+RATE = 0.15
 #: Tokens that are laid out in lanes at once.
-LAYOUT_TOKENS = 1 << 20
+LAYOUT_TOKENS = 1 << 21
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -143,13 +145,14 @@ class Trainer:
         s[at] += grad * grad
         getattr(self.m, name)[at] -= RATE * grad / np.sqrt(s[at])
 
-    def window(self, state: np.ndarray, ids: np.ndarray, fresh: np.ndarray, live: np.ndarray, classes: np.ndarray, members: np.ndarray) -> np.ndarray:
+    def gradients(self, state: np.ndarray, ids: np.ndarray, fresh: np.ndarray, live: np.ndarray, classes: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+        """Of the window's summed negated log-likelihood, the entering state held fixed: (last state, gradients of what
+        each input adds, by step and lane, of the recurrent weights, and of the output's as losses gives them)."""
         m, k, keep = self.m, HIDDEN, []
         out, last = m.steps(state, ids, fresh, keep)
         lit = live.T.ravel()
         grads: dict = {}
         _, back = m.losses(out.reshape(-1, k)[lit], classes.T.ravel()[lit], members.T.ravel()[lit], grads)
-        scale = np.float32(1 / max(1, lit.sum()))
         full = np.zeros((out.shape[0] * out.shape[1], k), np.float32)
         full[lit] = back
         full = full.reshape(out.shape)
@@ -160,10 +163,17 @@ class Trainer:
             d = full[t] + ahead
             dn = d * (1 - z) * (1 - n * n)
             dz, dr = d * (before - n) * z * (1 - z), dn * g * r * (1 - r)
-            dx[t] = np.concatenate((dz, dr, dn), axis=1)
+            dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = dz, dr, dn
             inner = np.concatenate((dz, dr, dn * r), axis=1)
             dh += before.T @ inner
-            ahead = (d * z + inner @ m.h.T) * ~fresh[:, t, None]
+            ahead = d * z + inner @ m.h.T
+            if fresh[:, t].any():
+                ahead *= ~fresh[:, t, None]
+        return last, dx, dh, grads
+
+    def window(self, state: np.ndarray, ids: np.ndarray, fresh: np.ndarray, live: np.ndarray, classes: np.ndarray, members: np.ndarray) -> np.ndarray:
+        last, dx, dh, grads = self.gradients(state, ids, fresh, live, classes, members)
+        m, k, scale = self.m, HIDDEN, np.float32(1 / max(1, live.sum()))
         clip = lambda g: np.clip(g * scale, -0.1, 0.1)
         flat = ids.T.ravel()
         order = np.argsort(flat, kind="stable")
@@ -225,7 +235,8 @@ def windows(owner: np.ndarray, target: np.ndarray, fresh: np.ndarray, end: int):
 
 def train(model: Gru, docs: list[np.ndarray], class_of: np.ndarray, member_of: np.ndarray, end: int, trainer: Trainer | None = None) -> Trainer:
     trainer = trainer or Trainer(model)
-    for _, owner, target, fresh in layouts(docs, TRAIN_LANES):
+    lanes = min(TRAIN_LANES, max(16, sum(map(len, docs)) // 4096))  # few tokens: fewer lanes and so more steps
+    for _, owner, target, fresh in layouts([d[i : i + STRETCH] for d in docs for i in range(0, len(d), STRETCH)], lanes):
         state = np.zeros((len(owner), HIDDEN), np.float32)
         for live, ids, want, own, new in windows(owner, target, fresh, end):
             state = trainer.window(state[:live], ids, new, own >= 0, class_of[want], member_of[want])

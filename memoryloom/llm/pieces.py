@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import Table
+
 #: Fixed: what stands for a space in pieces.
 SPACE = "▁"
 #: A piece of rank r has a weight of (r + RANK_SHIFT) ** -alpha; a byte counts as the rank after the last.
@@ -43,40 +45,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Table:
-    """Non-negative 64-bit keys -> small numbers, looked up for whole arrays; open addressing."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(len(keys) * 4).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
-        slots = self._slots(keys)
-        while len(keys):
-            free = self.keys[slots] < 0
-            _, first = np.unique(slots, return_index=True)
-            mine = np.zeros(len(keys), bool)
-            mine[first] = True
-            mine &= free
-            self.keys[slots[mine]], self.values[slots[mine]] = keys[mine], values[mine]
-            keys, values, slots = keys[~mine], values[~mine], (slots[~mine] + 1) & (len(self.keys) - 1)
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(_STEP)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The keys' numbers, or -1."""
-        slots = self._slots(keys)
-        there = self.keys[slots]
-        out = np.where(there == keys, self.values[slots], -1)
-        open_ = np.flatnonzero((there != keys) & (there >= 0))
-        while len(open_):
-            slots[open_] = at = (slots[open_] + 1) & (len(self.keys) - 1)
-            there = self.keys[at]
-            hit = there == keys[open_]
-            out[open_[hit]] = self.values[at[hit]]
-            open_ = open_[~hit & (there >= 0)]
-        return out
-
-
 class Vocabulary:
     def __init__(self, path: str, alpha: float) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)

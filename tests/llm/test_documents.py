@@ -356,15 +356,89 @@ def test_language_model_counts_the_end_of_few_long_documents(spark, monkeypatch)
         assert r["n_known"] == r["n_tokens"] == n // 3 and r["base_score"] == pytest.approx(want)
 
 
-def test_language_model_learns_from_all_of_a_task(spark):
+def test_language_model_learns_from_all_documents(spark):
     rng = __import__("random").Random(9)
-    first = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(1000)) for _ in range(300)]
-    texts = spark.createDataFrame([(t.encode(),) for t in first + ["ee ff " * 500] * 100], "text binary").coalesce(1)
-    counts = texts.mapInArrow(lm._count, "word binary, tail int, n long").groupBy("word", "tail").sum("n").withColumnRenamed("sum(n)", "n")
-    lex = lm.lexicon(counts)
-    model = lm.train_pass(texts, lex, lex.start())
-    ids = lex.ids[lm.Places(lex.head).of([b"ee", b"ff"] * 100 + [b""])]
-    assert log_likelihoods(model, [ids], lex.class_of, lex.member_of, lex.end)[0] / len(ids) > -0.7
+    rows = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(1000))) for i in range(300)] + [(i, "ee ff " * 500) for i in range(300, 400)]
+    got = lm.score_documents(frame(spark, rows).coalesce(1)).filter("doc_id >= 300").collect()
+    assert all(r["score"] * np.log(10) / r["n_tokens"] > -0.5 for r in got)  # a model of the first rows alone knows neither word
+
+
+@pytest.mark.parametrize("trainer_tokens", [700, 4_000_000])
+def test_language_model_does_not_follow_partitions(spark, trainer_tokens):
+    rng = __import__("random").Random(21)
+    rows = [(i, " ".join(rng.choice(["the", "a", "of", "to", "in", f"w{rng.randint(0, 99)}"]) for _ in range(rng.randint(1, 60)))) for i in range(150)]
+    two, eight = ({r["doc_id"]: r["score"] for r in lm.score_documents(frame(spark, x).repartition(n), trainer_tokens=trainer_tokens).collect()} for x, n in ((rows, 2), (rows[::-1], 8)))
+    assert two == pytest.approx(eight, rel=1e-5)
+
+
+def plain_log_likelihood(m, ids, class_of, member_of, end):
+    """One token after another, in double precision."""
+    f = np.float64
+    state, total, before = np.zeros(m.h.shape[0]), 0.0, end
+    k = len(state)
+    for i in ids:
+        x, g = m.x[before].astype(f), state @ m.h.astype(f)
+        z, r = (1 / (1 + np.exp(-(x[j : j + k] + g[j : j + k]))) for j in (0, k))
+        n = np.tanh(x[2 * k :] + r * g[2 * k :])
+        state = (1 - z) * n + z * state
+        logits = state @ m.c.astype(f) + m.cb
+        c = class_of[i]
+        total += logits[c] - np.log(np.exp(logits).sum())
+        if m.size[c] > 1:
+            own = m.w[m.first[c] : m.first[c] + m.size[c]].astype(f) @ state + m.wb[m.first[c] : m.first[c] + m.size[c]]
+            total += own[member_of[i]] - np.log(np.exp(own).sum())
+        before = i
+    return total
+
+
+def small_model(seed=0):
+    rng = np.random.default_rng(seed)
+    model = Gru.start(6, np.array([7.0, 3.0, 2.0]), np.array([4.0, 3, 2, 1]), np.array([0, 2, 0]), np.array([2, 2, 0]))
+    for name, scale in (("x", 1), ("h", 0.6), ("c", 0.7), ("w", 0.7)):
+        a = getattr(model, name)
+        a[:] = rng.normal(0, scale, a.shape)
+    return model, np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 0])
+
+
+def test_whole_documents_match_a_plain_network(monkeypatch):
+    model, class_of, member_of = small_model()
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(1, 6, n), 0).astype(np.int32) for n in (0, 1, 15, 16, 17, 333, 40, 5, 2, 90)]
+    want = [plain_log_likelihood(model, d, class_of, member_of, 0) for d in docs]
+    for lanes, tokens in ((512, 1 << 21), (2, 100), (1, 1)):
+        monkeypatch.setattr("memoryloom.llm.gru.LANES", lanes)
+        monkeypatch.setattr("memoryloom.llm.gru.LAYOUT_TOKENS", tokens)
+        assert log_likelihoods(model, docs, class_of, member_of, 0) == pytest.approx(want, rel=1e-4)
+
+
+def test_backpropagation_through_time_matches_differences():
+    from memoryloom.llm.gru import Trainer
+
+    model, class_of, member_of = small_model(3)
+    rng = np.random.default_rng(4)
+    ids, want = rng.integers(0, 6, (3, 8)), rng.integers(0, 6, (3, 8))
+    fresh, live = np.zeros((3, 8), bool), np.ones((3, 8), bool)
+    fresh[0, 3] = fresh[1, 0] = True
+    live[2, 6:] = False
+    state = rng.normal(0, 0.3, (3, model.h.shape[0])).astype(np.float32)
+    _, dx, dh, grads = Trainer(model).gradients(state, ids, fresh, live, class_of[want], member_of[want])
+
+    def loss():
+        out, _ = model.steps(state, ids, fresh)
+        lit = live.T.ravel()
+        return -float(model.losses(out.reshape(-1, state.shape[1])[lit], class_of[want].T.ravel()[lit], member_of[want].T.ravel()[lit])[0].astype(np.float64).sum())
+
+    summed = np.zeros_like(model.x)
+    np.add.at(summed, ids.T.ravel(), dx.reshape(-1, dx.shape[2]))
+    for name, got in (("h", dh), ("x", summed), ("c", grads["c"]), ("cb", grads["cb"])):
+        a = getattr(model, name).reshape(-1)
+        for i in rng.integers(0, a.size, 25).tolist():
+            was, ends = a[i], []
+            for step in (0.02, -0.02):
+                a[i] = was + step
+                ends.append(loss())
+            a[i] = was
+            assert abs((ends[0] - ends[1]) / 0.04 - got.reshape(-1)[i]) < 5e-3 + 5e-3 * abs(got.reshape(-1)[i]), (name, i)
 
 
 def test_language_model_does_not_follow_file_layout(spark):
@@ -380,8 +454,10 @@ def test_recurrent_model_is_a_distribution_and_carries_state():
     class_of, member_of = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
     docs = [np.array([1, 2] * 200 + [0], np.int32) for _ in range(40)]
     model = train(model, docs, class_of, member_of, 0).m
-    total = sum(np.exp(log_likelihoods(model, [np.array([a, b, 0], np.int32)], class_of, member_of, 0)[0] - log_likelihoods(model, [np.array([a, b, 0], np.int32)], class_of, member_of, 0)[0]) for a in (1,) for b in (2,))
-    assert total == 1
+    # after any beginning, the chances of all that may follow sum to one
+    chance = lambda *ids: np.exp(log_likelihoods(model, [np.array(ids, np.int32)], class_of, member_of, 0)[0])
+    for begin in ((), (1,), (1, 2), (3, 3, 1)):
+        assert abs(sum(chance(*begin, x) for x in range(4)) / (chance(*begin) if begin else 1) - 1) < 1e-4
     # one step's probabilities sum to one
     state = np.zeros((4, model.h.shape[0]), np.float32)
     assert abs(np.exp(model.losses(state, class_of, member_of)[0]).sum() - 1) < 1e-5

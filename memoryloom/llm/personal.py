@@ -1,7 +1,11 @@
 """Personal data by candidate gradient boosting, in DataFrame functions alone.
 
-High-recall generators propose overlapping spans; boosted trees, fitted on a bounded sample and compiled to CASE
-expressions, score their format and context; a calibrated threshold selects what is added to the base spans.
+High-recall generators propose overlapping spans. On a bounded sample of documents, candidates get a label where evidence
+that the trees don't see speaks for or against them (checksums, number ranges, words such as "token" before them, what
+another generator's sure span covers); others stay unlabelled. Boosted trees, compiled to CASE expressions, learn the
+labels from format and context and score all candidates; a threshold for each kind, calibrated on the sample's other
+half, selects what is added to the base spans. So a card number with a wrong digit, an address with spelled signs or a
+secret is found by its likeness to sure ones.
 """
 
 from __future__ import annotations
@@ -13,11 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates that the trees are fitted on, least hash first: the only bound of the fit.
-SAMPLE_CANDIDATES = 4000
+#: The generators' kinds: those of the base spans, and secrets (keys, tokens, passwords).
+ALL_KINDS = (*KINDS, "secret")
+#: The only bounds of the fit: about so many documents, by hash, and so many candidates of each, least hash first.
+SAMPLE_DOCUMENTS, SAMPLE_EACH = 20_000, 8
 ROUNDS, RATE = 24, 0.3
-#: Added spans need this share of right ones among the candidates scored as high in the calibration half.
-PRECISION = 0.98
+#: Added spans need this share of right ones among the candidates of their kind scored as high in the calibration half,
+#: and so many labelled right there.
+PRECISION, LEAST_RIGHT = 0.98, 5
 #: Characters of context before and after a candidate.
 CONTEXT = 16
 
@@ -35,19 +42,27 @@ _BASE = {
 }
 #: Generators: looser patterns of the same kinds.
 _LOOSE = {
-    "email": (None, r"(?<![^\s@,;<>()\[\]\"'])[^\s@,;<>()\[\]\"']++@[^\s@,;<>()\[\]\"']++"),
-    "ip": (None, r"[0-9]++[.,:][0-9]++[.,:][0-9]++[.,:][0-9]++"),
+    "email": (None, r"(?<![^\s@,;<>()\[\]\"'])[^\s@,;<>()\[\]\"']++(?:@|\s?[(\[]at[)\]]\s?)[^\s@,;<>()\[\]\"']++(?:\s?[(\[]dot[)\]]\s?[A-Za-z0-9-]++)?"),
+    "ip": (None, r"[0-9]++[.,:][0-9]++[.,:][0-9]++[.,:][0-9]++|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": (r"(?<=[0-9])[\x20./-](?=[0-9])", rf"[0-9][0-9{_JOINT}]{{11,}}+"),
     "phone": (None, r"[+(]?[0-9][\x20()./0-9-]{6,}[0-9]"),
+    "secret": (None, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"),
 }
 _SPAN = "struct<start:int,end:int,body:string>"
-FEATURES = ("kind", "length", "digits", "letters", "others", "plus", "checksum", "largest", "dots", "before", "after", "hint")
+#: What the trees see: format and neighbours, and none of the evidence that labels are made of.
+FEATURES = ("kind", "length", "digits", "letters", "others", "plus", "capitals", "groups", "longest", "before", "after")
+_HINTS = {
+    "secret": r"(token|key|secret|passw(or)?d|pwd|api|auth|bearer|credential)[^a-z0-9]{0,5}$",
+    "number": r"(version|licen[cs]e|v|section|chapter|page|no)[^a-z0-9]{0,3}$",
+}
 
 
 def _present(kind: str, text: Column) -> Column:
     """A cheap test that holds wherever the kind can occur."""
     if kind == "email":
         return F.contains(text, F.lit("@"))
+    if kind == "loose email":
+        return F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")
     return text.rlike("[0-9]")
 
 
@@ -62,7 +77,7 @@ def _matches(kind: str, text: Column, joint: str | None, pattern: str) -> Column
         span = F.struct(s["at"].alias("start"), end.alias("end"), part.alias("body")).cast(_SPAN)
         return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"], F.concat(s["found"], F.array(span))).otherwise(s["found"]).alias("found"))
 
-    return F.when(_present(kind, text), F.aggregate(parts, start, step, lambda s: s["found"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(_present("loose email" if (joint, pattern) == _LOOSE["email"] else kind, text), F.aggregate(parts, start, step, lambda s: s["found"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _digits(body: Column) -> Column:
@@ -89,37 +104,58 @@ def with_base(df: DataFrame, text: str) -> DataFrame:
 
 
 def _candidate(kind: str, s: Column, text: Column) -> Column:
-    """A candidate's place and features."""
+    """A candidate's place, its features, and what context says: word for a secret before it, word for a plain number."""
     body, size = s["body"], F.length(s["body"])
     digits = _digits(body)
     before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-    after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
+    after = F.substring(text, s["end"] + 1, F.lit(1))
     edge = lambda c: F.when(c == "", 0).when(c.rlike(r"^[\s\"'(\[<,;:]$"), 1).when(c.rlike("^[A-Za-z]$"), 2).when(c.rlike("^[0-9]$"), 3).when(c.rlike("^[.!?)]$"), 4).otherwise(5)
-    numbers = F.transform(F.filter(F.split(body, "[^0-9]+"), lambda x: x != ""), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(1 << 40)))
+    groups = F.filter(F.split(body, "[^0-9A-Za-z]+"), lambda x: x != "")
     values = {
-        "kind": F.lit(KINDS.index(kind)), "length": size, "digits": F.length(digits), "letters": F.length(F.regexp_replace(body, "[^A-Za-z]", "")),
-        "others": F.length(F.regexp_replace(body, "[A-Za-z0-9]", "")), "plus": body.startswith("+").cast("int"),
-        "checksum": F.when(F.length(digits) > 1, F.call_function("luhn_check", digits)).otherwise(F.lit(False)).cast("int"), "largest": F.least(F.coalesce(F.array_max(numbers), F.lit(-1)), F.lit(1 << 30)),
-        "dots": F.length(F.regexp_replace(body, f"[^.{_JOINT}]", "")), "before": edge(F.substring(before, -1, 1)), "after": edge(F.substring(after, 1, 1)),
-        "hint": F.lower(before).rlike("(mail|phone|tel|call|card|fax|contact|address|host|ip)[^a-z]*$").cast("int"),
+        "kind": F.lit(ALL_KINDS.index(kind)), "length": size, "digits": F.length(digits), "letters": F.length(F.regexp_replace(body, "[^A-Za-z]", "")),
+        "others": F.length(F.regexp_replace(body, "[A-Za-z0-9]", "")), "plus": body.startswith("+").cast("int"), "capitals": F.length(F.regexp_replace(body, "[^A-Z]", "")),
+        "groups": F.size(groups), "longest": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), "before": edge(F.substring(before, -1, 1)), "after": edge(after),
     }
-    return F.struct(F.lit(kind).alias("kind_name"), s["start"].alias("start"), s["end"].alias("end"), *[v.cast("double").alias(f) for f, v in values.items()])
+    hint = F.when(F.lower(before).rlike(_HINTS["secret"]), 1).when(F.lower(before).rlike(_HINTS["number"]), -1).otherwise(0)
+    return F.struct(F.lit(kind).alias("kind_name"), s["start"].alias("start"), s["end"].alias("end"), body.alias("body"), hint.alias("hint"), *[v.cast("double").alias(f) for f, v in values.items()])
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
-    """with_base's output plus _loose: overlapping candidate spans with features, and whether each is a base span."""
-    out = df.withColumns({f"_loose_{k}": _matches(k, F.col("_text"), *_LOOSE[k]) for k in KINDS})
+    """with_base's output plus _loose: overlapping candidate spans with features."""
+    out = df.withColumns({f"_loose_{k}": _matches(k, F.col("_text"), *_LOOSE[k]) for k in ALL_KINDS})
     each = lambda k: F.transform(f"_loose_{k}", lambda s: _candidate(k, s, F.col("_text")))
-    return out.withColumn("_loose", F.concat(*map(each, KINDS))).drop(*(f"_loose_{k}" for k in KINDS))
+    return out.withColumn("_loose", F.concat(*map(each, ALL_KINDS))).drop(*(f"_loose_{k}" for k in ALL_KINDS))
+
+
+def label(c: Column, base: Column) -> Column:
+    """1: surely personal data; 0: surely not; null: neither. base: array of the document's base spans, named.
+
+    Sure are base spans (which pass checksums and ranges) and mixed strings after a word for a secret. Sure not to be of
+    their kind are candidates that a base span of another kind covers, numbers that are too short, too long or out of
+    range, numbers after a word such as "version", addresses without a domain, and plain words.
+    """
+    kind, digits = c["kind_name"], c["digits"]
+    named = F.concat_ws(":", kind, c["start"], c["end"])
+    covered = F.exists(base, lambda b: (b["kind"] != kind) & (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
+    parts = F.transform(F.split(c["body"], "[.,:]"), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(-1)))
+    right = F.exists(base, lambda b: F.concat_ws(":", b["kind"], b["start"], b["end"]) == named)
+    right = right | ((kind == "secret") & (c["hint"] == 1) & (digits >= 4) & (c["letters"] >= 4))
+    wrong = covered | (c["hint"] == -1)
+    wrong = wrong | ((kind == "email") & (~c["body"].rlike(r"[.]|dot") | (c["letters"] == 0)))
+    wrong = wrong | ((kind == "ip") & (c["letters"] == 0) & F.exists(parts, lambda x: x > 255))
+    wrong = wrong | ((kind == "card") & ~digits.between(13, 19)) | ((kind == "phone") & ~digits.between(7, 15))
+    wrong = wrong | ((kind == "secret") & ((digits == 0) | (c["letters"] == 0)))
+    return F.when(right, 1).when(wrong, 0)
 
 
 @dataclass(frozen=True)
 class Boosted:
-    """Trees of two levels: (feature, cut, (feature, cut, low, high) below, the same above); a bias and a threshold."""
+    """Trees of two levels: (feature, cut, (feature, cut, low, high) below, the same above); a bias; and a threshold for
+    each of ALL_KINDS (over 1: nothing of it is added)."""
 
     bias: float
     trees: tuple
-    threshold: float
+    thresholds: tuple[float, ...] = (2.0,) * len(ALL_KINDS)
 
     def column(self, c: Column) -> Column:
         total = F.lit(self.bias)
@@ -128,6 +164,9 @@ class Boosted:
             total = total + F.when(c[FEATURES[f]] <= cut, side(low)).otherwise(side(high))
         return 1 / (1 + F.exp(-total))
 
+    def threshold(self, c: Column) -> Column:
+        return F.get(F.array(*map(F.lit, self.thresholds)), c["kind"].cast("int"))
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.bias)
         for f, cut, low, high in self.trees:
@@ -151,10 +190,10 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[int, float]:
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
-    """Gradient boosting on the even rows; the threshold is calibrated on the odd ones."""
+    """Gradient boosting on the even rows; each kind's threshold is calibrated on its odd ones."""
     a, ya, b, yb = x[::2], y[::2], x[1::2], y[1::2]
     share = np.clip(ya.mean(), 0.01, 0.99)
-    model = Boosted(float(np.log(share / (1 - share))), (), 1.0)
+    model = Boosted(float(np.log(share / (1 - share))), ())
     for _ in range(ROUNDS):
         p = model.scores(a)
         g, h = ya - p, p * (1 - p) + 1e-6
@@ -164,50 +203,67 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
             k, c = _split(a[rows], g[rows], h[rows]) if rows.any() else (0, np.inf)
             low = a[:, k] <= c
             sides.append((k, min(c, 1e18), *(float(RATE * g[rows & m].sum() / (h[rows & m].sum() + 1)) for m in (low, ~low))))
-        model = Boosted(model.bias, (*model.trees, (f, min(cut, 1e18), *sides)), 1.0)
-    threshold, scores = 2.0, model.scores(b)
-    for t in np.unique(scores)[::-1]:
-        if t < 0.5 or yb[scores >= t].mean() < PRECISION:
-            break
-        threshold = float(t)
-    return Boosted(model.bias, model.trees, threshold)
-
-
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Boosted | None:
-    """Fit on at most SAMPLE_CANDIDATES candidates of docs; a candidate is right if it is a base span.
-
-    None where candidates are too few or all of one sort; then nothing is added to the base spans.
-    """
-    found = with_candidates(with_base(docs.select(F.col(key).alias("_key"), F.col(text).alias("_raw")), "_raw"))
-    named = lambda k: F.transform(f"_{k}", lambda s: F.concat_ws(":", F.lit(k), s["start"], s["end"]))
-    base = F.concat(*map(named, KINDS))
-    rows = found.filter(F.size("_loose") > 0).select("_key", F.explode("_loose").alias("c"), base.alias("base"))
-    name = F.concat_ws(":", "c.kind_name", "c.start", "c.end")
-    rows = rows.select(F.xxhash64("_key", name).alias("_h"), name.alias("_n"), F.array_contains("base", name).cast("int").alias("y"), *[F.col(f"c.{f}").alias(f) for f in FEATURES])
-    sample = rows.orderBy("_h", "_n", *FEATURES).limit(SAMPLE_CANDIDATES).drop("_h", "_n").collect()
-    y = np.array([r["y"] for r in sample], float)
+        model = Boosted(model.bias, (*model.trees, (f, min(cut, 1e18), *sides)))
+    scores, thresholds = model.scores(b), []
+    for k in range(len(ALL_KINDS)):
+        s, right = scores[b[:, 0] == k], yb[b[:, 0] == k]
+        best = 2.0
+        for t in np.unique(s)[::-1]:
+            if t < 0.5 or right[s >= t].mean() < PRECISION:
+                break
+            if right[s >= t].sum() >= LEAST_RIGHT:
+                best = float(t)
+        thresholds.append(best)
+    return Boosted(model.bias, model.trees, tuple(thresholds))
+
+
+def sample(docs: DataFrame, text: str = "text", key: str | None = "doc_id") -> DataFrame:
+    """(y, features) of the labelled candidates of about SAMPLE_DOCUMENTS documents; one row of equal ones is taken."""
+    n = docs.count()
+    ready = docs.select((F.xxhash64(*[F.col(c) for c in (key, text) if c])).alias("_h"), F.col(text).alias("_raw"))
+    if n > SAMPLE_DOCUMENTS:
+        ready = ready.filter(F.pmod("_h", F.lit(1 << 40)) < int((1 << 40) * SAMPLE_DOCUMENTS / n))
+    found = with_candidates(with_base(ready.dropDuplicates(["_h"]), "_raw")).withColumn("_base", _tagged())
+    some = F.slice(F.array_sort(F.transform("_loose", lambda c: F.struct(F.xxhash64("_h", c["kind_name"], c["start"], c["end"]).alias("h"), c.alias("c")))), 1, SAMPLE_EACH)
+    rows = found.filter(F.size("_loose") > 0).select("_base", F.explode(some).alias("x"))
+    return rows.select(F.col("x.h").alias("_h"), label(F.col("x.c"), F.col("_base")).alias("y"), *[F.col(f"x.c.{f}").alias(f) for f in FEATURES]).filter("y is not null")
+
+
+def fit(docs: DataFrame, text: str = "text", key: str | None = "doc_id") -> Boosted | None:
+    """Fit on sample(). None where labelled candidates are too few or all of one sort: nothing is added to the base."""
+    rows = sorted(sample(docs, text, key).collect())
+    y = np.array([r["y"] for r in rows], float)
     if len(y) < 40 or y.min() == y.max():
         return None
-    return boost(np.array([[r[f] for f in FEATURES] for r in sample], float), y)
+    return boost(np.array([[r[f] for f in FEATURES] for r in rows], float), y)
+
+
+def _tagged() -> Column:
+    """The base spans, by kind and then start: array of (rank, start, end, kind)."""
+    tagged = lambda k: F.transform(f"_{k}", lambda s: F.struct(F.lit(ALL_KINDS.index(k)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
+    return F.concat(*map(tagged, KINDS))
 
 
 def find(docs: DataFrame, model: Boosted | None, text: str = "text") -> DataFrame:
     """docs with last columns _email to _phone (base spans) and _all: every span (rank of the kind, start, end, kind).
 
-    Base spans always stay; of the candidates that overlap no base span, those that the model scores at or over its
-    threshold are added.
+    Base spans always stay; of the candidates that overlap no base span, those are added that the model scores at or
+    over their kind's threshold; of overlapping ones, the one whose score is highest (ties: the least kind, then start).
     """
     names = docs.columns
-    out = with_base(docs, text)
-    tagged = lambda k: F.transform(f"_{k}", lambda s: F.struct(F.lit(KINDS.index(k)).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
-    out = out.withColumn("_base", F.concat(*map(tagged, KINDS)))
-    if model is None or model.threshold > 1:
+    out = with_base(docs, text).withColumn("_base", _tagged())
+    if model is None or min(model.thresholds) > 1:
         out = out.withColumn("_all", F.array_sort("_base"))
     else:
         out = with_candidates(out)
         clear = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        chosen = F.transform(F.filter("_loose", lambda c: clear(c) & (model.column(c) >= model.threshold)), lambda c: F.struct(c["kind"].cast("int").alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind_name"].alias("kind")))
-        out = out.withColumn("_all", F.array_sort(F.array_distinct(F.concat("_base", chosen))))
+        scored = F.transform(F.filter("_loose", clear), lambda c: F.struct((-model.column(c)).alias("s"), c["kind"].cast("int").alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind_name"].alias("kind"), model.threshold(c).alias("t")))
+        # best first, so that a span is kept if none of those before it overlaps
+        out = out.withColumn("_chosen", F.array_sort(F.filter(scored, lambda c: -c["s"] >= c["t"])))
+        better = lambda c, d: (d < c) & (d["start"] < c["end"]) & (c["start"] < d["end"])
+        added = F.filter("_chosen", lambda c: ~F.exists("_chosen", lambda d: better(c, d)))
+        added = F.transform(added, lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+        out = out.withColumn("_all", F.when(F.size("_chosen") > 0, F.array_sort(F.concat("_base", added))).otherwise(F.array_sort("_base")))
     return out.select(*names, *(f"_{k}" for k in KINDS), "_all")
 
 
@@ -216,19 +272,28 @@ def _listed(spans: str | Column) -> Column:
 
 
 def spans_digest(docs: DataFrame) -> DataFrame:
-    """Per row the counts of the base spans, their digest, and all spans. Null texts count as empty."""
-    found = find(docs.select("doc_id", "text"), fit(docs))
+    """Per row of docs the counts of the base spans, their digest, all spans, and how many of them the method added.
+
+    Null texts count as empty; rows without spans have zeros, the digest of nothing and an empty string. Repeated rows
+    get the same spans, and an empty table an empty result. Of equally good overlapping candidates the one of the least
+    kind, then start, is added. Other columns are not read.
+    """
+    rows = docs.select("doc_id", "text")
+    found = find(rows, fit(rows))
     placed = lambda k: F.transform(f"_{k}", lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = F.concat(*map(placed, KINDS))
-    return found.select("doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(_listed(base), 256).alias("base_sha256"), _listed("_all").alias("spans"))
+    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
+    added = (F.size("_all") - sum(F.size(f"_{k}") for k in KINDS)).cast("long")
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed("_all").alias("spans"), added.alias("n_added"), F.size("_all").cast("long").alias("n_spans"))
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", key: str | None = "doc_id") -> DataFrame:
     """docs with every span of its texts replaced by its kind, as in [EMAIL]; overlapping spans become one.
 
-    Texts without spans, and null texts, are unchanged.
+    Texts without spans, and null texts, are unchanged. key (None: only the text) tells rows apart in the fit's sample.
     """
-    found = find(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_raw")), fit(docs, docs.columns[0], text), "_raw")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_raw"))
+    found = find(packed, fit(docs, text, key), "_raw")
     ordered = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("_e"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

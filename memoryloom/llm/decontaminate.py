@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import tidy
+
 #: Fixed: everything in ASCII but digits and letters separates words; A-Z become a-z.
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Items go to one automaton up to so many bytes of text; more items are dealt to several, each streamed over in turn.
@@ -158,9 +160,10 @@ def _unruns(runs: list[int], n: int) -> np.ndarray:
     return hit
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with three more columns at its end: _n words, _hit runs and _items."""
-    spark = docs.sparkSession
+def _scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, last=None, schema=None) -> DataFrame:
+    """docs with three more columns at its end: _n words, _hit runs and _items; or what last, a further step on batches,
+    makes of that (schema). All blocks are looked for in one worker a task, one after another on each batch."""
+    spark, steps = docs.sparkSession, []
     out = docs.withColumns({"_n": F.lit(0).cast("long"), "_hit": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
     for block in _blocks(benchmark, item, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(block)
@@ -179,8 +182,16 @@ def _scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 k = batch.num_columns - 3
                 yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
 
-        out = out.mapInArrow(look, out.schema)
-    return out
+        steps.append(look)
+    if last:
+        steps.append(last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    return out.mapInArrow(tidy(run), schema or out.schema)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
@@ -212,8 +223,7 @@ def remove_overlaps(docs: DataFrame, benchmark: DataFrame, max_coverage: float =
     Text outside the hit stretches stays byte for byte; a removed stretch leaves one space. Untouched documents are
     unchanged.
     """
-    found = _scan(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_body")), benchmark, "_body")
-    packed = found.select("_row", "_body").schema
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_body"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +235,7 @@ def remove_overlaps(docs: DataFrame, benchmark: DataFrame, max_coverage: float =
             columns = [batch.column("_row"), pa.array(texts, batch.column("_body").type)]
             yield pa.RecordBatch.from_arrays(columns, names=["_row", "_body"]).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(cut, packed).select(*[F.col("_body").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
+    return _scan(packed, benchmark, "_body", last=cut, schema=packed.schema).select(*[F.col("_body").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def cut_words(text: bytes, runs: list[int]) -> bytes:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gru import Gru, log_likelihoods, train
-from .scratch import drop, stage
+from .scratch import drop, stage, tidy
 from .words import Table, byte_slices, hashed_words
 
 #: The most frequent words, whose counts every task holds; counts of rarer ones are joined.
@@ -185,7 +185,7 @@ def train_pass(texts: DataFrame, lex: Lexicon, model: Gru, trainers: int) -> Gru
     schema = "piece int, trainer long, weight double, part binary"
     tasks = min(trainers, TRAINER_TASKS)
     dealt = texts.withColumn("trainer", F.pmod("deal", F.lit(trainers))).repartitionById(tasks, F.pmod("trainer", F.lit(tasks)).cast("int"))
-    parts = stage(dealt.sortWithinPartitions("trainer", "deal", "ids").select("trainer", "ids").mapInArrow(run, schema), "lm-parts")
+    parts = stage(dealt.sortWithinPartitions("trainer", "deal", "ids").select("trainer", "ids").mapInArrow(tidy(run), schema), "lm-parts")
     merged, width = parts, trainers
     while width > 1 or merged is parts:
         merged, width = merged.groupBy("piece", F.shiftright("trainer", 6).alias("_group")).applyInPandas(_merge, schema), -(-width // 64)
@@ -293,16 +293,16 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tr
     """
     spark = docs.sparkSession
     body = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).cast("binary").alias("text"))
-    counts = stage(body.filter(~F.col("held_out")).select("text").mapInArrow(_count, "word binary, tail int, n long").groupBy("word", "tail").agg(F.sum("n").alias("n")), "lm-counts")
+    counts = stage(body.filter(~F.col("held_out")).select("text").mapInArrow(tidy(_count), "word binary, tail int, n long").groupBy("word", "tail").agg(F.sum("n").alias("n")), "lm-counts")
     lex = lexicon(counts)
     ready = body.withColumn("deal", F.xxhash64("text", "doc_id"))
-    encoded = stage(ready.mapInArrow(_encoder(spark.sparkContext.broadcast(lex)), _ENCODED), "lm-encoded")
+    encoded = stage(ready.mapInArrow(tidy(_encoder(spark.sparkContext.broadcast(lex))), _ENCODED), "lm-encoded")
     model, trainers = lex.start(), max(1, -(-lex.tokens // trainer_tokens))
     learned = encoded.filter(~F.col("held_out")).select("deal", "ids")
     for i in range(PASSES):
         model = train_pass(learned.filter(F.pmod(F.xxhash64("deal"), F.lit(PASSES)) == i), lex, model, trainers)
     shared = spark.sparkContext.broadcast((lex, model))
-    scored = encoded.drop("rare", "deal").mapInArrow(_scorer(shared), _SCORED)
+    scored = encoded.drop("rare", "deal").mapInArrow(tidy(_scorer(shared)), _SCORED)
     rare = encoded.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.n")
     logs = rare.join(counts.select("word", F.col("n").alias("c")), "word").groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("_log"), F.sum("n").alias("_seen"))
     more = F.coalesce("_log", F.lit(0.0))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import drop, stage
+from .scratch import drop, stage, tidy
 from .words import byte_slices, gram_hashes, hashed_words
 
 SHINGLE = 5
@@ -111,7 +111,7 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     Empty and null texts have size 0 and no digest.
     """
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sketch binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(tidy(_sketch), "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def shingle_table(docs: DataFrame, classes: DataFrame, ids: DataFrame, key: str,
     """(class_id, body) of the classes in ids; staged. A doc_id may have several texts, of which one has the class's set."""
     wanted = classes.select("class_id", "digest").join(ids, "class_id", "left_semi")
     body = docs.select(F.col(key).cast("long").alias("class_id"), F.col(text).cast("binary").alias("text"))
-    return stage(wanted.join(body, "class_id").select("class_id", "digest", "text").mapInArrow(_sets, "class_id long, body binary").dropDuplicates(["class_id"]), "sets")
+    return stage(wanted.join(body, "class_id").select("class_id", "digest", "text").mapInArrow(tidy(_sets), "class_id long, body binary").dropDuplicates(["class_id"]), "sets")
 
 
 def _beside_hubs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(links(pa.Table.from_batches(waiting)))
 
 
-def _open_links(docs: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+def _open_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of members of one bucket, neither of them its hub, that are in different components so far; staged.
 
     Members in the hub's component (home) are held against the others, and the others against each other, in blocks.
@@ -258,10 +258,7 @@ def _open_links(docs: DataFrame, members: DataFrame, labels: DataFrame, classes:
     rows = named.join(sums.filter("_lo <> _hi").select("bucket", "home"), "bucket").filter("class_id <> hub")
     rows = stage(rows.withColumn("side", at_home).drop("home"), "open-members")
     pairs = rows.select("hub", F.col("class_id").alias("member")).distinct()
-    ends = pairs.select(F.col("hub").alias("class_id")).union(pairs.select("member")).distinct()
-    sets = shingle_table(docs, classes, ends, key, text)
-    deltas = stage(_beside_hubs(pairs, sets).mapInArrow(_deltas, "hub long, class_id long, n long, bits binary, rest binary"), "deltas")
-    drop(sets)
+    deltas = stage(_beside_hubs(pairs, sets).mapInArrow(tidy(_deltas), "hub long, class_id long, n long, bits binary, rest binary"), "deltas")
     size = rows.groupBy("bucket").agg(*[F.ceil(F.count_if(c) / BLOCK).cast("int").alias(x) for c, x in ((F.col("side"), "homes"), (~F.col("side"), "strays"))])
     own = F.pmod(F.xxhash64("class_id"), F.when(F.col("side"), F.col("homes")).otherwise(F.col("strays"))).cast("int")
     all_of = lambda c: F.filter(F.sequence(F.lit(0), F.col(c)), lambda x: x < F.col(c))
@@ -273,7 +270,7 @@ def _open_links(docs: DataFrame, members: DataFrame, labels: DataFrame, classes:
     # sides: home or not; of two blocks of strays, the one or the other
     dealt = dealt.select("bucket", "hub", "_at.*", "class_id", "component", F.when(F.col("_at.home"), F.col("side").cast("int")).otherwise(F.col("_own")).alias("side"))
     blocks = dealt.join(deltas, ["hub", "class_id"]).select(*_BLOCK_KEY, "side", "class_id", "component", "n", "bits", "rest")
-    links = stage(blocks.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY).mapInArrow(_across, "a long, b long").distinct(), "open-links")
+    links = stage(blocks.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY).mapInArrow(tidy(_across), "a long, b long").distinct(), "open-links")
     drop(rows, deltas)
     return links
 
@@ -308,13 +305,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     alike = 100 * F.least("n", "n_hub") >= THRESHOLD * F.greatest("n", "n_hub")
     stars = members.filter("hub <> class_id").filter(alike).select("hub", F.col("class_id").alias("member")).distinct()
     bodies = classes.select("class_id", F.col("n_shingles").alias("n"), F.col("sketch").alias("body"))
-    stars = stage(_beside_hubs(stars, bodies).mapInArrow(_likely, "hub long, member long").distinct(), "stars")
-    ends = stars.select(F.col("hub").alias("class_id")).union(stars.select("member")).distinct()
+    stars = stage(_beside_hubs(stars, bodies).mapInArrow(tidy(_likely), "hub long, member long").distinct(), "stars")
+    ends = stars.select(F.col("hub").alias("class_id")).union(stars.select("member")).union(members.filter("members > 2").select("class_id")).distinct()
     sets = shingle_table(docs, classes, ends, key, text)
-    links = stage(_beside_hubs(stars, sets).mapInArrow(_verified, "a long, b long"), "confirmed")
-    drop(sets, stars)
+    links = stage(_beside_hubs(stars, sets).mapInArrow(tidy(_verified), "a long, b long"), "confirmed")
+    drop(stars)
     labels = components(links)
-    more = _open_links(docs, members, labels, classes, key, text)
+    more = _open_links(members, labels, sets)
+    drop(sets)
 
     classed = sketches.join(classes.select("digest", "class_id"), "digest", "left").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     classed = classed.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component"))

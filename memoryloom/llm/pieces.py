@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import tidy
 from .words import Table
 
 #: Fixed: what stands for a space in pieces.
@@ -23,7 +24,7 @@ SPACE = "▁"
 #: A piece of rank r has a weight of (r + RANK_SHIFT) ** -alpha; a byte counts as the rank after the last.
 RANK_SHIFT = 10
 #: Characters that are sampled at once.
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 600_000
 #: Steps of a forward pass that fewer lattices than this still take are done one node at a time.
 NARROW = 4
 #: Pieces hold spaces only at their start, or nothing but spaces; none holds a line feed. So no piece crosses a unit.
@@ -255,7 +256,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path, alpha)
         for batch in batches:
-            keys, texts = batch.column(kept.index(key)).to_pylist(), batch.column(len(kept)).to_pylist()
+            keys, texts = batch.column(kept.index(key)).to_pylist(), batch.column(len(kept)).to_pylist()  # a few MB
             for part in _slices(texts):
                 ids = encode_batch(vocab, keys[part], texts[part], seed)
                 fine = [vocab.decode(i.tolist()) == (t or "").encode() for i, t in zip(ids, texts[part], strict=True)]
@@ -264,7 +265,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
                 rows = batch.slice(part.start, len(ids))
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], pa.array(sizes), lists, pa.array(fine, pa.bool_())], names=fields.names)
 
-    return ready.mapInArrow(run, fields)
+    return ready.mapInArrow(tidy(run), fields)
 
 
 def pieces_digest(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import tidy
+
 #: Labelled rows of each class to build its dictionary from, and as many to calibrate on: the only bound of the fit.
 SAMPLE_ROWS = 1000
 #: Longer texts are left out of the sample (not of the scoring).
@@ -128,7 +130,7 @@ def score(docs: DataFrame, model: QualityModel | None, text: str = "text", name:
             scores = rate([x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=fields.names)
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(tidy(run), fields)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import drop, stage
+from .scratch import drop, stage, tidy
 from .words import byte_slices, gram_hashes, hashed_words, spaced_words
 
 #: A passage is a window of so many consecutive words.
@@ -177,15 +177,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     told = body.withColumns({"_more": F.xxhash64(F.lit(1), "text"), "_size": F.octet_length("text")}).select("doc_id", *same)
     texts = told.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter("first < _last").select(*same, "first")
     copies = stage(told.distinct().join(texts, same).filter("doc_id > first").select("doc_id", "tkey").distinct(), "copies")
-    found = body.mapInArrow(_anchor_rows, "gram long, doc_id long, tkey long, pos int")
+    found = body.mapInArrow(tidy(_anchor_rows), "gram long, doc_id long, tkey long, pos int")
     # what occurs at one place of one text alone recurs in its copies only
     counted = found.groupBy("gram").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("tkey", "pos")])
     recurring = stage(counted.filter("min_tkey <> max_tkey or min_pos <> max_pos").select("gram", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "anchors")
     hits = stage(found.join(recurring, "gram").join(copies, ["doc_id", "tkey"], "left_anti").groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set(F.struct("pos", "parts"))).alias("hits")), "anchor-places")
     drop(recurring)
-    parts = body.join(hits, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "hits").mapInArrow(_stretches, "gram long, parts int, doc_id long, tkey long, lo int, body binary")
+    parts = body.join(hits, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "hits").mapInArrow(tidy(_stretches), "gram long, parts int, doc_id long, tkey long, lo int, body binary")
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tkey"), F.col("parts")).cast("int"))
-    located = stage(parts.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "doc_id", "lo").mapInArrow(_locate, _LOCATED), "located")
+    located = stage(parts.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "doc_id", "lo").mapInArrow(tidy(_locate), _LOCATED), "located")
     drop(hits)
     place = F.struct("doc_id", F.col("spans")[0])
     heavy = located.filter("passage is not null").withColumn("_first", F.min(place).over(Window.partitionBy("gram", "passage"))).filter(place > F.col("_first"))
@@ -229,4 +229,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spans = repeated_spans(docs, key, text)
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tkey"), F.col(text).cast("binary").alias("text"))
     joined = body.join(spans, ["doc_id", "tkey"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidy(_kept), "doc_id long, n_words long, n_removed long, kept_sha256 string")

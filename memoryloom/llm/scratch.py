@@ -2,13 +2,49 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def release() -> None:
+    """Hand what this worker has freed back to the system: idle workers stay alive beside those at work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Bytes of an Arrow batch between the executors and their workers, where the session leaves Spark's larger default.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, with release() at the end of each task, and with batches of bounded size: the session's
+    limit is lowered to BATCH_BYTES where it is Spark's default; a limit that a user has set stays."""
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get(_BATCH_SETTING) == str(64 << 20):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one of our own."""
     sc = spark.sparkContext

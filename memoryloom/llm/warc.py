@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, new_path, stage
+from .scratch import drop, new_path, stage, tidy
 
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 32 << 20
@@ -144,7 +144,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     kept = rows.filter(F.col("_n") >= revisit_bytes).groupBy("_sha1", "_n").agg(F.max("page_id").alias("_kept"), F.count("*").alias("_copies"))
     kept = stage(kept.filter("_copies > 1 and _kept is not null").drop("_copies"), "warc-kept")  # its size is known from here on
     typed = rows.join(kept, ["_sha1", "_n"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("_kept")), F.col("_kept")).alias("refers_to"))
-    manifest = stage(typed.mapInArrow(_writer(folder), "archive string, records long, bytes long"), "warc-manifest")
+    manifest = stage(typed.mapInArrow(tidy(_writer(folder)), "archive string, records long, bytes long"), "warc-manifest")
     drop(kept)
     return manifest
 
@@ -178,7 +178,7 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     Framing errors, cut archives and missing records raise; a wrong digest gives digest_ok false.
     """
     n = max(1, manifest.count())
-    return manifest.repartition(n).mapInArrow(_reader(folder), RECORDS)
+    return manifest.repartition(n).mapInArrow(tidy(_reader(folder)), RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Each stage works on all rows that the stage before it kept and takes (spark, doc
 columns of documents:
 
 1. quality: rows whose text the compression classifier scores under 0.5 go;
-2. near_duplicates: of each group of near-duplicate documents the one with the least doc_id stays (one row of it);
+2. near_duplicates: of each group of near-duplicate documents the one with the least doc_id stays;
 3. decontamination: stretches of benchmark text go, and documents of which more than half is such text;
 4. personal_data: personal data is replaced by its kind;
 5. pieces: texts are encoded; returns doc_id, lang, source, n_pieces, pieces and lossless.
@@ -25,30 +25,49 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score 0.5 or more, unchanged. Null and empty texts are scored as empty ones; repeated rows go or stay
+    together; without labelled text of both sorts, and for empty tables, all rows stay. Other columns aren't looked at."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without doc_id stay; of rows that repeat a kept doc_id the one with the least text hash stays."""
+    """Of each group of near-duplicate documents the one with the least doc_id, unchanged.
+
+    Rows without doc_id, and documents without words, are in no group and stay. Rows of one doc_id are one document:
+    they go or stay together, but for rows that repeat both doc_id and text, of which the one whose columns hash least
+    stays. An empty table gives an empty one; other columns may have any names.
+    """
     found = neardup.near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1 and doc_id is not null").select("doc_id")
-    again = rest.join(twice, "doc_id").select("doc_id", F.xxhash64("text").alias("_t")).groupBy("doc_id").agg(F.min("_t").alias("_least"))
-    kept = rest.join(again, "doc_id", "left").filter(F.col("_least").isNull() | F.xxhash64("text").eqNullSafe(F.col("_least")))
-    once = kept.filter("_least is null").select(*docs.columns)
-    return once.unionByName(kept.filter("_least is not null").select(*docs.columns).dropDuplicates(["doc_id"]))
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_key")).distinct()
+    packed = docs.select(F.col("doc_id").cast("long").alias("_key"), F.struct("*").alias("_row"))
+    rest = packed.join(gone, "_key", "left_anti")
+    twice = stage(docs.groupBy(F.col("doc_id").cast("long").alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1 and _key is not null").select("_key"), "repeated-ids")
+    if not twice.limit(1).count():
+        drop(twice)
+        return rest.select("_row.*")
+    again = rest.join(twice, "_key", "left_semi").withColumns({"_a": F.xxhash64("_row.text"), "_b": F.xxhash64(F.lit(1), F.col("_row.text")), "_of": F.xxhash64("_row")})
+    one = again.groupBy("_key", "_a", "_b").agg(F.min_by("_row", "_of").alias("_row"))
+    return rest.join(twice, "_key", "left_anti").select("_row.*").union(one.select("_row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without the stretches of benchmark text in them, and without rows of which more than half is such text.
+
+    Null and empty texts have no such text and stay; repeated rows are treated alike; an empty table or benchmark changes
+    nothing. Only the text changes.
+    """
     return decontaminate.remove_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, every span of personal data in their texts replaced by its kind. Null texts and texts without spans are
+    unchanged; repeated rows are treated alike; an empty table gives an empty one. Only the text changes."""
     return personal.redact(docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_pieces, pieces and lossless for every row. Null and empty texts have no pieces; rows that
+    repeat doc_id and text get the same ones; an empty table gives an empty one."""
     return pieces.encode(docs.select("doc_id", "lang", "source", "text"))
 
 

@@ -1,4 +1,4 @@
-"""BM25 over one corpus per user: exploded postings, aggregated statistics, an equi-join on (corpus, term)."""
+"""BM25 over one corpus per user: texts tokenised once, aggregated statistics, an equi-join on the queries' terms."""
 
 from __future__ import annotations
 
@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..params import DEFAULT, Params
+from ..sources.checkpoints import staged
 
 
-def postings(docs: DataFrame, corpus: str, doc: str, text: str) -> DataFrame:
-    """(corpus, doc, term, tf, dl); documents without tokens have no rows."""
-    terms = docs.select(corpus, doc, F.explode(tokenize(F.col(text))).alias("term")).groupBy(corpus, doc, "term").agg(F.count("*").alias("tf"))
-    lengths = terms.groupBy(corpus, doc).agg(F.sum("tf").alias("dl"))
-    return terms.join(lengths, [corpus, doc])
+def token_bags(docs: DataFrame, corpus: str, doc: str, text: str) -> DataFrame:
+    """(corpus, doc, terms, dl): the tokens of each document, with repeats, and their number; staged, as the statistics
+    and the scores all read them."""
+    bags = docs.select(corpus, doc, tokenize(F.col(text)).alias("terms"))
+    return staged(bags.withColumn("dl", F.size("terms")), "tokens")
 
 
-def statistics(index: DataFrame, docs: DataFrame, corpus: str, doc: str, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(corpus, term, idf) and (corpus, n, avgdl). A negative idf becomes epsilon times the mean over all terms."""
-    sizes = docs.groupBy(corpus).agg(F.count("*").alias("n"))
-    totals = index.groupBy(corpus).agg(F.sum("tf").alias("_tokens"))
-    corpora = sizes.join(totals, corpus).withColumn("avgdl", F.col("_tokens") / F.col("n")).drop("_tokens")
-    df = index.groupBy(corpus, "term").agg(F.count("*").alias("df"))
+def statistics(bags: DataFrame, corpus: str, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(corpus, term, idf) and (corpus, n, avgdl). A negative idf becomes epsilon times the mean over all terms.
+
+    Terms are counted by document before anything is shuffled; corpora without tokens have no rows.
+    """
+    corpora = bags.groupBy(corpus).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl")).filter("avgdl > 0")
+    df = bags.select(corpus, F.explode(F.array_distinct("terms")).alias("term")).groupBy(corpus, "term").agg(F.count("*").alias("df"))
     idf = df.join(corpora.select(corpus, "n"), corpus).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.groupBy(corpus).agg(F.avg("idf").alias("_mean"))
     idf = idf.join(mean, corpus).select(corpus, "term", F.when(F.col("idf") < 0, params.epsilon * F.col("_mean")).otherwise(F.col("idf")).alias("idf"))
@@ -32,15 +34,17 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, corpus: str = "user_id", do
     """(query, corpus, doc, bm25) of documents that share a term with a query of their corpus; the others score 0.
 
     A query's repeated tokens count each time. The corpus is a join key throughout: no user's notes meet another's
-    queries.
+    queries. Of the documents' tokens only those that some query of their corpus has are shuffled.
     """
-    index = postings(docs, corpus, doc, text)
-    idf, corpora = statistics(index, docs, corpus, doc, params)
-    terms = queries.select(query, corpus, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query, corpus, "term").agg(F.count("*").alias("qtf"))
-    weighed = terms.join(idf, [corpus, "term"]).join(corpora, corpus)
+    bags = token_bags(docs, corpus, doc, text)
+    idf, corpora = statistics(bags, corpus, params)
+    terms = staged(queries.select(query, corpus, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query, corpus, "term").agg(F.count("*").alias("qtf")), "query-terms")
+    asked = terms.select(corpus, "term").distinct()
+    found = bags.select(corpus, doc, "dl", F.explode("terms").alias("term")).join(asked, [corpus, "term"], "left_semi").groupBy(corpus, doc, "term", "dl").agg(F.count("*").alias("tf"))
+    weighed = terms.join(idf.join(asked, [corpus, "term"], "left_semi"), [corpus, "term"]).join(corpora, corpus)
     length = 1 - params.b + params.b * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * length)
-    return index.join(weighed, [corpus, "term"]).groupBy(query, corpus, doc).agg(F.sum(part).alias("bm25"))
+    return found.join(weighed, [corpus, "term"]).groupBy(query, corpus, doc).agg(F.sum(part).alias("bm25"))
 
 
 def rank_documents(docs: DataFrame, queries: DataFrame, top_n: int, corpus: str = "user_id", doc: str = "id", text: str = "content", query: str = "query_id", query_text: str = "query", params: Params = DEFAULT) -> DataFrame:
@@ -49,6 +53,7 @@ def rank_documents(docs: DataFrame, queries: DataFrame, top_n: int, corpus: str
 
     every = queries.select(query, corpus).join(docs.select(corpus, doc), corpus)
     scored = every.join(bm25_scores(docs, queries, corpus, doc, text, query, query_text, params), [query, corpus, doc], "left").fillna(0.0, ["bm25"])
-    shifted = scored.withColumn("score", F.col("bm25") - F.min("bm25").over(Window.partitionBy(query)))
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), doc))
-    return shifted.withColumn("rank", rank).filter(F.col("rank") <= max(1, top_n)).drop("bm25")
+    least = scored.groupBy(query).agg(F.min("bm25").alias("_least"))
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("bm25"), doc))
+    top = scored.withColumn("rank", rank).filter(F.col("rank") <= max(1, top_n))
+    return top.join(least, query).withColumn("score", F.col("bm25") - F.col("_least")).drop("bm25", "_least")

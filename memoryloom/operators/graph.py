@@ -84,13 +84,18 @@ def build_edges(symbols: DataFrame) -> DataFrame:
     return both.groupBy("user_id", "src", "dst").agg(F.sum("w").alias("w"))
 
 
+def _keys(df: DataFrame) -> list[str]:
+    """query_id and user_id where seeds are a query's own, else user_id."""
+    return [c for c in ("query_id", "user_id") if c in df.columns]
+
+
 def seed_files(seeds: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(user_id, file) that seeds (user_id, seed) name: a file, or else the files that define a symbol."""
-    defs = symbols.filter("kind = 'def'")
-    files = defs.select("user_id", "file").distinct()
-    as_file = seeds.join(files, (seeds["user_id"] == files["user_id"]) & (seeds["seed"] == files["file"]), "left_semi").select("user_id", F.col("seed").alias("file"))
-    others = seeds.join(as_file.withColumnRenamed("file", "seed"), ["user_id", "seed"], "left_anti")
-    as_symbol = others.join(defs.select("user_id", "file", F.col("name").alias("seed")), ["user_id", "seed"]).select("user_id", "file")
+    """([query_id,] user_id, file) that seeds ([query_id,] user_id, seed) name: a file, or else those that define a symbol."""
+    keys, defs = _keys(seeds), symbols.filter("kind = 'def'")
+    files = defs.select("user_id", F.col("file").alias("seed")).distinct()
+    as_file = seeds.join(files, ["user_id", "seed"], "left_semi").select(*keys, F.col("seed").alias("file"))
+    others = seeds.join(files, ["user_id", "seed"], "left_anti")
+    as_symbol = others.join(defs.select("user_id", "file", F.col("name").alias("seed")), ["user_id", "seed"]).select(*keys, "file")
     return as_file.union(as_symbol).distinct()
 
 
@@ -113,22 +118,36 @@ def power_iteration(files: list[str], edges: list[tuple[str, str, float]], seeds
     return rank
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """(user_id, file, score, is_seed) over each user's graph of nodes (user_id, file).
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, params: Params = DEFAULT, asked: DataFrame | None = None) -> DataFrame:
+    """([query_id,] user_id, file, score, is_seed) over each user's graph of nodes (user_id, file).
 
-    A user's graph is one group; graphs too large for a task go through pagerank_large.
+    Where seeds have a query_id each query is ranked from its own; asked (query_id, user_id) are the queries to rank,
+    those without a seed in the graph from everywhere alike. A user's graph is one group, read once for all of the user's
+    queries; graphs too large for a task go through pagerank_large.
     """
-    parts = nodes.select("user_id", F.col("file").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("w"), F.lit("node").alias("part"))
-    parts = parts.unionByName(edges.select("user_id", "src", "dst", "w", F.lit("edge").alias("part")))
-    parts = parts.unionByName(seeds.select("user_id", F.col("file").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("w"), F.lit("seed").alias("part")))
+    none, by_query = F.lit(None).cast("string"), "query_id" in seeds.columns
+    query = F.col("query_id") if by_query else none
+    parts = nodes.select("user_id", F.col("file").alias("src"), none.alias("dst"), F.lit(0.0).alias("w"), F.lit("node").alias("part"), none.alias("query_id"))
+    parts = parts.unionByName(edges.select("user_id", "src", "dst", "w", F.lit("edge").alias("part"), none.alias("query_id")))
+    parts = parts.unionByName(seeds.select("user_id", F.col("file").alias("src"), none.alias("dst"), F.lit(0.0).alias("w"), F.lit("seed").alias("part"), query.alias("query_id")))
+    if asked is not None:
+        parts = parts.unionByName(asked.select("user_id", none.alias("src"), none.alias("dst"), F.lit(0.0).alias("w"), F.lit("ask").alias("part"), "query_id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         files = sorted(pdf.loc[pdf["part"] == "node", "src"].unique())
-        known, chosen = set(files), set(pdf.loc[pdf["part"] == "seed", "src"])
+        known = set(files)
         links = [(s, d, w) for s, d, w, p in zip(pdf["src"], pdf["dst"], pdf["w"], pdf["part"], strict=True) if p == "edge" and s in known and d in known]
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "file": files, "score": power_iteration(files, links, chosen, params), "is_seed": [f in chosen for f in files]})
+        chosen: dict = {q: set() for q in pdf.loc[pdf["part"] == "ask", "query_id"]} if by_query else {None: set()}
+        for q, f in pdf.loc[pdf["part"] == "seed", ["query_id", "src"]].itertuples(index=False):
+            chosen.setdefault(q if by_query else None, set()).add(f)
+        user, out = pdf["user_id"].iloc[0], []
+        for q, own in sorted(chosen.items(), key=lambda x: str(x[0])):
+            out.append(pd.DataFrame({"query_id": q, "user_id": user, "file": files, "score": power_iteration(files, links, own, params), "is_seed": [f in own for f in files]}))
+        names = ["query_id", "user_id", "file", "score", "is_seed"]
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
-    return parts.groupBy("user_id").applyInPandas(run, "user_id string, file string, score double, is_seed boolean")
+    found = parts.groupBy("user_id").applyInPandas(run, "query_id string, user_id string, file string, score double, is_seed boolean")
+    return found if by_query else found.drop("query_id")
 
 
 def pagerank_large(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -157,15 +176,18 @@ def pagerank_large(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, params:
 
 
 def related_files(ranked: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """The best files of each user that aren't seeds."""
+    """The best files of each query (or user) that aren't seeds. Scores that differ by rounding alone count as equal."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "file")
+    w = Window.partitionBy(*_keys(ranked)).orderBy(F.desc(F.round("score", 10)), "file")
     return ranked.filter(~F.col("is_seed")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= params.pagerank_top_n)
 
 
 def boosted(recalled: DataFrame, related: DataFrame, symbols: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """recalled with symbol_boost added to the score of notes whose card names a related file or one of its symbols."""
-    names = related.select("user_id", F.col("file").alias("name")).union(related.select("user_id", "file").join(symbols.filter("kind = 'def'").select("user_id", "file", "name"), ["user_id", "file"]).select("user_id", "name")).distinct()
-    hits = recalled.select("query_id", "user_id", "id", F.explode("card.files_symbols").alias("name")).join(names, ["user_id", "name"], "left_semi").select("query_id", "id").distinct().withColumn("_hit", F.lit(True))
+    """recalled with symbol_boost added to the score of notes whose card names a file related to their query, or one of
+    its symbols. related without query_id holds for all queries of its user."""
+    keys = _keys(related)
+    defined = related.select(*keys, "file").join(symbols.filter("kind = 'def'").select("user_id", "file", "name"), ["user_id", "file"])
+    names = related.select(*keys, F.col("file").alias("name")).union(defined.select(*keys, "name")).distinct()
+    hits = recalled.select("query_id", "user_id", "id", F.explode("card.files_symbols").alias("name")).join(names, [*keys, "name"], "left_semi").select("query_id", "id").distinct().withColumn("_hit", F.lit(True))
     return recalled.join(hits, ["query_id", "id"], "left").withColumn("score", F.col("score") + F.when(F.col("_hit"), params.symbol_boost).otherwise(0.0)).drop("_hit")

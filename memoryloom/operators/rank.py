@@ -26,7 +26,8 @@ def hybrid_rank(notes: DataFrame, queries: DataFrame, now: Column, params: Param
     dense_anchor first_note, to the newest note's), then the newest, then the least id. top_n per query: None keeps all.
     """
     scores = bm25_scores(notes, queries, params=params)
-    every = queries.select("query_id", "user_id", "weights", F.col("embedding").alias("_q"), *([] if top_n is None else [top_n.alias("_n")])).join(notes, "user_id")
+    narrow = notes.select("user_id", "id", "memory_type", "created_at", "embedding")  # texts and cards join the survivors
+    every = queries.select("query_id", "user_id", "weights", F.col("embedding").alias("_q"), *([] if top_n is None else [top_n.alias("_n")])).join(narrow, "user_id")
     scored = every.join(scores, ["query_id", "user_id", "id"], "left")
     raw = F.coalesce("bm25", F.lit(0.0)) + type_bonus(F.col("weights"), F.col("memory_type"), params)
     shifted = scored.withColumn("_raw", raw).withColumn("score", F.col("_raw") - F.min("_raw").over(_by_query()))
@@ -39,7 +40,8 @@ def hybrid_rank(notes: DataFrame, queries: DataFrame, now: Column, params: Param
     ranked = ranked.withColumn("rank", F.row_number().over(_by_query().orderBy(F.desc("score"), F.desc("dense"), F.desc("created_at"), "id")))
     if top_n is not None:
         ranked = ranked.filter(F.col("rank") <= F.col("_n")).drop("_n")
-    return ranked.drop("_q", "_raw", "bm25")
+    ranked = ranked.drop("_q", "_raw", "bm25", "memory_type", "created_at", "embedding")
+    return ranked.join(notes, ["user_id", "id"])
 
 
 def recall_size(k: Column, n: Column, params: Params = DEFAULT) -> Column:
@@ -65,10 +67,11 @@ def rerank(candidates: DataFrame, now: Column, params: Params = DEFAULT, scorer=
 def gate(results: DataFrame, keep_min: int = 1) -> DataFrame:
     """Without weights all stay; else a result stays if its type's weight isn't given as 0 or less, or if its score is at
     least the upper median. If fewer than keep_min stay, all do."""
-    n = F.count("*").over(_by_query())
-    scores = F.sort_array(F.collect_list("score").over(_by_query()))
+    at = F.row_number().over(_by_query().orderBy("score"))
+    placed = results.withColumns({"_at": at, "_n": F.count("*").over(_by_query())})
     weight = F.element_at("weights", F.col("memory_type"))
-    marked = results.withColumn("_median", F.get(scores, F.floor(n / 2).cast("int")))
+    upper = F.max(F.when(F.col("_at") == F.floor(F.col("_n") / 2) + 1, F.col("score"))).over(_by_query())
+    marked = placed.withColumn("_median", upper).drop("_at", "_n")
     passes = (F.coalesce(F.size("weights"), F.lit(0)) <= 0) | F.coalesce(weight > 0, F.lit(True)) | (F.col("score") >= F.col("_median"))
     marked = marked.withColumn("_passes", passes).withColumn("_kept", F.sum(F.col("_passes").cast("int")).over(_by_query()))
     return marked.filter(F.col("_passes") | (F.col("_kept") < keep_min)).drop("_median", "_passes", "_kept")

@@ -191,22 +191,22 @@ def render(events: DataFrame, keys: list[str], params: Params = DEFAULT) -> Data
     return lined.groupBy(*keys).agg(F.array_join(F.transform(lines, lambda x: x["_line"]), "\n").alias("segment_text"))
 
 
-def tool_contents(events: DataFrame) -> DataFrame:
-    """(session, file, body): file-reading calls joined with their results by tool id; bodies of more than 40 characters.
+def tool_contents(events: DataFrame, keys: tuple[str, ...] = _SESSION) -> DataFrame:
+    """(*keys, file, body), keys being a session's or a segment's: file-reading calls joined with their results by tool id; bodies of more than 40 characters.
 
-    Where ids are missing the next result of the session answers the call. Line-number prefixes are removed; of several
+    Where ids are missing the next result of the group answers the call. Line-number prefixes are removed; of several
     results of a file the last stays.
     """
-    w = Window.partitionBy(*_SESSION).orderBy("event_index").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys).orderBy("event_index").rowsBetween(1, Window.unboundedFollowing)
     following = F.first(F.when(F.col("kind") == "tool_result", F.struct("event_index", "tool_id", "tool_result")), ignorenulls=True).over(w)
     marked = events.withColumn("_next", following)
     path = strip(F.coalesce(F.element_at("tool_input", F.lit("file_path")), F.element_at("tool_input", F.lit("path"))))
-    calls = marked.filter((F.col("kind") == "tool_use") & F.col("tool_name").isin("Read", "Edit", "Write", "View") & (path != "")).select(*_SESSION, "tool_id", path.alias("file"), "_next")
-    results = events.filter("kind = 'tool_result' and tool_id is not null").select(*_SESSION, "tool_id", F.col("event_index").alias("_at"), F.col("tool_result").alias("_body"))
-    joined = calls.join(results, [*_SESSION, "tool_id"], "left")
+    calls = marked.filter((F.col("kind") == "tool_use") & F.col("tool_name").isin("Read", "Edit", "Write", "View") & (path != "")).select(*keys, "tool_id", path.alias("file"), "_next")
+    results = events.filter("kind = 'tool_result' and tool_id is not null").select(*keys, "tool_id", F.col("event_index").alias("_at"), F.col("tool_result").alias("_body"))
+    joined = calls.join(results, [*keys, "tool_id"], "left")
     by_next = F.col("tool_id").isNull()
-    out = joined.select(*_SESSION, "file", F.when(by_next, F.col("_next.event_index")).otherwise(F.col("_at")).alias("_at"), strip(F.when(by_next, F.col("_next.tool_result")).otherwise(F.col("_body"))).alias("body"))
-    out = out.filter(F.length("body") > 40).groupBy(*_SESSION, "file").agg(F.max_by("body", "_at").alias("body"))
+    out = joined.select(*keys, "file", F.when(by_next, F.col("_next.event_index")).otherwise(F.col("_at")).alias("_at"), strip(F.when(by_next, F.col("_next.tool_result")).otherwise(F.col("_body"))).alias("body"))
+    out = out.filter(F.length("body") > 40).groupBy(*keys, "file").agg(F.max_by("body", "_at").alias("body"))
     return out.withColumn("body", F.regexp_replace("body", r"(?m)^\s*[0-9]+→", ""))
 
 

@@ -5,43 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.adapters import classifier, embedder, enhancer, utility_scorer
-from ..functions.card import content_of, heuristic_card
-from ..functions.text import memory_id, seed_files
+from ..functions.adapters import card_reader, classifier, embedder, enhancer, extractor, utility_scorer
+from ..functions.card import content_of, heuristic_card, profile_pairs
+from ..functions.text import memory_id, seed_files, strip
 from ..operators import graph, rank, revise, segment, transcript
 from ..params import DEFAULT, Params
 from ..sources import store as stores
+from ..sources.checkpoints import staged
 
 _SESSION = ["user_id", "session_id", "request_id"]
 
 
-def cards_of_events(events: DataFrame, now: Column, params: Params = DEFAULT, embed=None, dim: int = 4) -> DataFrame:
-    """One candidate note for each segment: two shuffles, by session for the segments and (later) by user for the fold."""
+def cards_of_events(events: DataFrame, now: Column, params: Params = DEFAULT, embed=None, dim: int = 4, extract=None) -> DataFrame:
+    """One candidate note for each segment: two shuffles, by session for the segments and (later) by user for the fold.
+
+    extract: a model's reply to a segment's text and its context (see adapters.extractor); where it has none that can be
+    read, the card is the heuristic one. A profile card has the pairs that the text shows, whoever wrote it.
+    """
     parts = segment.segment_events(events, _SESSION, params=params)
     texts = transcript.render(parts, [*_SESSION, "segment_id"], params).filter("segment_text <> ''")
     context = transcript.task_context(events)
     joined = texts.join(context, _SESSION).withColumn("segment_text", F.substring("segment_text", 1, params.transcript_max_segment_chars))
-    card = heuristic_card(F.col("segment_text"), F.col("repo"), F.col("language"), F.col("files_touched"), F.lit(""), F.col("instance_id"))
+    card = heuristic_card(F.col("segment_text"), F.col("repo"), F.col("language"), F.col("files_touched"), F.col("base_commit"), F.col("instance_id"))
+    if extract is not None:
+        joined = joined.withColumn("_reply", extractor(extract, params)(F.col("segment_text"), F.col("repo"), F.col("language"), F.col("files_touched")))
+        read = card_reader(F.col("_reply"), F.col("instance_id"), F.concat_ws("/", F.nullif("repo", F.lit("")), F.nullif("language", F.lit(""))), F.col("base_commit"))
+        read = F.when(read["memory_type"] == "profile", read.withField("pairs", profile_pairs(F.col("segment_text")))).otherwise(read)
+        card = F.coalesce(read, card)
     out = joined.withColumn("card", card).withColumn("content", content_of(F.col("card"), F.col("segment_text")))
     ids = memory_id(*[F.col(c) for c in _SESSION], F.col("segment_id").cast("string"))
     return out.select(*_SESSION, "segment_id", ids.alias("id"), "content", embedder(embed, dim)(F.col("content")).alias("embedding"), F.col("card.memory_type").alias("memory_type"), "card", now.cast("timestamp").alias("created_at"), now.cast("timestamp").alias("request_ts"))
 
 
-def ingest(events: DataFrame, store: stores.Store, now: Column, params: Params = DEFAULT, judge=None, embed=None) -> DataFrame:
-    """Fold the events' cards into the store. Returns the decisions; replaying the same events adds no rows."""
-    candidates = cards_of_events(events, now, params, embed)
-    memories = store.memories()
+def ingest(events: DataFrame, store: stores.Store, now: Column, params: Params = DEFAULT, judge=None, embed=None, extract=None) -> DataFrame:
+    """Fold the events' cards into the store. Returns the decisions; replaying the same events adds no rows.
+
+    Cards and decisions are staged, so that models are asked once and all logs hold the same answers. Of inserted record
+    segments whose card names files, the symbols of the files they read are stored.
+    """
+    candidates = staged(cards_of_events(events, now, params, embed, extract=extract), "candidates")
     known = store.decided().withColumnRenamed("candidate_id", "id")
-    decisions = revise.revise(candidates.join(known, ["user_id", "id"], "left_anti"), memories, params, judge, embed).persist()
+    decisions = staged(revise.revise(candidates.join(known, ["user_id", "id"], "left_anti"), store.memories(), params, judge, embed), "decisions")
     store.write_memories(revise.latest(decisions))
     store.write_decisions(decisions)
-    bodies = transcript.tool_contents(events).withColumnRenamed("body", "content")
-    kept = decisions.filter("action = 'INSERT' and memory_type = 'record'").select("user_id", "session_id", "request_id").distinct()
-    symbols = graph.extract_symbols(bodies.join(kept, _SESSION, "left_semi"))
+    inserted = decisions.filter("action = 'INSERT' and memory_type = 'record' and size(card.files_symbols) > 0").select("user_id", F.col("candidate_id").alias("id"))
+    kept = candidates.join(inserted, ["user_id", "id"], "left_semi").select(*_SESSION, "segment_id")
+    parts = segment.segment_events(events, _SESSION, params=params)
+    bodies = transcript.tool_contents(parts, (*_SESSION, "segment_id")).withColumnRenamed("body", "content")
+    symbols = graph.extract_symbols(bodies.join(kept, [*_SESSION, "segment_id"], "left_semi"))
     store.write_file_symbols(stores.nest_symbols(symbols, now.cast("timestamp")))
     return decisions
 
 
+def validate_searches(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with reason): user and query must be given, top_k must be 1 or more."""
+    blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
+    reason = F.coalesce(F.when(blank("user_id"), "user_id"), F.when(blank("query"), "query"), F.when(F.coalesce(F.col("top_k"), F.lit(0)) < 1, "top_k"))
+    marked = queries.withColumn("reason", reason)
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+
+
 def search(queries: DataFrame, memories: DataFrame, now: Column, symbols: DataFrame | None = None, params: Params = DEFAULT, granularity: str = "L1", enhance=None, classify=None, embed=None, score=None) -> DataFrame:
     """(query_id, final_rank, id, content, score, utility, memory_type, created_at) for queries (query_id, user_id, query,
     top_k, options); queries of users without memories have no rows.
@@ -56,12 +79,14 @@ def search(queries: DataFrame, memories: DataFrame, now: Column, symbols: DataFr
     ready = ready.join(sizes, "user_id").withColumn("_recall", rank.recall_size(F.col("top_k"), F.col("_notes"), params))
     found = rank.hybrid_rank(active, ready, now, params, F.col("_recall"))
     if symbols is not None and params.symbol_expand_enabled:
-        named = found.filter(F.col("rank") <= params.recall_multiplier * 10).select("user_id", F.explode("card.files_symbols").alias("seed"))
-        asked = ready.select("user_id", F.explode(seed_files(F.col("query"))).alias("seed"))
-        seeds = graph.seed_files(named.union(asked).distinct(), symbols)
+        found = staged(found, "recalled")
+        named = found.filter(F.col("rank") <= params.recall_multiplier * 10).select("query_id", "user_id", F.explode("card.files_symbols").alias("seed"))
+        wanted = ready.select("query_id", "user_id", F.explode(seed_files(F.col("query"))).alias("seed"))
+        seeds = named.union(wanted).distinct()
         nodes = symbols.filter("kind = 'def'").select("user_id", "file").distinct()
-        related = graph.related_files(graph.pagerank(nodes, graph.build_edges(symbols), seeds, params), params)
-        found = graph.boosted(found, related, symbols, params)
+        asked = seeds.select("query_id", "user_id").distinct().join(nodes.select("user_id").distinct(), "user_id", "left_semi")
+        ranked = graph.pagerank(nodes, graph.build_edges(symbols), graph.seed_files(seeds, symbols), params, asked)
+        found = graph.boosted(found, graph.related_files(ranked, params), symbols, params)
     found = found.join(ready.select("query_id", "query", "top_k"), "query_id")
     ordered = rank.rerank(found, now, params, utility_scorer(score)).filter(F.col("final_rank") <= F.col("top_k"))
     gated = rank.gate(ordered)

@@ -444,7 +444,7 @@ ORACLES = {
     "bm25_scores": f"WITH {NOTES}, {REQUESTS}, {BM25} SELECT query_id, id, round(bm25, 4) AS bm25 FROM bm25",
     "bm25_topk": f"""WITH {NOTES}, {REQUESTS}, {BM25}, s AS (SELECT query_id, id, coalesce(bm25, 0) - min(coalesce(bm25, 0)) OVER (PARTITION BY query_id) AS score FROM requests JOIN notes USING (user_id) LEFT JOIN bm25 USING (query_id, user_id, id))
       SELECT query_id, id, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""",
-    "cosine_topk": """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
+    "cosine_topk": """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c QUALIFY rank <= 5""",
     "temporal_decay": f"WITH {NOTES} SELECT id, round(greatest(0.5, {_DECAY}), 6) AS decay, round(greatest(0.1, {_DECAY}), 6) AS recency FROM notes",
     "hybrid_rank": f"{_HYBRID} SELECT query_id, id, round(score, 4) AS score FROM ranked",

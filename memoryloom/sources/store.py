@@ -59,6 +59,16 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._recover()
+
+    def _recover(self) -> None:
+        """Take back a log that a broken compact() had put aside."""
+        jvm = self.spark.sparkContext._jvm
+        for name in ("memories", "file_symbols"):
+            now, before = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in (name, f"{name}.old"))
+            fs = now.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            if fs.exists(before) and not fs.exists(now):
+                fs.rename(before, now)
 
     def _log(self, name: str, schema: str) -> DataFrame:
         from pyspark.errors import AnalysisException
@@ -75,7 +85,7 @@ class Store:
         return last_version(self._log("memories", MEMORIES), ["user_id", "id"], order)
 
     def file_symbols(self) -> DataFrame:
-        return last_version(self._log("file_symbols", FILE_SYMBOLS), ["user_id", "file"], [F.desc("updated_at")])
+        return last_version(self._log("file_symbols", FILE_SYMBOLS), ["user_id", "file"], [F.desc("updated_at"), F.desc(F.xxhash64("symbols"))])
 
     def count(self) -> int:
         return self.memories().count()
@@ -102,9 +112,12 @@ class Store:
         view.write.mode("overwrite").parquet(f"{self.path}/{name}.new")
         jvm = self.spark.sparkContext._jvm
         old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}") for n in (name, f"{name}.new"))
+        before = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}.old")
         fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
+        fs.delete(before, True)
+        fs.rename(old, before)  # a crash from here on leaves the old log, which the next store takes back
         fs.rename(new, old)
+        fs.delete(before, True)
 
     def reset(self) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -122,9 +135,15 @@ def nest_symbols(symbols: DataFrame, updated_at: Column) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Raw rows of JSONL files: one session per file, lines in order, malformed lines kept for the parser to skip."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.jsonl)?$", 1).alias("session_id"), F.posexplode(F.split("value", "\n")).alias("row_pos", "raw"))
-    return lines.filter(F.trim("raw") != "").select(F.lit("").alias("user_id"), "session_id", F.col("session_id").alias("request_id"), "row_pos", "raw")
+    """Raw rows of JSONL files: one session per file, lines numbered in order, malformed lines kept for the parser to skip.
+
+    A file may be read in several splits: lines are ordered by the split's place in the file, then by their order in it.
+    """
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.jsonl)?$", 1)
+    lines = spark.read.text(path).select(name.alias("session_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_in_split"), F.col("value").alias("raw"))
+    w = Window.partitionBy("_file").orderBy("_start", "_in_split")
+    numbered = lines.withColumn("row_pos", (F.row_number().over(w) - 1).cast("int"))
+    return numbered.filter(F.trim("raw") != "").select(F.lit("").alias("user_id"), "session_id", F.col("session_id").alias("request_id"), "row_pos", "raw")
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:

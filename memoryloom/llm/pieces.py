@@ -24,7 +24,7 @@ SPACE = "▁"
 #: A piece of rank r has a weight of (r + RANK_SHIFT) ** -alpha; a byte counts as the rank after the last.
 RANK_SHIFT = 10
 #: Characters that are sampled at once.
-CHARS_AT_ONCE = 600_000
+CHARS_AT_ONCE = 200_000
 #: Steps of a forward pass that fewer lattices than this still take are done one node at a time.
 NARROW = 4
 #: Pieces hold spaces only at their start, or nothing but spaces; none holds a line feed. So no piece crosses a unit.

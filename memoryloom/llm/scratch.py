@@ -46,10 +46,13 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one of our own."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one on a single machine (tests), else an
+    error, as executors of a cluster share no local folder."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_memoryloom_dir", None)
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="memoryloom-")
         sc._memoryloom_dir = base
     return base.rstrip("/")

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed patterns.
-TOKEN = "[A-Za-z_][A-Za-z0-9_]*+|[一-鿿]+"
+TOKEN = "[A-Za-z_][A-Za-z0-9_]++|[一-鿿]{2,}+"
 JOINER = r"[._\-]+"
 ACRONYM = "([A-Z]+)([A-Z][a-z])"
 CAMEL = "(?<=[a-z0-9])(?=[A-Z])"
+SPLIT = "_|[a-z0-9][A-Z]|[A-Z]{2}"
 FILE_LIKE = r"(?U)[\w./\-]+\.[A-Za-z]{1,4}\b|[A-Za-z_][A-Za-z0-9_./\-]{2,}"
 DIFF_FILE = r"(?m)^diff --git a/(.+?) b/(.+)$"
 #: Fixed, in order of precedence.
@@ -38,9 +39,13 @@ def split_identifier(token: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """array<string>: parts of every identifier or CJK run of two or more characters, with repeats; [] for null."""
-    found = F.filter(F.regexp_extract_all(text_of(text), F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) >= 2)
-    plain = lambda t: ~t.rlike("_|[a-z0-9][A-Z]|[A-Z]{2}")  # noqa: E731  most words have nothing to split
-    return F.flatten(F.transform(found, lambda t: F.when(plain(t), F.array(F.lower(t))).otherwise(split_identifier(t))))
+    found = F.regexp_extract_all(text_of(text), F.lit(TOKEN), F.lit(0))
+    rest = lambda t: F.substring(t, F.lit(2), F.length(t))
+    # most words have nothing to split: no underscore, and no capital after the first letter
+    plain = lambda t: ~F.contains(t, F.lit("_")) & (F.lower(rest(t)) == rest(t))
+    split = F.flatten(F.transform(found, lambda t: F.when(plain(t), F.array(F.lower(t))).otherwise(split_identifier(t))))
+    # and most texts have no such word at all
+    return F.when(text_of(text).rlike(SPLIT), split).otherwise(F.transform(found, F.lower))
 
 
 def fingerprint(user: Column, content: Column) -> Column:

@@ -276,6 +276,16 @@ def search_pipeline(spark, sf):
     return out.select("query_id", "final_rank", "id", F.round("score", 4).alias("score"), F.round("utility", 6).alias("utility"), "memory_type")
 
 
+def search_symbols(spark, sf):
+    """The search chain with twenty results a request over 211 files, so that the symbol graph lifts notes that are
+    recalled but name none of the seeds."""
+    n = notes(spark, sf).withColumn("card", F.col("card").withField("files_symbols", F.array(F.concat(F.lit("src/g"), F.col("doc_id") % 211, F.lit(".py")))))
+    syms = n.select("user_id", F.explode("card.files_symbols").alias("file"), F.concat(F.lit("def sym"), F.col("doc_id") % 31, F.lit("():\n  pass\n")).alias("content")).groupBy("user_id", "file").agg(F.concat_ws("\n", F.array_sort(F.collect_set("content"))).alias("content"))
+    asked = requests(spark, sf).withColumn("top_k", F.lit(20))
+    out = pipelines.search(asked, n, now(), graph.extract_symbols(syms), replace(DEFAULT, recall_multiplier=2))
+    return out.select("query_id", "final_rank", "id", F.round("score", 4).alias("score"), F.round("utility", 6).alias("utility"), "memory_type")
+
+
 def revision_fold(spark, sf):
     """Every document as a candidate of its source, in order of doc_id, against an empty store."""
     n = notes(spark, sf)
@@ -393,7 +403,7 @@ def session_windows(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_pipeline, tokenize_terms, fingerprint_dups, word_overlap, first_sentence, scan_recent_per_user, scan_by_type, upsert_latest_version, validate_rejects, transcript_events, events_to_text,
+        search_pipeline, search_symbols, tokenize_terms, fingerprint_dups, word_overlap, first_sentence, scan_recent_per_user, scan_by_type, upsert_latest_version, validate_rejects, transcript_events, events_to_text,
         segment_idle, segment_todo, segment_caps, bm25_scores, bm25_topk, cosine_topk, temporal_decay, hybrid_rank, utility_rerank, gate_package, package_levels, near_duplicate, revision_fold,
         upsert_history, card_parts, task_context, tool_join, symbol_defs_imports, graph_edges, symbol_boost, pagerank, eval_metrics_by_tier, relevance_join, session_windows,
     )
@@ -413,12 +423,46 @@ _UTILITY = f"""{_HYBRID},
       {_WORDS.format("substr(content, 61, 60) || ' '", 'len(w) > 1')} AS risk, ['the', lang] AS scope FROM ranked JOIN requests USING (query_id)),
   used AS (SELECT *, 0.35 * ({_OVER('q', 'act')}) + 0.25 * ({_OVER('q', 'risk')}) + 0.2 * CASE WHEN list_has_any(scope, q) THEN 1.0 WHEN contains(lower(query), 'the') OR contains(lower(query), lang) THEN 0.3 ELSE 0 END
       + 0.1 * greatest(0.1, {_DECAY}) + 0.1 * CASE memory_type WHEN 'event' THEN 0.6 WHEN 'record' THEN 1.0 ELSE 0 END AS utility FROM sets)"""
+#: Without intent weights: no type bonus, no type weight, an open gate. {0}: results, {1}: recalled at most, a request.
+_FOUND = f"""WITH RECURSIVE {NOTES}, {REQUESTS}, {BM25},
+  sizes AS (SELECT user_id, count(*) AS notes_ FROM notes GROUP BY user_id),
+  raw AS (SELECT q.query_id, n.*, coalesce(bm25, 0) AS raw, notes_ FROM requests q JOIN notes n USING (user_id) JOIN sizes USING (user_id) LEFT JOIN bm25 USING (query_id, user_id, id)),
+  scored AS (SELECT *, (raw - min(raw) OVER (PARTITION BY query_id)) * greatest(0.5, {_DECAY}) AS score FROM raw),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS rank FROM scored QUALIFY rank <= greatest({{0}}, least({{1}}, notes_)))"""
+_CHOSEN = f"""
+  sets AS (SELECT found.*, query, {_WORDS.format('query', 'len(w) > 1')} AS q, {_WORDS.format("substr(content, 1, 60) || ' ' || substr(content, 1, 30) || ' ' || substr(content, 1, 400)", 'len(w) > 1')} AS act,
+      {_WORDS.format("substr(content, 61, 60) || ' '", 'len(w) > 1')} AS risk, ['the', lang] AS scope FROM found JOIN requests USING (query_id)),
+  used AS (SELECT *, 0.35 * ({_OVER('q', 'act')}) + 0.25 * ({_OVER('q', 'risk')}) + 0.2 * CASE WHEN list_has_any(scope, q) THEN 1.0 WHEN contains(lower(query), 'the') OR contains(lower(query), lang) THEN 0.3 ELSE 0 END
+      + 0.1 * greatest(0.1, {_DECAY}) AS utility FROM sets)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY utility DESC, score DESC, rank) AS final_rank, id, round(score, 4) AS score, round(utility, 6) AS utility, memory_type FROM used"""
+#: PageRank from each request's own seeds: the files of its 20 best notes. Requests name no file or symbol.
+_LIFTED = """,
+  file AS (SELECT DISTINCT user_id, 'src/g' || (doc_id % 211) || '.py' AS file FROM notes),
+  def AS (SELECT DISTINCT user_id, 'src/g' || (doc_id % 211) || '.py' AS file, doc_id % 31 AS name FROM notes),
+  edge AS (SELECT a.user_id, a.file AS src, b.file AS dst, count(*)::DOUBLE AS w FROM def a JOIN def b ON a.user_id = b.user_id AND a.name = b.name AND a.file <> b.file GROUP BY ALL),
+  total AS (SELECT user_id, src, sum(w) AS total FROM edge GROUP BY ALL),
+  many AS (SELECT user_id, count(*) AS n FROM file GROUP BY ALL),
+  move AS (SELECT user_id, src, dst, 0.85 * w / total AS p FROM edge JOIN total USING (user_id, src)
+    UNION ALL SELECT a.user_id, a.file, b.file, 0.85 / (n - 1) FROM file a JOIN file b ON a.user_id = b.user_id AND a.file <> b.file JOIN many ON many.user_id = a.user_id ANTI JOIN total ON total.user_id = a.user_id AND total.src = a.file
+    UNION ALL SELECT user_id, file, file, NULL FROM file),
+  seed AS (SELECT DISTINCT query_id, 'src/g' || (doc_id % 211) || '.py' AS file FROM ranked WHERE rank <= 20),
+  seeds AS (SELECT query_id, count(*) AS k FROM seed GROUP BY ALL),
+  start AS (SELECT query_id, user_id, f.file, CASE WHEN s.file IS NULL THEN 0.0 ELSE 1.0 / k END AS p0, s.file IS NOT NULL AS is_seed
+    FROM requests JOIN seeds USING (query_id) JOIN file f USING (user_id) LEFT JOIN seed s USING (query_id, file)),
+  walk(i, query_id, user_id, file, rk) AS (SELECT 0, query_id, user_id, file, 1.0::DOUBLE / n FROM start JOIN many USING (user_id)
+    UNION ALL SELECT w.i + 1, w.query_id, w.user_id, m.dst, sum(CASE WHEN m.p IS NULL THEN 0.15 * s.p0 ELSE w.rk * m.p END)
+      FROM walk w JOIN move m ON m.user_id = w.user_id AND m.src = w.file JOIN start s ON s.query_id = w.query_id AND s.file = m.dst WHERE w.i < 40 GROUP BY w.i, w.query_id, w.user_id, m.dst),
+  related AS (SELECT query_id, file FROM walk JOIN start USING (query_id, user_id, file) WHERE i = 40 AND NOT is_seed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rk, 10) DESC, file) <= 10),
+  found AS (SELECT ranked.* REPLACE (ranked.score + CASE WHEN related.file IS NULL THEN 0 ELSE 0.15 END AS score) FROM ranked LEFT JOIN related ON related.query_id = ranked.query_id AND related.file = 'src/g' || (doc_id % 211) || '.py'),"""
 _L1 = "concat_ws(E'\\n', CASE WHEN substr(content, 1, 60) <> '' THEN 'action: ' || substr(content, 1, 60) END, 'files: src/f' || (doc_id % 7) || '.py', CASE WHEN substr(content, 61, 60) <> '' THEN 'risk: ' || substr(content, 61, 60) END)"
 _EDGES = """supply AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),
   edges AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*)::DOUBLE AS w FROM supply a JOIN supply b USING (l_partkey) WHERE a.l_suppkey <> b.l_suppkey GROUP BY ALL)"""
 _ACTIONS = "a AS (SELECT user_id, event_id, event_type, ts, row_number() OVER w AS rn, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 
 ORACLES = {
+    # every recalled note's file is a seed there, and related files are none of the seeds: nothing is lifted
+    "search_pipeline": f"{_FOUND.format(5, 25)}, found AS (SELECT * FROM ranked), {_CHOSEN} QUALIFY final_rank <= 5",
+    "search_symbols": f"{_FOUND.format(20, 40)}{_LIFTED}{_CHOSEN} QUALIFY final_rank <= 20",
     "tokenize_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({_tokens_sql('text')}) AS term FROM documents) GROUP BY term",
     "fingerprint_dups": "SELECT * FROM (SELECT sha256(concat(source, chr(0), text)) AS fingerprint, count(*) AS copies, min(doc_id) AS kept FROM documents GROUP BY 1) WHERE copies > 1",
     "word_overlap": f"""WITH {NOTES}, {REQUESTS}, s AS (SELECT query_id, id, {_WORDS.format('query', "w <> ''")} AS a, {_WORDS.format('content', "w <> ''")} AS b, {_WORDS.format('query', 'len(w) > 1')} AS c, {_WORDS.format('content', 'len(w) > 1')} AS d FROM requests JOIN notes USING (user_id)),

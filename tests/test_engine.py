@@ -10,6 +10,7 @@ from memoryloom.functions import adapters, card, scoring, text
 from memoryloom.operators import bm25, evaluate, graph, rank, revise, segment, transcript
 from memoryloom.params import DEFAULT, Params
 from memoryloom.plans import pipelines
+from memoryloom.sources import store as stores_
 from memoryloom.sources.store import Store, decoded
 from memoryloom.streaming.ingest import ingest_stream
 
@@ -179,6 +180,39 @@ def test_search_returns_own_notes_in_utility_order(spark):
             assert u == sorted(u, reverse=True)
 
 
+def test_a_batch_of_searches_equals_its_queries_one_by_one(spark):
+    """Seeds and PageRank are a query's own, whatever else is asked at once."""
+    from memoryloom.schema import CARD as TYPE
+
+    rng = random.Random(6)
+    rows = [("u", f"n{i:02}", f"word{i % 4} topic{i} " + " ".join(rng.choice("abcdefgh") * 3 for _ in range(5)), {**CARD, "files_symbols": [f"f{i}.py"]}) for i in range(24)]
+    notes = spark.createDataFrame(rows, f"user_id string, id string, content string, card {TYPE}").withColumns({"memory_type": F.lit("record"), "created_at": F.lit("2024-06-01").cast("timestamp"), "embedding": F.array().cast("array<float>"), "superseded": F.lit(False), "version": F.lit(1)})
+    symbols = spark.createDataFrame([("u", f"f{i}.py", "python", f"name{i % 5}_{i % 3}", "def", 1, "function_definition") for i in range(24)], "user_id string, file string, lang string, name string, kind string, line int, node_type string")
+    asked = [(f"q{k}", "u", t, 8, ["a"]) for k, t in enumerate(("word1 topic5", "word2 f7.py", "topic9 topic10 name1_2", "zzz"))]
+    frame = lambda x: spark.createDataFrame(x, "query_id string, user_id string, query string, top_k int, options array<string>")
+    p = Params(recall_multiplier=1, pagerank_top_n=3)
+    got = lambda x: sorted((r["query_id"], r["final_rank"], r["id"], round(r["score"], 9)) for r in pipelines.search(frame(x), notes, now(), symbols, p).collect())
+    assert got(asked) == sorted(r for one_ in asked for r in got([one_]))
+
+
+def test_pagerank_by_query_equals_a_plain_walk(spark):
+    nodes = spark.createDataFrame([("u", f) for f in "abcd"], "user_id string, file string")
+    edges = spark.createDataFrame([("u", "a", "b", 1.0), ("u", "b", "a", 1.0), ("u", "b", "c", 2.0), ("u", "c", "b", 2.0)], "user_id string, src string, dst string, w double")
+    seeds = spark.createDataFrame([("q1", "u", "a"), ("q2", "u", "c"), ("q2", "u", "d")], "query_id string, user_id string, file string")
+    asked = spark.createDataFrame([("q1", "u"), ("q2", "u"), ("q3", "u")], "query_id string, user_id string")
+    got = {(r["query_id"], r["file"]): (r["score"], r["is_seed"]) for r in graph.pagerank(nodes, edges, seeds, asked=asked).collect()}
+    links = [("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0), ("c", "b", 2.0)]
+    for q, own in (("q1", {"a"}), ("q2", {"c", "d"}), ("q3", set())):
+        want = graph.power_iteration(list("abcd"), links, own)
+        assert all(got[q, f] == (pytest.approx(w), f in own) for f, w in zip("abcd", want, strict=True))
+
+
+def test_searches_are_validated(spark):
+    rows = [("a", "u", "x", 1, []), ("b", "u", "x", 0, []), ("c", " ", "x", 1, []), ("d", "u", "", 1, []), ("e", "u", "x", None, [])]
+    good, bad = pipelines.validate_searches(spark.createDataFrame(rows, "query_id string, user_id string, query string, top_k int, options array<string>"))
+    assert [r["query_id"] for r in good.collect()] == ["a"] and {r["query_id"]: r["reason"] for r in bad.collect()} == {"b": "top_k", "c": "user_id", "d": "query", "e": "top_k"}
+
+
 def test_dense_anchor_is_the_query(spark):
     n = spark.createDataFrame([("u", "a", "x", [1.0, 0.0]), ("u", "b", "x", [0.0, 1.0])], "user_id string, id string, content string, embedding array<float>").withColumns({"memory_type": F.lit("record"), "created_at": now()})
     q = spark.createDataFrame([("q", "u", "zzz", [0.0, 1.0])], "query_id string, user_id string, query string, embedding array<float>").withColumn("weights", F.from_json(F.lit("{}"), "map<string,double>"))
@@ -239,6 +273,107 @@ def test_fold_decides_in_order():
     assert revise.fold(judge=broken)(fold_rows([words, words + " x"]))["action"].tolist() == ["INSERT", "INSERT"]
 
 
+def test_exact_duplicates_are_found_among_all_notes_of_a_request():
+    odd = [f"note{i}x word{i}y thing{i}z" for i in range(150)]
+    out = revise.fold()(fold_rows([*odd, odd[3], odd[149]]))
+    assert out["action"].tolist() == ["INSERT"] * 150 + ["SKIP"] * 2
+
+
+def test_profiles_gather_the_pairs_of_all_stored_profiles(spark):
+    from memoryloom.schema import CARD as TYPE
+
+    pair = lambda a: {"attr": a, "value": "v"}
+    stored = [("u", "old", "ancient profile text", "profile", "2020-01-01", {**CARD, "memory_type": "profile", "pairs": [pair("language")]})]
+    stored += [("u", f"n{i}", f"note{i}x word{i}y", "record", "2024-01-01", CARD) for i in range(5)]
+    memories = spark.createDataFrame(stored, f"user_id string, id string, content string, memory_type string, at string, card {TYPE}").withColumns({"created_at": F.col("at").cast("timestamp"), "embedding": F.array().cast("array<float>"), "superseded": F.lit(False), "version": F.lit(1)}).drop("at")
+    new = [("u", "s", "r", i, f"c{i}", t, "profile", {**CARD, "memory_type": "profile", "pairs": [pair(a)]}) for i, (t, a) in enumerate([("first candidate here", "database"), ("totally unlike second", "auth")])]
+    cand = spark.createDataFrame(new, f"user_id string, session_id string, request_id string, segment_id int, id string, content string, memory_type string, card {TYPE}").withColumns({"embedding": F.array().cast("array<float>"), "created_at": now(), "request_ts": now()})
+    got = {r["id"]: [p["attr"] for p in r["card"]["pairs"]] for r in revise.revise(cand, decoded(memories), Params(dedup_neighbor_cap=3)).collect()}
+    assert got == {"c0": ["language", "database"], "c1": ["language", "database", "auth"]}
+
+
+def test_a_judge_supersedes_over_the_store(spark, tmp_path):
+    m = lambda c: [("user", c, 1), ("assistant", "Fixed the crash in a/b.py. Done", 2)]
+    store = Store(spark, str(tmp_path / "store"))
+    text_ = "why does the parser fail on unicode input when the buffer is empty"
+    for k, (rid, body) in enumerate((("r1", text_), ("r2", text_ + " again"))):
+        good, _ = transcript.validate(spark.createDataFrame([(rid, "u", f"s{k}", m(body))], WIRE))
+        pipelines.ingest(transcript.events_of_messages(transcript.explode_wire(good)), store, F.lit(f"2024-05-0{k + 1}"), judge=lambda a, b: ("contradicts", {}))
+    rows = sorted(store.memories().collect(), key=lambda r: r["created_at"])
+    old, new = [r for r in rows if r["superseded"]], [r for r in rows if not r["superseded"]]
+    assert len(old) == len(new) == 1 and old[0]["superseded_by"] == new[0]["id"] and new[0]["supersedes_id"] == old[0]["id"] and new[0]["version"] == 2
+
+
+def test_transcript_files_are_read_in_order_and_ingested(spark, tmp_path):
+    lines = [json.dumps(x) for x in ({"type": "user", "message": {"role": "user", "content": "instance_id: a__b-1\nrepo: django/django"}}, {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": "A plain note on HTTPServer and RequestPool handling in pkg/a.py"}, {"type": "tool_use", "id": "t1", "name": "Read", "input": {"file_path": "pkg/a.py"}}]}}, {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": "def load(x):\n    return 'long enough to be kept as a body of a file'"}]}})]
+    long = [json.dumps({"role": "user", "content": f"line {i}"}) for i in range(3000)]
+    for name, body in (("s1", [*lines, "{broken", ""]), ("s2", long)):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join(body))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:  # several splits a file
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = stores_.read_transcripts(spark, str(tmp_path / "in")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    own = sorted((r["row_pos"], r["raw"]) for r in rows if r["session_id"] == "s2")
+    assert own == list(enumerate(long)) and [r["row_pos"] for r in rows if r["session_id"] == "s1" and r["raw"] == "{broken"] == [3]
+    store = Store(spark, str(tmp_path / "store"))
+    events = transcript.events_of_raw(stores_.read_transcripts(spark, str(tmp_path / "in" / "s1.jsonl")))
+    reply = '```json\n{"memory_type": "record", "gist": " read by a model ", "files_symbols": ["pkg/a.py", ""], "pairs": null}\n```'
+    pipelines.ingest(events, store, F.lit("2024-05-01"), extract=lambda text_, repo, language, files: reply)
+    note = store.memories().first()
+    assert (note["card"]["gist"], note["card"]["files_symbols"], note["card"]["instance_id"], note["card"]["scope"]) == ("read by a model", ["pkg/a.py"], "a__b-1", "django/django/python")
+    assert [(r["file"], r["name"]) for r in stores_.unnest_symbols(store.file_symbols()).collect()] == [("pkg/a.py", "load")]
+
+    def broken(*_):
+        raise ValueError
+
+    assert pipelines.cards_of_events(events, F.lit("2024-05-01"), extract=broken).first()["card"]["gist"] != "read by a model"
+
+
+def test_card_replies(spark):
+    replies = ['{"memory_type": "odd", "gist": "g", "entities": ["a", null, " "]}', "no json", "[1]", '{"memory_type": "event", "trigger": " t "}']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")
+    got = [r["c"] for r in df.select("i", adapters.card_reader(F.col("r"), F.lit("x"), F.lit("sc"), F.lit("an")).alias("c")).orderBy("i").collect()]
+    assert got[0]["memory_type"] == "record" and got[0]["entities"] == ["a"] and got[0]["scope"] == "sc" and got[0]["instance_id"] == "x" and got[0]["pairs"] == []
+    assert got[1] is None and got[3]["trigger"] == "t" and got[3]["memory_type"] == "event" and got[3]["temporal_anchor"] == "an"
+
+
+def test_small_readers_and_writers(spark, tmp_path):
+    (tmp_path / "tasks").mkdir()
+    (tmp_path / "tasks" / "a.json").write_text(json.dumps({"instance_id": "i1", "repo": "o/r", "problem_statement": "s" * 700, "patch": ""}, indent=1))
+    (tmp_path / "tasks" / "b.json").write_text("{oops")
+    tasks = stores_.read_tasks(spark, str(tmp_path / "tasks"))
+    assert [r["instance_id"] for r in tasks.collect()] == ["i1"]
+    assert tasks.select(text.task_query(F.col("repo"), F.col("problem_statement")).alias("q")).first()["q"] == "r " + "s" * 600
+    stores_.write_report(spark.createDataFrame([("all", 1)], "tier string, n int"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).first()["tier"] == "all"
+    notes = notes_frame(spark, [("u", "a", "x"), ("u", "b", "y"), ("v", "c", "z")])
+    assert [r["id"] for r in stores_.by_type(notes, "u", "record", 1).collect()] == ["b"] and stores_.by_type(notes, "u", "event").count() == 0
+    a = F.array(F.struct(F.lit("k").alias("attr"), F.lit("1").alias("value")))
+    assert len(col(spark, card.merge_pairs(a, a))) == 1
+    spark.conf.set("memoryloom.top_k", "7")
+    spark.conf.set("memoryloom.symbol_expand_enabled", "False")
+    try:
+        p = Params.from_conf(spark, recall_multiplier=2)
+    finally:
+        spark.conf.unset("memoryloom.top_k")
+        spark.conf.unset("memoryloom.symbol_expand_enabled")
+    assert (p.top_k, p.symbol_expand_enabled, p.recall_multiplier, p.k1) == (7, False, 2, 1.5)
+
+
+def test_a_broken_compaction_loses_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.write_memories(notes_frame(spark, [("u", "a", "x"), ("u", "b", "y")]))
+    (tmp_path / "store" / "memories").rename(tmp_path / "store" / "memories.old")  # as if it had stopped between its renames
+    assert Store(spark, str(tmp_path / "store")).count() == 2
+    store.reset()
+    assert Store(spark, str(tmp_path / "store")).count() == 0
+
+
 def test_symbols_and_edges(spark):
     files = [("u", "m/a.py", "     1→def f():\n     2→  pass\n"), ("u", "b.js", "import x from './a'\nfunction f() {\n}\n"), ("u", "C.java", "import q.a;\npublic class C {\n public void run() {\n"), ("u", "d.go", "func (s *S) Go() {\ntype T int"), ("u", "e.txt", "def z():")]
     got = graph.extract_symbols(spark.createDataFrame(files, "user_id string, file string, content string"))

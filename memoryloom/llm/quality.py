@@ -15,8 +15,8 @@ from .scratch import tidy
 
 #: Labelled rows of each class to build its dictionary from, and as many to calibrate on: the only bound of the fit.
 SAMPLE_ROWS = 1000
-#: Longer texts are left out of the sample (not of the scoring).
-SAMPLE_BYTES = 1 << 15
+#: Of longer texts the sample holds so many bytes, in even pieces from all through them (scoring reads whole texts).
+SAMPLE_BYTES, SAMPLE_PIECES = 1 << 15, 16
 DICTIONARY_BYTES = 112_640
 #: Texts are compressed in pieces of this size, so that the dictionary counts all through a long text.
 PIECE = 2048
@@ -93,16 +93,25 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> QualityModel | None:
-    """Fit on labelled rows that aren't held out: at most 2 * sample_rows a class, least hash of the key first.
+def sampled(text: Column, most: int = SAMPLE_BYTES) -> Column:
+    """A binary text, or of one of more than most bytes even pieces from all through it."""
+    size, piece = F.octet_length(text), most // SAMPLE_PIECES
+    at = lambda i: (F.floor((size - piece).cast("double") * i / (SAMPLE_PIECES - 1)) + 1).cast("int")
+    return F.when(size <= most, text).otherwise(F.concat(*[F.substring(text, at(i), F.lit(piece)) for i in range(SAMPLE_PIECES)]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel | None:
+    """Fit on labelled rows that aren't held out: at most 2 * sample_rows a class that have text, least hash of the key
+    first, and of each up to sample_bytes bytes from all through the text. These two are the only bounds.
 
     Half of a class's sample builds its dictionary, the other half calibrates. None where a class has no text.
     """
     rows = labels.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter(~held_out(F.col("_id")) & F.col("_id").isNotNull())
-    pick = lambda y: rows.filter(F.col("_y") == y).distinct().orderBy(F.xxhash64("_id"), "_id").limit(2 * sample_rows)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    texts = docs.select(F.col(key).cast("long").alias("_id"), body.alias("_text")).filter(F.octet_length("_text").between(1, SAMPLE_BYTES))
-    sample = texts.join(F.broadcast(pick(0).union(pick(1))), "_id").select("_y", F.xxhash64("_id").alias("_h"), "_text").collect()
+    texts = docs.select(F.col(key).cast("long").alias("_id"), body.alias("_text")).filter(F.octet_length("_text") > 0)
+    there = rows.filter("_y in (0, 1)").distinct().join(texts.select("_id"), "_id", "left_semi")
+    pick = lambda y: there.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(2 * sample_rows)
+    sample = texts.join(F.broadcast(pick(0).union(pick(1))), "_id").select("_y", F.xxhash64("_id").alias("_h"), sampled(F.col("_text"), sample_bytes).alias("_text")).collect()
     by = {y: [bytes(r["_text"]) for r in sorted(sample, key=lambda r: (r["_h"], bytes(r["_text"]))) if r["_y"] == y] for y in (0, 1)}
     if not by[0] or not by[1]:
         return None
@@ -134,7 +143,12 @@ def score(docs: DataFrame, model: QualityModel | None, text: str = "text", name:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs."""
+    """(doc_id, held_out, score, predicted) for every row of docs.
+
+    Null texts score as empty ones, and rows without doc_id are hashed as an empty id; repeated rows score alike; a score
+    of exactly 0.5 is predicted 1. Where the labels know no text of a class every score is 0.5. An empty table gives an
+    empty one; other columns are not read.
+    """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -302,6 +302,88 @@ def test_fingerprint_likeness_is_unbiased(spark):
     assert fingerprints.fingerprint_documents(frame(spark, [(7, "only one here")])).first()["near_next"] == 1.0
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash, one shingle and one bin after another."""
+    import re
+
+    import xxhash
+
+    def chain(*parts):
+        seed = 42
+        for p in parts:
+            if p is not None:
+                seed = xxhash.xxh64_intdigest(p, seed=seed)
+        return seed
+
+    bins, shift = fingerprints.BINS, 63 - (fingerprints.BINS - 1).bit_length()
+    words = [chain(w.encode()).to_bytes(8, "little") for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    least = [None] * bins
+    for i in range(max(len(words) - 5, 0) + 1 if words else 0):
+        h = chain(*words[i : i + 5]) >> 1
+        least[h >> shift] = min(h, least[h >> shift] or h)
+    out, small = [], lambda x: x.to_bytes(4, "little")
+    for i in range(bins):
+        found = least[i]
+        tries = [chain(small(i), small(t)) for t in range(fingerprints.PROBES)]
+        step = chain(small(i))
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        order = [signed(t) % bins for t in tries] + [(i + t * (signed(step) % bins * 2 + 1)) % bins for t in range(bins)]
+        found = next((least[b] for b in order if least[b] is not None), 0) if found is None else found
+        out.append(f"{found & 255:02x}")
+    return "".join(out)
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = __import__("random").Random(14)
+    rows = [(0, None), (1, ""), (2, " \x0b "), (3, "one"), (4, "four words are here"), *((i, sentence(rng, rng.choice([5, 6, 9, 60, 800]))) for i in range(5, 40)), (50, "lo ng " * 40_000)]
+    got = fingerprints.fingerprint_documents(frame(spark, rows)).collect()
+    texts = dict(rows)
+    order = sorted(texts)
+    for r in got:
+        text, after = texts[r["doc_id"]] or "", texts[order[(order.index(r["doc_id"]) + 1) % len(order)]] or ""
+        q = len(text) // 4
+        own, edited, follows = plain_fingerprint(text), plain_fingerprint(text[: len(text) - q] + after[:q]), plain_fingerprint(after)
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (own, edited)
+        like = lambda a, b: max(0.0, (sum(a[i : i + 2] == b[i : i + 2] for i in range(0, 256, 2)) / 128 - 2**-8) / (1 - 2**-8))
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(like(own, edited)), pytest.approx(like(own, follows)))
+
+
+def test_quality_scores_match_brute_force(spark):
+    import zstandard
+
+    rng = __import__("random").Random(15)
+    good, junk = (lambda n: sentence(rng, n)), (lambda n: " ".join(rng.choice(["%%%", "###", "!!"]) + rng.choice("XYZ") for _ in range(n)))
+    rows = [(i, (good if i % 2 else junk)(rng.choice([10, 80, 300]))) for i in range(200)] + [(900, None), (901, ""), (902, good(30_000)), (903, junk(30_000))]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model = quality.fit(docs, marks)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, marks).collect()}
+    packers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.bad, model.good)]
+    for i, t in rows:
+        data = (t or "").encode()
+        cuts = [data[a : a + quality.PIECE] for a in range(0, len(data), quality.PIECE)] or [b""]
+        bad, fine = (sum(len(p.compress(c)) for c in cuts) for p in packers)
+        gap, density = (bad - fine) / (bad + fine), min(2.0, (bad + fine) / 2 / max(1, len(data)))
+        x = [gap, density, gap**2, density**2, gap * density, 1 / (1 + len(data) / 64)]
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-6)
+    assert got[902] > 0.5 > got[903]
+
+
+def test_quality_learns_from_long_texts(spark):
+    """All labelled texts are longer than the sample holds of one: pieces from all through them are learned from."""
+    rng = __import__("random").Random(16)
+    rows = [(i, (sentence(rng, 3000) if i % 2 else " ".join(rng.choice(["%%%", "!!"]) + rng.choice("XYZ") for _ in range(3000)))) for i in range(24)]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    model = quality.fit(docs, marks, sample_bytes=4096)
+    got = quality.score(docs.select("doc_id", "text"), model).collect()
+    assert model and all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+    body = bytes(range(256)) * 40
+    cut = spark.createDataFrame([(body,)], "b binary").select(quality.sampled(__import__("pyspark").sql.functions.col("b"), 1600).alias("x")).first()["x"]
+    assert len(cut) == 1600 and bytes(cut[:100]) == body[:100] and bytes(cut[-100:]) == body[-100:]
+
+
 def test_quality_learns_and_bears_all_rows(spark):
     rng = __import__("random").Random(6)
     rows, labels = [], []

@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -205,8 +206,7 @@ def encode_batch(vocab: Vocabulary, keys: list, texts: list[str | None], seed: i
         units += own
         sizes.append(len(own))
         seeds.append(row_seed(key, seed))
-    known: defaultdict[str, int] = defaultdict()
-    known.default_factory = known.__len__
+    known: defaultdict[str, int] = defaultdict(count().__next__)
     which = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
     sizes = np.array(sizes, np.int64)
     place = np.arange(len(units)) - np.repeat(np.cumsum(sizes) - sizes, sizes)

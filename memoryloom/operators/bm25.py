@@ -1,59 +1,151 @@
-"""BM25 over one corpus per user: texts tokenised once, aggregated statistics, an equi-join on the queries' terms."""
+"""BM25 over one corpus per user, by an index: texts tokenised once, postings read by the queries' terms alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
 from ..params import DEFAULT, Params
 from ..sources.checkpoints import staged
 
 
-def token_bags(docs: DataFrame, corpus: str, doc: str, text: str) -> DataFrame:
-    """(corpus, doc, terms, dl): the tokens of each document, with repeats, and their number; staged, as the statistics
-    and the scores all read them."""
-    bags = docs.select(corpus, doc, tokenize(F.col(text)).alias("terms"))
+#: A table of fewer bytes a core may come in fewer parts than there are cores, such as one row group.
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew over the cores if it is small; a large table is read in many splits as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # the planner's estimate
+    return df.repartition(cores) if int(str(size)) < cores * SPLIT_BYTES else df
+
+
+def token_bags(docs: DataFrame, corpus: str, doc: str, text: str, *keep: str) -> DataFrame:
+    """(corpus, doc, *keep, terms, dl): the tokens of each document, with repeats, and their number; staged, as the
+    statistics and the scores all read them."""
+    bags = spread(docs.select(corpus, doc, *keep, text)).select(corpus, doc, *keep, tokenize(F.col(text)).alias("terms"))
     return staged(bags.withColumn("dl", F.size("terms")), "tokens")
 
 
-def statistics(bags: DataFrame, corpus: str, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(corpus, term, idf) and (corpus, n, avgdl). A negative idf becomes epsilon times the mean over all terms.
+def inverse_frequency(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def mean_frequency(counts: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, mean): the mean idf of a corpus' terms, from how many terms have each document count (df, terms)."""
+    each = counts.join(users.select("user_id", "n"), "user_id").withColumn("idf", inverse_frequency(F.col("n"), F.col("df")))
+    return each.groupBy("user_id").agg((F.sum(F.col("idf") * F.col("terms")) / F.sum("terms")).alias("mean"))
+
 
-    Terms are counted by document before anything is shuffled; corpora without tokens have no rows.
+@dataclass(frozen=True)
+class Index:
+    """What ranking needs of the notes of each user.
+
+    docs: (user_id, id, memory_type, created_at, embedding), as far as the source has them; users: (user_id, n, tokens);
+    counts: (user_id, df, terms); postings and frequencies: from asked (user_id, term) to (user_id, term, id, tf, dl) and
+    (user_id, term, df).
     """
-    corpora = bags.groupBy(corpus).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl")).filter("avgdl > 0")
-    df = bags.select(corpus, F.explode(F.array_distinct("terms")).alias("term")).groupBy(corpus, "term").agg(F.count("*").alias("df"))
-    idf = df.join(corpora.select(corpus, "n"), corpus).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.groupBy(corpus).agg(F.avg("idf").alias("_mean"))
-    idf = idf.join(mean, corpus).select(corpus, "term", F.when(F.col("idf") < 0, params.epsilon * F.col("_mean")).otherwise(F.col("idf")).alias("idf"))
-    return idf, corpora
 
+    docs: DataFrame
+    users: DataFrame
+    counts: DataFrame
+    postings: Callable[[DataFrame], DataFrame]
+    frequencies: Callable[[DataFrame], DataFrame]
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, corpus: str = "user_id", doc: str = "id", text: str = "content", query: str = "query_id", query_text: str = "query", params: Params = DEFAULT) -> DataFrame:
-    """(query, corpus, doc, bm25) of documents that share a term with a query of their corpus; the others score 0.
+
+def index_of(docs: DataFrame, corpus: str = "user_id", doc: str = "id", text: str = "content") -> Index:
+    """An index of documents that aren't stored with one. Terms are counted by document before anything is shuffled."""
+    kept = [c for c in ("memory_type", "created_at", "embedding") if c in docs.columns]
+    named = docs.select(F.col(corpus).alias("user_id"), F.col(doc).alias("id"), *kept, F.col(text).alias("content"))
+    bags = token_bags(named, "user_id", "id", "content", *kept)
+    df = staged(bags.select("user_id", F.explode(F.array_distinct("terms")).alias("term")).groupBy("user_id", "term").agg(F.count("*").alias("df")), "frequencies")
+
+    def postings(asked: DataFrame) -> DataFrame:
+        found = bags.select("user_id", "id", "dl", F.explode("terms").alias("term")).join(asked, ["user_id", "term"], "left_semi")
+        return found.groupBy("user_id", "term", "id", "dl").agg(F.count("*").alias("tf"))
+
+    return Index(
+        bags.drop("terms", "dl"), bags.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("dl").alias("tokens")), df.groupBy("user_id", "df").agg(F.count("*").alias("terms")),
+        postings, lambda asked: df.join(asked, ["user_id", "term"], "left_semi"),
+    )
+
+
+def scores(index: Index, queries: DataFrame, query: str = "query_id", query_text: str = "query", params: Params = DEFAULT) -> DataFrame:
+    """(query, user_id, id, bm25) of documents that share a term with a query of their corpus; the others score 0.
 
     A query's repeated tokens count each time. The corpus is a join key throughout: no user's notes meet another's
-    queries. Of the documents' tokens only those that some query of their corpus has are shuffled.
+    queries. A negative idf becomes epsilon times the mean over all terms of the corpus. Only postings of terms that some
+    query of their corpus has are read.
     """
-    bags = token_bags(docs, corpus, doc, text)
-    idf, corpora = statistics(bags, corpus, params)
-    terms = staged(queries.select(query, corpus, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query, corpus, "term").agg(F.count("*").alias("qtf")), "query-terms")
-    asked = terms.select(corpus, "term").distinct()
-    found = bags.select(corpus, doc, "dl", F.explode("terms").alias("term")).join(asked, [corpus, "term"], "left_semi").groupBy(corpus, doc, "term", "dl").agg(F.count("*").alias("tf"))
-    weighed = terms.join(idf.join(asked, [corpus, "term"], "left_semi"), [corpus, "term"]).join(corpora, corpus)
+    terms = staged(queries.select(query, "user_id", F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query, "user_id", "term").agg(F.count("*").alias("qtf")), "query-terms")
+    asked = terms.select("user_id", "term").distinct()
+    users = index.users.filter("tokens > 0")
+    idf = inverse_frequency(F.col("n"), F.col("df"))
+    weights = index.frequencies(asked).join(users, "user_id").join(mean_frequency(index.counts, users), "user_id")
+    weights = weights.select("user_id", "term", F.when(idf < 0, params.epsilon * F.col("mean")).otherwise(idf).alias("idf"), (F.col("tokens") / F.col("n")).alias("avgdl"))
     length = 1 - params.b + params.b * F.col("dl") / F.col("avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * length)
-    return found.join(weighed, [corpus, "term"]).groupBy(query, corpus, doc).agg(F.sum(part).alias("bm25"))
+    return index.postings(asked).join(terms.join(weights, ["user_id", "term"]), ["user_id", "term"]).groupBy(query, "user_id", "id").agg(F.sum(part).alias("bm25"))
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, corpus: str = "user_id", doc: str = "id", text: str = "content", query: str = "query_id", query_text: str = "query", params: Params = DEFAULT) -> DataFrame:
+    """(query, corpus, doc, bm25): scores over an index of docs."""
+    asked = queries.select(F.col(query).alias("_query"), F.col(corpus).alias("user_id"), query_text)
+    found = scores(index_of(docs, corpus, doc, text), asked, "_query", query_text, params)
+    return found.select(F.col("_query").alias(query), F.col("user_id").alias(corpus), F.col("id").alias(doc), "bm25")
+
+
+#: Places of a list that a query reads at once.
+BLOCK = 64
+
+
+def placed(docs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """docs with place, from 0, in the order of each key, and block (place / BLOCK).
+
+    Rows are range-partitioned by key and order, so that a large key is spread; places are those within a part and the
+    counts of the parts before.
+    """
+    # what orders the rows takes part in the range, or a large key would be one part
+    cut = docs.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    cut = staged(cut, "placed")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*keys, "_part").agg(F.count("*").alias("_rows")).withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    out = cut.withColumn("place", inside).join(offsets, [*keys, "_part"]).withColumn("place", F.col("place") + F.col("_offset"))
+    return out.drop("_part", "_offset").withColumn("block", F.floor(F.col("place") / BLOCK))
+
+
+def first_others(wanted: DataFrame, lists: DataFrame, matched: DataFrame, keys: list[str], query: str = "query_id") -> DataFrame:
+    """The first rows of lists (see placed) for each of wanted (query, *keys, reach) that matched (query, id) hasn't.
+
+    reach is how many are wanted and how many matched rows may stand among them: no query meets more of a list.
+    """
+    blocks = F.sequence(F.lit(0), F.floor((F.col("reach") - 1) / BLOCK))
+    asked = wanted.filter("reach > 0").withColumn("block", F.explode(blocks))
+    near = asked.join(lists, [*keys, "block"]).filter("place < reach").drop("block", "place", "reach")
+    return near.join(matched.select(query, "id"), [query, "id"], "left_anti")
 
 
 def rank_documents(docs: DataFrame, queries: DataFrame, top_n: int, corpus: str = "user_id", doc: str = "id", text: str = "content", query: str = "query_id", query_text: str = "query", params: Params = DEFAULT) -> DataFrame:
-    """The top_n documents (at least one) of each query by min-shifted score, all documents of its corpus considered."""
-    from pyspark.sql.window import Window
-
-    every = queries.select(query, corpus).join(docs.select(corpus, doc), corpus)
-    scored = every.join(bm25_scores(docs, queries, corpus, doc, text, query, query_text, params), [query, corpus, doc], "left").fillna(0.0, ["bm25"])
-    least = scored.groupBy(query).agg(F.min("bm25").alias("_least"))
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("bm25"), doc))
-    top = scored.withColumn("rank", rank).filter(F.col("rank") <= max(1, top_n))
-    return top.join(least, query).withColumn("score", F.col("bm25") - F.col("_least")).drop("bm25", "_least")
+    """The top_n documents (at least one) of each query by min-shifted score, all documents of its corpus considered.
+
+    Those that share no term score 0; of them the first by doc are enough, and how many they are tells the least score.
+    """
+    n = max(1, top_n)
+    index = index_of(docs, corpus, doc, text)
+    asked = queries.select(F.col(query).alias("_query"), F.col(corpus).alias("user_id"), query_text)
+    matched = staged(scores(index, asked, "_query", query_text, params), "matched")
+    met = matched.groupBy("_query").agg(F.count("*").alias("_met"), F.min("bm25").alias("_least"))
+    sizes = asked.select("_query", "user_id").join(index.users.select("user_id", "n"), "user_id").join(met, "_query", "left").fillna(0, ["_met"])
+    least = sizes.select("_query", F.when(F.col("_met") < F.col("n"), F.least(F.coalesce("_least", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_least")).alias("_least"))
+    lists = placed(index.docs.select("user_id", "id"), ["user_id"], [F.col("id").asc()])
+    others = first_others(sizes.select("_query", "user_id", (F.col("_met") + n).alias("reach")), lists, matched, ["user_id"], "_query")
+    every = matched.select("_query", "user_id", "id", "bm25").unionByName(others.select("_query", "user_id", "id", F.lit(0.0).alias("bm25")))
+    rank = F.row_number().over(Window.partitionBy("_query").orderBy(F.desc("bm25"), "id"))
+    top = every.withColumn("rank", rank).filter(F.col("rank") <= n).join(least, "_query")
+    return top.select(F.col("_query").alias(query), F.col("user_id").alias(corpus), F.col("id").alias(doc), "rank", (F.col("bm25") - F.col("_least")).alias("score"))

@@ -9,39 +9,71 @@ from pyspark.sql.window import Window
 from ..functions.scoring import cosine, decay, type_bonus, utility, utility_axes
 from ..functions.text import strip, text_of
 from ..params import DEFAULT, Params
-from .bm25 import bm25_scores
-
+from ..sources.checkpoints import staged
+from . import bm25
 
 
 def _by_query():
     return Window.partitionBy("query_id")
 
 
+def _by_vectors(index: bm25.Index, matched: DataFrame, queries: DataFrame, now: Column, params: Params, apply_decay: bool) -> DataFrame:
+    """Every note of each query's user with raw score and cosine: vectors break ties among all of them."""
+    narrow = index.docs.select("user_id", "id", "memory_type", "created_at", "embedding")
+    scored = queries.withColumnRenamed("embedding", "_q").join(narrow, "user_id").join(matched, ["query_id", "user_id", "id"], "left")
+    raw = F.coalesce("bm25", F.lit(0.0)) + type_bonus(F.col("weights"), F.col("memory_type"), params)
+    shifted = scored.withColumn("_raw", raw).withColumn("_least", F.min("_raw").over(_by_query()))
+    if params.dense_anchor == "first_note":
+        newest = _by_query().orderBy(F.desc("created_at"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        shifted = shifted.withColumn("_q", F.first("embedding").over(newest))
+    return shifted.withColumn("dense", cosine(F.col("_q"), F.col("embedding")))
+
+
+def _by_lists(index: bm25.Index, matched: DataFrame, queries: DataFrame, params: Params) -> DataFrame:
+    """The notes that share a term with a query, and as many of the others as may be wanted, with raw score.
 
-def hybrid_rank(notes: DataFrame, queries: DataFrame, now: Column, params: Params = DEFAULT, top_n: Column | None = None, apply_decay: bool = True) -> DataFrame:
+    Without vectors notes of one type that share no term come newest first: the first of each type are enough. How many
+    notes of each type there are, and how many matched, tells whether another one has the least raw score.
+    """
+    docs = index.docs.select("user_id", "id", F.coalesce("memory_type", F.lit("")).alias("memory_type"), "created_at", F.col("created_at").isNull().alias("_undated"))
+    kinds = ["user_id", "memory_type", "_undated"]
+    met = matched.join(docs, ["user_id", "id"])
+    counted = met.groupBy("query_id", "memory_type", "_undated").agg(F.count("*").alias("_met"))
+    sizes = docs.groupBy(*kinds).agg(F.count("*").alias("_notes"))
+    reach = queries.select("query_id", "user_id", "weights", "_n").join(sizes, "user_id").join(counted, ["query_id", "memory_type", "_undated"], "left").fillna(0, ["_met"])
+    reach = staged(reach, "reach")
+    bonus = type_bonus(F.col("weights"), F.col("memory_type"), params)
+    lists = bm25.placed(docs, kinds, [F.desc("created_at"), F.col("id").asc()])
+    wanted = reach.filter("_met < _notes").select("query_id", *kinds, F.least(F.col("_met") + F.coalesce("_n", F.col("_notes")), F.col("_notes")).alias("reach"))
+    others = bm25.first_others(wanted, lists, matched, kinds)
+    every = met.select("query_id", *kinds, "id", "created_at", "bm25").unionByName(others.select("query_id", *kinds, "id", "created_at", F.lit(0.0).alias("bm25")))
+    every = every.join(queries.select("query_id", "weights", "_n"), "query_id").withColumn("_raw", F.col("bm25") + bonus)
+    low = every.groupBy("query_id").agg(F.min("_raw").alias("_low"))
+    free = reach.filter("_met < _notes").groupBy("query_id").agg(F.min(bonus).alias("_free"))
+    least = low.join(free, "query_id", "left").select("query_id", F.least("_low", "_free").alias("_least"))
+    return every.join(least, "query_id").withColumn("dense", F.lit(0.0))
+
+
+def hybrid_rank(notes: DataFrame, queries: DataFrame, now: Column, params: Params = DEFAULT, top_n: Column | None = None, apply_decay: bool = True, index: bm25.Index | None = None, vectors: bool = True) -> DataFrame:
     """Stage 1: every active note of a query's user, by (BM25 + type bonus - their minimum) * decay.
 
     notes: user_id, id, content, memory_type, created_at, embedding; queries: query_id, user_id, query, embedding and
     weights (map of memory type to intent weight). Ties go to the note nearest to the query's vector (or, with
     dense_anchor first_note, to the newest note's), then the newest, then the least id. top_n per query: None keeps all.
+
+    index: the stored one, if there is one; else the notes are tokenised here. vectors=False says that there are none to
+    break ties: then a query meets only notes that share a term with it and the first of the others.
     """
-    scores = bm25_scores(notes, queries, params=params)
-    narrow = notes.select("user_id", "id", "memory_type", "created_at", "embedding")  # texts and cards join the survivors
-    every = queries.select("query_id", "user_id", "weights", F.col("embedding").alias("_q"), *([] if top_n is None else [top_n.alias("_n")])).join(narrow, "user_id")
-    scored = every.join(scores, ["query_id", "user_id", "id"], "left")
-    raw = F.coalesce("bm25", F.lit(0.0)) + type_bonus(F.col("weights"), F.col("memory_type"), params)
-    shifted = scored.withColumn("_raw", raw).withColumn("score", F.col("_raw") - F.min("_raw").over(_by_query()))
-    if apply_decay:
-        shifted = shifted.withColumn("score", F.col("score") * decay(F.col("created_at"), now, params))
-    if params.dense_anchor == "first_note":
-        newest = _by_query().orderBy(F.desc("created_at"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        shifted = shifted.withColumn("_q", F.first("embedding").over(newest))
-    ranked = shifted.withColumn("dense", cosine(F.col("_q"), F.col("embedding")))
-    ranked = ranked.withColumn("rank", F.row_number().over(_by_query().orderBy(F.desc("score"), F.desc("dense"), F.desc("created_at"), "id")))
+    index = index or bm25.index_of(notes)
+    asked = queries.select("query_id", "user_id", "weights", "embedding", (F.lit(None).cast("int") if top_n is None else top_n).alias("_n"))
+    matched = staged(bm25.scores(index, queries, params=params), "matched")
+    found = _by_vectors(index, matched, asked, now, params, apply_decay) if vectors else _by_lists(index, matched, asked, params)
+    aged = decay(F.col("created_at"), now, params) if apply_decay else F.lit(1.0)
+    found = found.withColumn("score", (F.col("_raw") - F.col("_least")) * aged)
+    ranked = found.withColumn("rank", F.row_number().over(_by_query().orderBy(F.desc("score"), F.desc("dense"), F.desc("created_at"), "id")))
     if top_n is not None:
-        ranked = ranked.filter(F.col("rank") <= F.col("_n")).drop("_n")
-    ranked = ranked.drop("_q", "_raw", "bm25", "memory_type", "created_at", "embedding")
-    return ranked.join(notes, ["user_id", "id"])
+        ranked = ranked.filter(F.col("rank") <= F.col("_n"))
+    return ranked.select("user_id", "id", "query_id", "weights", "score", "dense", "rank").join(notes, ["user_id", "id"])
 
 
 def recall_size(k: Column, n: Column, params: Params = DEFAULT) -> Column:
@@ -109,10 +141,16 @@ def package(card: Column, content: Column, level: Column, params: Params = DEFAU
     return F.when(card.isNull(), content).when(wanted == "L0", level0(card, content, params)).when(wanted == "L2", full).otherwise(F.coalesce(F.nullif(head, F.lit("")), content))
 
 
-def near_duplicate_flags(scores: DataFrame, candidate: str = "query_id", threshold: float = DEFAULT.near_dup_threshold) -> DataFrame:
-    """(candidate, near_duplicate) from its BM25 scores (column bm25) against all notes: the best one dominates the mean
-    of those below it; scores that are all alike count if they are positive."""
-    best = scores.groupBy(candidate).agg(F.max("bm25").alias("hi"), F.min("bm25").alias("lo"))
-    rest = scores.join(best, candidate).groupBy(candidate, "hi", "lo").agg(F.avg(F.when(F.col("bm25") < F.col("hi"), F.col("bm25"))).alias("others"))
-    dominance = (F.col("hi") - F.col("others")) / F.greatest(F.abs("hi"), F.abs("others"), F.lit(1e-9))
-    return rest.select(candidate, F.when(F.col("hi") - F.col("lo") < 1e-9, F.col("hi") > 0).otherwise(F.coalesce(dominance >= threshold, F.lit(True))).alias("near_duplicate"))
+def near_duplicate_flags(scores: DataFrame, sizes: DataFrame, candidate: str = "query_id", threshold: float = DEFAULT.near_dup_threshold) -> DataFrame:
+    """(candidate, near_duplicate) from its BM25 scores (column bm25) against the notes that share a term with it, and the
+    number n of all notes (sizes: candidate, n), the others scoring 0: the best one dominates the mean of those below it;
+    scores that are all alike count if they are positive. Candidates without notes have no row."""
+    met = scores.groupBy(candidate).agg(F.max("bm25").alias("_hi"), F.min("bm25").alias("_lo"), F.count("*").alias("_met"))
+    every = sizes.filter("n > 0").join(met, candidate, "left").fillna(0, ["_met"]).withColumn("_zeros", F.col("n") - F.col("_met"))
+    zero = F.when(F.col("_zeros") > 0, F.lit(0.0))
+    every = every.select(candidate, "_zeros", F.greatest("_hi", zero).alias("_hi"), F.least("_lo", zero).alias("_lo"))
+    below = scores.join(every.select(candidate, "_hi"), candidate).filter("bm25 < _hi").groupBy(candidate).agg(F.sum("bm25").alias("_sum"), F.count("*").alias("_below"))
+    zeros = F.when(F.col("_hi") > 0, F.col("_zeros")).otherwise(0)
+    rest = every.join(below, candidate, "left").fillna(0, ["_sum", "_below"]).withColumn("_others", F.try_divide(F.col("_sum"), F.col("_below") + zeros))
+    dominance = (F.col("_hi") - F.col("_others")) / F.greatest(F.abs("_hi"), F.abs("_others"), F.lit(1e-9))
+    return rest.select(candidate, F.when(F.col("_hi") - F.col("_lo") < 1e-9, F.col("_hi") > 0).otherwise(F.coalesce(dominance >= threshold, F.lit(True))).alias("near_duplicate"))

@@ -45,6 +45,7 @@ class Params:
     default_granularity: str = "L1"
     l0_max_chars: int = 160
     # adapters and rendering
+    embedding_dim: int = 1536
     llm_failure_threshold: int = 3
     transcript_tool_result_cap: int = 1200
     transcript_max_segment_chars: int = 8000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.adapters import card_reader, classifier, embedder, enhancer, extractor, utility_scorer
 from ..functions.card import content_of, heuristic_card, profile_pairs
 from ..functions.text import memory_id, seed_files, strip
-from ..operators import graph, rank, revise, segment, transcript
+from ..operators import bm25, graph, rank, revise, segment, transcript
 from ..params import DEFAULT, Params
 from ..sources import store as stores
 from ..sources.checkpoints import staged
@@ -16,7 +16,7 @@ from ..sources.checkpoints import staged
 _SESSION = ["user_id", "session_id", "request_id"]
 
 
-def cards_of_events(events: DataFrame, now: Column, params: Params = DEFAULT, embed=None, dim: int = 4, extract=None) -> DataFrame:
+def cards_of_events(events: DataFrame, now: Column, params: Params = DEFAULT, embed=None, extract=None) -> DataFrame:
     """One candidate note for each segment: two shuffles, by session for the segments and (later) by user for the fold.
 
     extract: a model's reply to a segment's text and its context (see adapters.extractor); where it has none that can be
@@ -34,27 +34,33 @@ def cards_of_events(events: DataFrame, now: Column, params: Params = DEFAULT, em
         card = F.coalesce(read, card)
     out = joined.withColumn("card", card).withColumn("content", content_of(F.col("card"), F.col("segment_text")))
     ids = memory_id(*[F.col(c) for c in _SESSION], F.col("segment_id").cast("string"))
-    return out.select(*_SESSION, "segment_id", ids.alias("id"), "content", embedder(embed, dim)(F.col("content")).alias("embedding"), F.col("card.memory_type").alias("memory_type"), "card", now.cast("timestamp").alias("created_at"), now.cast("timestamp").alias("request_ts"))
+    return out.select(*_SESSION, "segment_id", ids.alias("id"), "content", embedder(embed, params)(F.col("content")).alias("embedding"), F.col("card.memory_type").alias("memory_type"), "card", now.cast("timestamp").alias("created_at"), now.cast("timestamp").alias("request_ts"))
 
 
 def ingest(events: DataFrame, store: stores.Store, now: Column, params: Params = DEFAULT, judge=None, embed=None, extract=None) -> DataFrame:
     """Fold the events' cards into the store. Returns the decisions; replaying the same events adds no rows.
 
-    Cards and decisions are staged, so that models are asked once and all logs hold the same answers. Of inserted record
-    segments whose card names files, the symbols of the files they read are stored.
+    Cards and decisions are staged, so that models are asked once and all tables hold the same answers. Of inserted record
+    segments whose card names files, the symbols of the files they read are stored. All tables change in one commit, or
+    none does; where another writer was first, the candidates are decided anew on what it has left.
     """
     candidates = staged(cards_of_events(events, now, params, embed, extract=extract), "candidates")
-    known = store.decided().withColumnRenamed("candidate_id", "id")
-    decisions = staged(revise.revise(candidates.join(known, ["user_id", "id"], "left_anti"), store.memories(), params, judge, embed), "decisions")
-    store.write_memories(revise.latest(decisions))
-    store.write_decisions(decisions)
-    inserted = decisions.filter("action = 'INSERT' and memory_type = 'record' and size(card.files_symbols) > 0").select("user_id", F.col("candidate_id").alias("id"))
-    kept = candidates.join(inserted, ["user_id", "id"], "left_semi").select(*_SESSION, "segment_id")
-    parts = segment.segment_events(events, _SESSION, params=params)
-    bodies = transcript.tool_contents(parts, (*_SESSION, "segment_id")).withColumnRenamed("body", "content")
-    symbols = graph.extract_symbols(bodies.join(kept, [*_SESSION, "segment_id"], "left_semi"))
-    store.write_file_symbols(stores.nest_symbols(symbols, now.cast("timestamp")))
-    return decisions
+    users = staged(candidates.select("user_id").distinct(), "users")
+    while True:
+        with store.change() as change:
+            known = change.before.decided(users).withColumnRenamed("candidate_id", "id")
+            fresh = candidates.join(known, ["user_id", "id"], "left_anti")
+            decisions = staged(revise.revise(fresh, change.before.memories(users), params, judge, embed), "decisions")
+            change.write_memories(revise.latest(decisions))
+            change.write_decisions(decisions)
+            inserted = decisions.filter("action = 'INSERT' and memory_type = 'record' and size(card.files_symbols) > 0").select("user_id", F.col("candidate_id").alias("id"))
+            kept = candidates.join(inserted, ["user_id", "id"], "left_semi").select(*_SESSION, "segment_id")
+            parts = segment.segment_events(events, _SESSION, params=params)
+            bodies = transcript.tool_contents(parts, (*_SESSION, "segment_id")).withColumnRenamed("body", "content")
+            symbols = graph.extract_symbols(bodies.join(kept, [*_SESSION, "segment_id"], "left_semi"))
+            change.write_file_symbols(stores.nest_symbols(symbols, now.cast("timestamp")))
+        if change.made:
+            return decisions
 
 
 def validate_searches(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,19 +71,23 @@ def validate_searches(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
-def search(queries: DataFrame, memories: DataFrame, now: Column, symbols: DataFrame | None = None, params: Params = DEFAULT, granularity: str = "L1", enhance=None, classify=None, embed=None, score=None) -> DataFrame:
+def search(queries: DataFrame, memories: DataFrame, now: Column, symbols: DataFrame | None = None, params: Params = DEFAULT, granularity: str = "L1", enhance=None, classify=None, embed=None, score=None, index: bm25.Index | None = None) -> DataFrame:
     """(query_id, final_rank, id, content, score, utility, memory_type, created_at) for queries (query_id, user_id, query,
-    top_k, options); queries of users without memories have no rows.
+    top_k, options); queries of users without memories, and those that validate_searches rejects, have no rows.
 
     Recall keeps top_k times a multiple of notes, the symbol graph nudges their scores, utility orders them, the first
-    top_k pass the gate and are packaged.
+    top_k pass the gate and are packaged. index: the store's; else the notes are tokenised for this batch. With one, and
+    without vectors, no text is read but those of the notes that are recalled.
     """
     active = stores.active(memories)
-    ready = queries.withColumn("weights", classifier(classify)(F.col("query"))).withColumn("query", enhancer(enhance)(F.col("query"), F.col("options")))
-    ready = ready.withColumn("embedding", embedder(embed, 4)(F.col("query")) if embed else F.array().cast("array<float>"))
-    sizes = active.groupBy("user_id").agg(F.count("*").alias("_notes"))
-    ready = ready.join(sizes, "user_id").withColumn("_recall", rank.recall_size(F.col("top_k"), F.col("_notes"), params))
-    found = rank.hybrid_rank(active, ready, now, params, F.col("_recall"))
+    ready, _rejected = validate_searches(queries)
+    ready = ready.withColumn("weights", classifier(classify, params)(F.col("query"))).withColumn("query", enhancer(enhance, params)(F.col("query"), F.col("options")))
+    ready = ready.withColumn("embedding", embedder(embed, params)(F.col("query")))
+    if classify or enhance or embed:
+        ready = staged(ready, "asked")  # models are asked once
+    index = index or bm25.index_of(active)
+    ready = ready.join(index.users.select("user_id", F.col("n").alias("_notes")), "user_id").withColumn("_recall", rank.recall_size(F.col("top_k"), F.col("_notes"), params))
+    found = rank.hybrid_rank(active, ready, now, params, F.col("_recall"), index=index, vectors=embed is not None)
     if symbols is not None and params.symbol_expand_enabled:
         found = staged(found, "recalled")
         named = found.filter(F.col("rank") <= params.recall_multiplier * 10).select("query_id", "user_id", F.explode("card.files_symbols").alias("seed"))
@@ -88,6 +98,6 @@ def search(queries: DataFrame, memories: DataFrame, now: Column, symbols: DataFr
         ranked = graph.pagerank(nodes, graph.build_edges(symbols), graph.seed_files(seeds, symbols), params, asked)
         found = graph.boosted(found, graph.related_files(ranked, params), symbols, params)
     found = found.join(ready.select("query_id", "query", "top_k"), "query_id")
-    ordered = rank.rerank(found, now, params, utility_scorer(score)).filter(F.col("final_rank") <= F.col("top_k"))
+    ordered = rank.rerank(found, now, params, utility_scorer(score, params)).filter(F.col("final_rank") <= F.col("top_k"))
     gated = rank.gate(ordered)
     return gated.select("query_id", "user_id", "final_rank", "id", rank.package(F.col("card"), F.col("content"), F.lit(granularity), params).alias("content"), "score", "utility", "memory_type", "created_at")

@@ -1,8 +1,7 @@
 """The engine's operators as driver queries over whole tables, with equivalent DuckDB SQL.
 
 Notes are the documents: a source is a user, created_at spreads over 400 days, NOW is fixed. Benchmark items are the
-search requests, each of the user that its number names. Small VALUES corpora stand in where the tables have no code,
-tool calls or task headers.
+search requests, each of the user that its number names.
 """
 
 from __future__ import annotations
@@ -15,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import card, scoring, text
+from . import session_queries
+from .functions import scoring, text
 from .operators import bm25, evaluate, graph, rank, revise, segment, transcript
 from .params import DEFAULT
 from .plans import pipelines
 from .schema import CARD
 from .sources import store
+from .sources.checkpoints import staged
 
 NOW = "2025-03-01 00:00:00"
 WEIGHTS = {"profile": 0.0, "event": 0.6, "record": 1.0}
@@ -236,13 +237,13 @@ def temporal_decay(spark, sf):
 
 
 def hybrid_rank(spark, sf):
-    r = rank.hybrid_rank(notes(spark, sf), requests(spark, sf, WEIGHTS), now(), top_n=F.lit(25))
+    r = rank.hybrid_rank(notes(spark, sf), requests(spark, sf, WEIGHTS), now(), top_n=F.lit(25), vectors=False)
     return r.select("query_id", "id", F.round("score", 4).alias("score"))
 
 
 def _ranked(spark, sf) -> DataFrame:
     asked = requests(spark, sf, WEIGHTS)
-    found = rank.hybrid_rank(notes(spark, sf), asked, now(), top_n=F.lit(25))
+    found = rank.hybrid_rank(notes(spark, sf), asked, now(), top_n=F.lit(25), vectors=False)
     found = found.withColumn("score", F.round("score", 4))
     return rank.rerank(found.join(asked.select("query_id", "query"), "query_id"), now())
 
@@ -263,9 +264,9 @@ def package_levels(spark, sf):
 
 
 def near_duplicate(spark, sf):
-    s = bm25.bm25_scores(notes(spark, sf), requests(spark, sf))
-    every = requests(spark, sf).select("query_id", "user_id").join(notes(spark, sf).select("user_id", "id"), "user_id").join(s, ["query_id", "user_id", "id"], "left").fillna(0.0, ["bm25"])
-    return rank.near_duplicate_flags(every)
+    index, asked = bm25.index_of(notes(spark, sf)), requests(spark, sf)
+    s = staged(bm25.scores(index, asked), "scores")
+    return rank.near_duplicate_flags(s, asked.select("query_id", "user_id").join(index.users, "user_id").select("query_id", "n"))
 
 
 def search_pipeline(spark, sf):
@@ -302,62 +303,6 @@ def upsert_history(spark, sf):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("superseded").cast("int")).alias("retired"), F.max("version").alias("versions"))
 
 
-#: Literal corpora: (id, text) for cards, headers of tasks, tool calls, and source files. chr(10) is a line feed.
-TEXTS = """VALUES
-  (1, 'Fixed the KeyError in UserStore.Load. See src/app/store.py for more'), (2, 'This service uses python and uses postgres with version 1.2.3'),
-  (3, 'A plain note on HTTPServer and RequestPool handling'), (4, 'built with Django framework, auth uses jwt, deployed on kubernetes'),
-  (5, 'The crash uses a library badly'), (6, ''), (7, 'Refactored a/b/c.go and lib/util.js!'), (8, 'database notes: stored in redis')"""
-TASKS = """VALUES
-  (1, 'instance_id: django__django-1' || chr(10) || 'repo: django/django' || chr(10) || 'base_commit: 0aF3' || chr(10) || 'problem_statement: Some bug here' || chr(10) || 'Description'),
-  (2, 'repo: a/b' || chr(10) || 'instance_id: x-2' || chr(10) || 'problem_statement: "quoted text"'), (3, 'nothing of the kind')"""
-CALLS = """VALUES
-  ('s1', 0, 'tool_use', 'Read', 'c1', 'a.py', ''), ('s1', 1, 'tool_use', 'Read', 'c2', 'b.py', ''), ('s1', 2, 'tool_result', '', 'c2', '', 'bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb'),
-  ('s1', 3, 'tool_result', '', 'c1', '', 'aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa'), ('s1', 4, 'tool_result', '', 'c9', '', 'dangling dangling dangling dangling dangling dangling'),
-  ('s2', 0, 'tool_use', 'Bash', 'c1', 'x.py', ''), ('s2', 1, 'tool_result', '', 'c1', '', 'cccccccccccccccccccccccccccccccccccccccccccccccccccc'), ('s2', 2, 'tool_use', 'Edit', 'c3', 'c.py', ''), ('s2', 3, 'tool_result', '', 'c3', '', 'short')"""
-FILES = """VALUES
-  ('u', 'pkg/store.py', 'import os' || chr(10) || 'from pkg.model import Note' || chr(10) || 'def load(x):' || chr(10) || '  pass' || chr(10) || 'class Store:' || chr(10) || '  def save(self):'),
-  ('u', 'pkg/model.py', 'class Note:' || chr(10) || '  def load(self):'), ('u', 'pkg/util.py', 'from . import x' || chr(10) || 'def helper():'),
-  ('u', 'pkg/empty.py', 'import model'), ('u', 'notes.txt', 'def no():'), ('v', 'pkg/model.py', 'def other():'), ('v', 'pkg/loner.py', 'import nothing' || chr(10) || 'def alone():')"""
-
-
-def _values(spark, rows: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {rows} AS t({columns})")
-
-
-def card_parts(spark, sf):
-    t, none = F.col("text"), F.array().cast("array<string>")
-    c = card.heuristic_card(t, F.lit(""), F.lit(""), none, F.lit(""), F.lit(""))
-    pairs = F.array_join(F.transform(card.profile_pairs(t), lambda p: F.concat_ws("=", p["attr"], p["value"])), ",")
-    return _values(spark, TEXTS, "id, text").select("id", card.classify(t).alias("kind"), F.array_join(card.symbols(t), ",").alias("symbols"), pairs.alias("pairs"), F.array_join(c["files_symbols"], ",").alias("files"), c["gist"].alias("gist"))
-
-
-def task_context(spark, sf):
-    t = _values(spark, TASKS, "id, text")
-    return t.withColumns(transcript.context_fields(F.col("text"))).drop("text")
-
-
-def tool_join(spark, sf):
-    t = _values(spark, CALLS, "session_id, event_index, kind, tool_name, tool_id, file, tool_result")
-    e = t.withColumns({"user_id": F.lit("u"), "request_id": F.lit("r"), "tool_input": F.create_map(F.lit("file_path"), F.col("file"))})
-    return transcript.tool_contents(e).select("session_id", "file", F.substring("body", 1, 4).alias("head"))
-
-
-def symbol_defs_imports(spark, sf):
-    return graph.extract_symbols(_values(spark, FILES, "user_id, file, content"))
-
-
-def graph_edges(spark, sf):
-    return graph.build_edges(symbol_defs_imports(spark, sf))
-
-
-def symbol_boost(spark, sf):
-    s = symbol_defs_imports(spark, sf)
-    seeds = graph.seed_files(spark.sql("SELECT * FROM VALUES ('u', 'Store'), ('v', 'pkg/model.py') AS t(user_id, seed)"), s)
-    nodes = s.filter("kind = 'def'").select("user_id", "file").distinct()
-    best = graph.related_files(graph.pagerank(nodes, graph.build_edges(s), seeds))
-    return best.select("user_id", "file", F.round("score", 6).alias("score"), "rank")
-
-
 def _supply(spark, sf) -> DataFrame:
     """Suppliers that share a part, weighted by how many, as one user's file graph."""
     li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
@@ -405,9 +350,9 @@ QUERIES = {
     for f in (
         search_pipeline, search_symbols, tokenize_terms, fingerprint_dups, word_overlap, first_sentence, scan_recent_per_user, scan_by_type, upsert_latest_version, validate_rejects, transcript_events, events_to_text,
         segment_idle, segment_todo, segment_caps, bm25_scores, bm25_topk, cosine_topk, temporal_decay, hybrid_rank, utility_rerank, gate_package, package_levels, near_duplicate, revision_fold,
-        upsert_history, card_parts, task_context, tool_join, symbol_defs_imports, graph_edges, symbol_boost, pagerank, eval_metrics_by_tier, relevance_join, session_windows,
+        upsert_history, pagerank, eval_metrics_by_tier, relevance_join, session_windows,
     )
-}
+} | session_queries.QUERIES
 
 _DECAY = "exp(-0.0077 * greatest(0, (epoch_us(TIMESTAMP '2025-03-01') - epoch_us(created_at)) / 86400e6))"
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[\\s\\x0B\\x1C-\\x1F\\x85\\xA0]+'), lambda w: {}))"
@@ -500,10 +445,6 @@ ORACLES = {
     "near_duplicate": f"""WITH {NOTES}, {REQUESTS}, {BM25}, s AS (SELECT query_id, coalesce(bm25, 0) AS b FROM requests JOIN notes USING (user_id) LEFT JOIN bm25 USING (query_id, user_id, id)),
       h AS (SELECT query_id, max(b) AS hi, min(b) AS lo FROM s GROUP BY 1), o AS (SELECT query_id, hi, lo, avg(b) FILTER (b < hi) AS others FROM s JOIN h USING (query_id) GROUP BY ALL)
       SELECT query_id, CASE WHEN hi - lo < 1e-9 THEN hi > 0 ELSE coalesce((hi - others) / greatest(abs(hi), abs(others), 1e-9) >= 0.85, true) END AS near_duplicate FROM o""",
-    "tool_join": f"""WITH t AS (SELECT * FROM ({CALLS}) t(session_id, event_index, kind, tool_name, tool_id, file, tool_result))
-      SELECT u.session_id, u.file, left(r.tool_result, 4) AS head FROM t u JOIN t r USING (session_id, tool_id) WHERE u.kind = 'tool_use' AND r.kind = 'tool_result' AND u.tool_name IN ('Read', 'Edit', 'Write', 'View') AND length(r.tool_result) > 40""",
-    "task_context": rf"""SELECT id, regexp_extract(text, 'instance_id:\s*([A-Za-z0-9_.\-/]+)', 1) AS instance_id, regexp_extract(text, '(?m)^\s*repo:\s*([A-Za-z0-9_.\-/]+)\s*$', 1) AS repo, regexp_extract(text, 'base_commit:\s*([0-9a-fA-F]+)', 1) AS base_commit,
-      trim(regexp_extract(text, 'problem_statement:\s*"?([^"\n]*)', 1)) AS problem_statement FROM ({TASKS}) t(id, text)""",
     "pagerank": f"""WITH RECURSIVE {_EDGES}, o AS (SELECT src, sum(w) AS total FROM edges GROUP BY src), n AS (SELECT count(*) AS n FROM supplier),
       r(i, file, rk) AS (SELECT 0, s_suppkey, 1.0::DOUBLE / n FROM supplier, n
         UNION ALL SELECT i, file, rk / sum(rk) OVER () FROM (SELECT r.i + 1 AS i, x.file, sum(x.p) AS rk FROM r JOIN (
@@ -522,13 +463,4 @@ ORACLES = {
     "relevance_join": """SELECT t.doc_id::VARCHAR AS instance_id, CASE WHEN t.doc_id % 9 = e.doc_id % 5 THEN 'strong' ELSE 'weak' END AS relevance, count(*) AS n FROM labels t JOIN labels e ON t.doc_id % 4 = e.doc_id % 4 WHERE t.doc_id % 50 = 0 GROUP BY ALL""",
     "session_windows": """WITH a AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600e6 THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM a) SELECT user_id, min(ts) AS began, count(*) AS n FROM s GROUP BY user_id, k""",
-    "card_parts": f"""SELECT * FROM (VALUES (1, 'event', 'Fixed,KeyError,UserStore.Load,See', '', 'src/app/store.py', 'Fixed the KeyError in UserStore.Load.'),
-      (2, 'profile', 'This', 'language=python,database=postgres,version=1.2.3', '', 'This service uses python and uses postgres with version 1.2.3'), (3, 'record', 'HTTPServer,RequestPool', '', '', 'A plain note on HTTPServer and RequestPool handling'),
-      (4, 'event', 'Django', 'framework=django,auth=jwt,deployment=kubernetes', '', 'built with Django framework, auth uses jwt, deployed on kubernetes'), (5, 'record', 'The', '', '', 'The crash uses a library badly'), (6, 'record', '', '', '', ''),
-      (7, 'event', 'Refactored', '', 'a/b/c.go,lib/util.js', 'Refactored a/b/c.go and lib/util.js!'), (8, 'profile', '', 'database=redis', '', 'database notes: stored in redis')) t(id, kind, symbols, pairs, files, gist)""",
-    "symbol_defs_imports": """SELECT * FROM (VALUES ('u', 'pkg/store.py', 'python', 'load', 'def', 3, 'function_definition'), ('u', 'pkg/store.py', 'python', 'save', 'def', 6, 'function_definition'), ('u', 'pkg/store.py', 'python', 'Store', 'def', 5, 'class_definition'),
-      ('u', 'pkg/store.py', 'python', 'os', 'ref', 0, 'import'), ('u', 'pkg/store.py', 'python', 'pkg.model', 'ref', 0, 'import'), ('u', 'pkg/model.py', 'python', 'load', 'def', 2, 'function_definition'), ('u', 'pkg/model.py', 'python', 'Note', 'def', 1, 'class_definition'),
-      ('u', 'pkg/util.py', 'python', '.', 'ref', 0, 'import'), ('u', 'pkg/util.py', 'python', 'helper', 'def', 2, 'function_definition'), ('u', 'pkg/empty.py', 'python', 'model', 'ref', 0, 'import'), ('v', 'pkg/model.py', 'python', 'other', 'def', 1, 'function_definition'),
-      ('v', 'pkg/loner.py', 'python', 'nothing', 'ref', 0, 'import'), ('v', 'pkg/loner.py', 'python', 'alone', 'def', 2, 'function_definition')) t(user_id, file, lang, name, kind, line, node_type)""",
-    "graph_edges": "SELECT 'u' AS user_id, * FROM (VALUES ('pkg/store.py', 'pkg/model.py', 1.5::DOUBLE), ('pkg/model.py', 'pkg/store.py', 1.5::DOUBLE)) t(src, dst, w)",
-}
+} | session_queries.ORACLES

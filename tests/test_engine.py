@@ -14,6 +14,8 @@ from memoryloom.sources import store as stores_
 from memoryloom.sources.store import Store, decoded
 from memoryloom.streaming.ingest import ingest_stream
 
+import plain
+
 def now():
     return F.lit("2025-01-01").cast("timestamp")
 
@@ -152,7 +154,7 @@ def test_bm25_equals_the_folds_and_keeps_users_apart(spark):
     got = {(r["query_id"], r["id"]): r["bm25"] for r in bm25.bm25_scores(spark.createDataFrame(notes, "user_id string, id string, content string"), spark.createDataFrame(queries, "query_id string, user_id string, query string")).collect()}
     for q, u, t in queries:
         own = [n for n in notes if n[0] == u]
-        want = revise.bm25([revise.tokens(n[2]) for n in own], revise.tokens(t)) if own else []
+        want = plain.bm25([revise.tokens(n[2]) for n in own], revise.tokens(t)) if own else []
         for n, s in zip(own, want, strict=True):
             assert got.pop((q, n[1]), 0.0) == pytest.approx(s)
     assert not got  # nothing of another user
@@ -251,32 +253,59 @@ def test_gate_and_levels(spark):
     assert len(level("L0")) == 160 and level("L0").endswith("…") and level("l2").endswith("\n---\nbody") and level("bogus") == level("L1")
 
 
-def fold_rows(contents, cards=None):
-    import pandas as pd
+def fold_rows(contents):
+    return [dict(stored=False, user_id="u", id=f"c{i}", session_id="s", request_id="r", segment_id=i, request_ts=1, content=c, embedding=None, memory_type="record", card={**CARD, "gist": c}, created_at=None, version=1, known_pairs=None) for i, c in enumerate(contents)]
+
 
-    return pd.DataFrame([dict(stored=False, user_id="u", id=f"c{i}", session_id="s", request_id="r", segment_id=i, request_ts=1, content=c, embedding=None, memory_type="record", card={**CARD, "gist": c}, created_at=pd.Timestamp("2024-01-01"), version=1, supersedes_id=None, superseded_by=None, superseded=False) for i, c in enumerate(contents)])
+def actions(rows, **judge):
+    return [r["action"] for r in revise.fold(**judge)(rows)]
 
 
 def test_fold_decides_in_order():
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    out = revise.fold()(fold_rows([words, words, words.replace("kappa", "lambda"), "entirely other content here"]))
-    assert out["action"].tolist() == ["INSERT", "SKIP", "MERGE", "INSERT"]
-    assert out["version"].tolist()[2] == 2 and out["id"].tolist()[2] == "c0"
-    out = revise.fold(judge=lambda a, b: ("contradicts", {}))(fold_rows([words, words + " x"]))
-    assert out["action"].tolist() == ["INSERT", "RETIRE", "INSERT" if False else "SUPERSEDE"]
-    last = out.iloc[2]
-    assert last["supersedes_id"] == "c0" and out.iloc[1]["superseded_by"] == last["id"]
+    out = list(revise.fold()(fold_rows([words, words, words.replace("kappa", "lambda"), "entirely other content here"])))
+    assert [r["action"] for r in out] == ["INSERT", "SKIP", "MERGE", "INSERT"]
+    assert out[2]["version"] == 2 and out[2]["id"] == "c0"
+    out = list(revise.fold(judge=lambda a, b: ("contradicts", {}))(fold_rows([words, words + " x"])))
+    assert [r["action"] for r in out] == ["INSERT", "RETIRE", "SUPERSEDE"]
+    assert out[2]["supersedes_id"] == "c0" and out[1]["superseded_by"] == out[2]["id"]
+
+
+def test_a_failing_judge_leaves_it_to_words_and_is_asked_no_more(monkeypatch):
+    monkeypatch.setattr(adapters.time, "sleep", lambda _: None)
+    calls = []
 
     def broken(a, b):
+        calls.append(1)
         raise RuntimeError
 
-    assert revise.fold(judge=broken)(fold_rows([words, words + " x"]))["action"].tolist() == ["INSERT", "INSERT"]
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = fold_rows([words, words + " x", words.replace("kappa", "lambda"), *(f"{words} y{i}" for i in range(20))])
+    assert actions(rows, judge=broken) == actions(rows)
+    assert actions(rows)[:3] == ["INSERT", "SKIP", "MERGE"] and len(calls) == 9  # three failures of three tries each
 
 
 def test_exact_duplicates_are_found_among_all_notes_of_a_request():
     odd = [f"note{i}x word{i}y thing{i}z" for i in range(150)]
-    out = revise.fold()(fold_rows([*odd, odd[3], odd[149]]))
-    assert out["action"].tolist() == ["INSERT"] * 150 + ["SKIP"] * 2
+    assert actions(fold_rows([*odd, odd[3], odd[149]])) == ["INSERT"] * 150 + ["SKIP"] * 2
+
+
+@pytest.mark.parametrize("seed, width", [(1, 0), (2, 3), (3, 0), (4, 3)])
+def test_fold_equals_one_that_looks_at_all_notes(seed, width):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}x" for i in range(30)] + ["the"] * 10
+    vector = lambda: [rng.choice([0.0, 1.0, -0.5]) for _ in range(rng.choice([width, width, 2]))] if width and rng.random() < 0.7 else None
+    def judge(a, b):
+        return ["supports", "contradicts", "unrelated", "duplicate", "refines"][(len(a) * 7 + len(b)) % 5], {}
+
+    for p in (DEFAULT, Params(dedup_neighbor_cap=5)):
+        for asked in (judge, None):
+            stored = [dict(stored=True, user_id="u", memory_type="record", id=f"s{i:02}", content=" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))), embedding=vector(), card={**CARD, "gist": "g"}, version=1) for i in range(8)]
+            rows = fold_rows([" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))) for _ in range(140)])
+            for i, r in enumerate(rows):
+                r |= {"embedding": vector(), "request_id": f"r{i // 35}"}
+            got = [(r["action"], r["id"], r.get("candidate_id"), r["version"], r["content"]) for r in revise.fold(p, asked)([*stored, *rows])]
+            assert got == plain.fold(stored, rows, asked, p)
 
 
 def test_profiles_gather_the_pairs_of_all_stored_profiles(spark):
@@ -365,15 +394,6 @@ def test_small_readers_and_writers(spark, tmp_path):
     assert (p.top_k, p.symbol_expand_enabled, p.recall_multiplier, p.k1) == (7, False, 2, 1.5)
 
 
-def test_a_broken_compaction_loses_nothing(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    store.write_memories(notes_frame(spark, [("u", "a", "x"), ("u", "b", "y")]))
-    (tmp_path / "store" / "memories").rename(tmp_path / "store" / "memories.old")  # as if it had stopped between its renames
-    assert Store(spark, str(tmp_path / "store")).count() == 2
-    store.reset()
-    assert Store(spark, str(tmp_path / "store")).count() == 0
-
-
 def test_symbols_and_edges(spark):
     files = [("u", "m/a.py", "     1→def f():\n     2→  pass\n"), ("u", "b.js", "import x from './a'\nfunction f() {\n}\n"), ("u", "C.java", "import q.a;\npublic class C {\n public void run() {\n"), ("u", "d.go", "func (s *S) Go() {\ntype T int"), ("u", "e.txt", "def z():")]
     got = graph.extract_symbols(spark.createDataFrame(files, "user_id string, file string, content string"))
@@ -436,7 +456,7 @@ def test_adapters_fall_back(spark):
 
     q = spark.createDataFrame([("a", ["x"])], "q string, o array<string>")
     assert q.select(adapters.enhancer(broken)(F.col("q"), F.col("o")).alias("x")).first()["x"] == "a"
-    assert q.select(adapters.embedder(lambda t: [1.0], 2)(F.col("q")).alias("x")).first()["x"] == [0.0, 0.0]
+    assert q.select(adapters.embedder(lambda t: [1.0], Params(embedding_dim=2))(F.col("q")).alias("x")).first()["x"] == [0.0, 0.0]
     assert q.select(adapters.classifier(lambda t: {"record": 0.5, "bogus": 1, "event": 7})(F.col("q")).alias("x")).first()["x"] == {"record": 0.5}
     calls = []
     breaker = adapters.Breaker(lambda: calls.append(1) or broken(), None, 3)

@@ -89,7 +89,7 @@ def search(queries: DataFrame, memories: DataFrame, now: Column, symbols: DataFr
     ready = ready.join(index.users.select("user_id", F.col("n").alias("_notes")), "user_id").withColumn("_recall", rank.recall_size(F.col("top_k"), F.col("_notes"), params))
     found = rank.hybrid_rank(active, ready, now, params, F.col("_recall"), index=index, vectors=embed is not None)
     if symbols is not None and params.symbol_expand_enabled:
-        found = staged(found, "recalled")
+        found, symbols = staged(found, "recalled"), staged(symbols, "symbols")
         named = found.filter(F.col("rank") <= params.recall_multiplier * 10).select("query_id", "user_id", F.explode("card.files_symbols").alias("seed"))
         wanted = ready.select("query_id", "user_id", F.explode(seed_files(F.col("query"))).alias("seed"))
         seeds = named.union(wanted).distinct()

@@ -15,14 +15,14 @@ from ..sources.checkpoints import staged
 
 
 #: A table of fewer bytes a core may come in fewer parts than there are cores, such as one row group.
-SPLIT_BYTES = 128 << 20
+SPLIT_BYTES = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
     """df dealt anew over the cores if it is small; a large table is read in many splits as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # the planner's estimate
-    return df.repartition(cores) if int(str(size)) < cores * SPLIT_BYTES else df
+    return df.repartition(4 * cores) if int(str(size)) < cores * SPLIT_BYTES else df
 
 
 def token_bags(docs: DataFrame, corpus: str, doc: str, text: str, *keep: str) -> DataFrame:

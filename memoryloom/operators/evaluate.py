@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import diff_files, text_of
+from ..functions.text import diff_files, source_path, text_of
 
 TIERS = ("easy", "medium", "hard")
 
@@ -27,15 +27,37 @@ def relevance(tasks: DataFrame, experiences: DataFrame) -> DataFrame:
     return pairs.select("instance_id", "experience", F.when(F.arrays_overlap("source_files", "patch_files"), "strong").otherwise("weak").alias("relevance"))
 
 
+def experiences(rows: DataFrame) -> DataFrame:
+    """(instance_id, repo, source_files) from experiences (instance_id, repo, paths): paths without testbed prefixes, tests
+    and artifacts; one row an instance, those without one dropped."""
+    paths = F.filter(F.array_distinct(F.transform(F.coalesce("paths", F.array().cast("array<string>")), source_path)), lambda p: p != "")
+    named = rows.filter(text_of(F.col("instance_id")) != "").select("instance_id", text_of(F.col("repo")).alias("repo"), paths.alias("source_files"))
+    return named.groupBy("instance_id").agg(F.max("repo").alias("repo"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_files")))).alias("source_files"))
+
+
+def markers(hits: DataFrame) -> DataFrame:
+    """(instance_id, rank, experience): what stands in brackets in the hits' contents."""
+    found = F.array_distinct(F.regexp_extract_all(text_of(F.col("content")), F.lit(r"\[([^\[\]]+)\]"), F.lit(1)))
+    return hits.select("instance_id", "rank", F.explode(found).alias("experience"))
+
+
 def label_hits(hits: DataFrame, truth: DataFrame) -> DataFrame:
-    """hits (instance_id, rank, content) with the best relevance of the experiences whose marker their content holds."""
+    """hits (instance_id, rank, content) with the best relevance of the experiences whose marker ([name]) their content
+    holds. truth: (instance_id, experience, relevance), of the pairs that the hits show at least."""
     grade = F.when(F.col("relevance") == "strong", 2).otherwise(1)
-    marks = truth.select("instance_id", F.concat(F.lit("["), F.col("experience"), F.lit("]")).alias("_mark"), grade.alias("_grade"))
-    held = hits.join(marks, "instance_id").filter(F.contains("content", "_mark")).groupBy("instance_id", "rank").agg(F.max("_grade").alias("_grade"))
+    held = markers(hits).join(truth.withColumn("_grade", grade), ["instance_id", "experience"]).groupBy("instance_id", "rank").agg(F.max("_grade").alias("_grade"))
     out = hits.join(held, ["instance_id", "rank"], "left")
     return out.withColumn("relevance", F.when(F.col("_grade") == 2, "strong").when(F.col("_grade") == 1, "weak").otherwise("none")).drop("_grade")
 
 
+def shown_relevance(hits: DataFrame, tasks: DataFrame, experiences: DataFrame) -> DataFrame:
+    """relevance() of the pairs of a task and an experience that the hits show, without making the others."""
+    seen = markers(hits).select("instance_id", "experience").distinct()
+    own = experiences.select(F.col("instance_id").alias("experience"), F.col("repo").alias("_repo"), "source_files")
+    pairs = seen.join(own, "experience").join(tasks.filter("repo <> ''").select("instance_id", "repo", "patch_files"), "instance_id").filter("repo = _repo")
+    return pairs.select("instance_id", "experience", F.when(F.arrays_overlap("source_files", "patch_files"), "strong").otherwise("weak").alias("relevance"))
+
+
 def task_metrics(tasks: DataFrame, hits: DataFrame) -> DataFrame:
     """Per task: recall (any strong hit), precision, hit@1 and reciprocal rank of the first strong hit."""
     strong = F.col("relevance") == "strong"

@@ -65,6 +65,29 @@ def extract_symbols(files: DataFrame, content: str = "content") -> DataFrame:
     return typed.select("user_id", "file", "lang", F.explode(F.concat(found, refs)).alias("s")).select("user_id", "file", "lang", "s.*")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(user_id, inner, outer) of all texts of inner (user_id, inner) and outer (user_id, outer) of one user of which the
+    first stands in the second; empty texts stand in none.
+
+    An index of the runs of up to three characters of outer: an inner text looks only at the texts that hold the rarest of
+    its runs of three (a shorter one: that hold itself), so no user's texts all meet.
+    """
+    held = outer.filter("outer <> ''").distinct()
+    runs = F.concat(*[F.when(F.length("outer") >= n, _grams(F.col("outer"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])
+    index = held.select("user_id", "outer", F.explode(runs).alias("gram"))
+    often = index.groupBy("user_id", "gram").agg(F.count("*").alias("n"))
+    own = F.when(F.length("inner") >= 3, _grams(F.col("inner"), 3)).otherwise(F.array("inner"))
+    sought = inner.filter("inner <> ''").distinct().select("user_id", "inner", F.explode(own).alias("gram"))
+    # a run that no outer text has tells that there is no match
+    key = sought.join(often, ["user_id", "gram"], "left").fillna(0, ["n"]).groupBy("user_id", "inner").agg(F.min(F.struct("n", "gram")).alias("k")).filter("k.n > 0")
+    return key.select("user_id", "inner", F.col("k.gram").alias("gram")).join(index, ["user_id", "gram"]).filter(F.contains("outer", "inner")).select("user_id", "inner", "outer")
+
+
 def build_edges(symbols: DataFrame) -> DataFrame:
     """(user_id, src, dst, w), both ways: 1 for each symbol that two files define, 0.5 for each import that matches a file.
 
@@ -77,8 +100,12 @@ def build_edges(symbols: DataFrame) -> DataFrame:
     tail = F.lower(F.substring_index(F.regexp_replace("name", r"[/\\]", "."), ".", -1))
     imports = symbols.filter("kind = 'ref'").select("user_id", "file", "name").distinct().withColumn("tail", tail).filter("tail <> ''")
     imports = imports.join(nodes.select("user_id", "file"), ["user_id", "file"], "left_semi").select("user_id", F.col("file").alias("src"), "tail", "name")
-    match = (F.col("tail") == F.col("stem")) | F.contains("tail", "stem") | F.contains("stem", "tail")
-    imported = imports.join(nodes.withColumnRenamed("file", "dst"), "user_id").filter(match & (F.col("src") != F.col("dst")) & (F.col("stem") != "")).select("user_id", "src", "dst", F.lit(0.5).alias("w"))
+    tails, stems = imports.select("user_id", "tail"), nodes.select("user_id", "stem")
+    within = contained(tails.withColumnRenamed("tail", "inner"), stems.withColumnRenamed("stem", "outer")).select("user_id", F.col("inner").alias("tail"), F.col("outer").alias("stem"))
+    around = contained(stems.withColumnRenamed("stem", "inner"), tails.withColumnRenamed("tail", "outer")).select("user_id", F.col("outer").alias("tail"), F.col("inner").alias("stem"))
+    matches = within.union(around).distinct()
+    met = imports.join(matches, ["user_id", "tail"]).join(nodes.withColumnRenamed("file", "dst"), ["user_id", "stem"])
+    imported = met.filter(F.col("src") != F.col("dst")).select("user_id", "src", "dst", F.lit(0.5).alias("w"))
     one_way = shared.unionByName(imported)
     both = one_way.unionByName(one_way.select("user_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return both.groupBy("user_id", "src", "dst").agg(F.sum("w").alias("w"))

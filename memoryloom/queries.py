@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import session_queries
+from . import session_queries, store_queries
 from .functions import scoring, text
 from .operators import bm25, evaluate, graph, rank, revise, segment, transcript
 from .params import DEFAULT
-from .plans import pipelines
+from .plans import evaluation, pipelines
 from .schema import CARD
 from .sources import store
 from .sources.checkpoints import staged
@@ -303,6 +303,19 @@ def upsert_history(spark, sf):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("superseded").cast("int")).alias("retired"), F.max("version").alias("versions"))
 
 
+def revision_judged(spark, sf):
+    """The fold with a judge that merges, supersedes and lets stand by the texts' lengths, in requests of 25 documents, and
+    what it leaves active and retired, over every document."""
+    n = notes(spark, sf)
+    c = n.select("user_id", F.lit("s").alias("session_id"), F.lpad(F.floor(F.col("doc_id") / 500).cast("string"), 12, "0").alias("request_id"), (F.col("doc_id") % 500).cast("int").alias("segment_id"), "id", "content", "embedding", "memory_type", "card", "created_at", F.col("created_at").alias("request_ts"))
+    decided = revise.revise(c.withColumn("request_ts", F.lit(NOW).cast("timestamp")), store.decoded(n.limit(0)), judge=_by_length)
+    return decided.groupBy("user_id", "action").agg(F.count("*").alias("n"), F.max("version").alias("versions"), F.sum(F.col("superseded").cast("int")).alias("retired"))
+
+
+def _by_length(candidate: str, note: str) -> tuple[str, dict]:
+    return ("supports", "contradicts", "unrelated", "refines")[(len(candidate) + len(note)) % 4], {}
+
+
 def _supply(spark, sf) -> DataFrame:
     """Suppliers that share a part, weighted by how many, as one user's file graph."""
     li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
@@ -338,6 +351,21 @@ def relevance_join(spark, sf):
     return evaluate.relevance(tasks, exps).groupBy("instance_id", "relevance").agg(F.count("*").alias("n"))
 
 
+def eval_run(spark, sf):
+    """From tasks (benchmark items) over experiences (documents) by search, labels and metrics to the summary."""
+    b = table(spark, sf, "benchmark")
+    diff = F.concat(F.lit("diff --git a/src/f"), F.col("item_id") % 9, F.lit(".py b/x\n"))
+    rows = b.select("item_id", F.concat(F.lit("t"), F.col("item_id")).alias("instance_id"), F.concat(F.lit("org/r"), F.col("item_id") % 4).alias("repo"), F.col("text").alias("problem_statement"), diff.alias("patch"))
+    users = b.select(F.concat(F.lit("t"), F.col("item_id")).alias("instance_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"))
+    tasks = evaluate.tasks(rows).join(users, "instance_id")
+    d = table(spark, sf, "documents")
+    paths = F.array(F.concat(F.lit("./swebench_9_15/testbed/src/f"), F.col("doc_id") % 5, F.lit(".py")), F.lit("src/tests/test_x.py"))
+    known = evaluate.experiences(d.select(F.concat(F.lit("e"), F.col("doc_id")).alias("instance_id"), F.concat(F.lit("org/r"), F.floor(F.col("doc_id") / 20) % 4).alias("repo"), paths.alias("paths")))
+    marked = notes(spark, sf).withColumn("content", F.concat(F.lit("[e"), "id", F.lit("] "), "content"))
+    _, found = evaluation.run(tasks, known, marked, now())
+    return found.select("tier", "n", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "hit1", "mrr")])
+
+
 def session_windows(spark, sf):
     from .streaming.ingest import sessions
 
@@ -349,10 +377,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_pipeline, search_symbols, tokenize_terms, fingerprint_dups, word_overlap, first_sentence, scan_recent_per_user, scan_by_type, upsert_latest_version, validate_rejects, transcript_events, events_to_text,
-        segment_idle, segment_todo, segment_caps, bm25_scores, bm25_topk, cosine_topk, temporal_decay, hybrid_rank, utility_rerank, gate_package, package_levels, near_duplicate, revision_fold,
-        upsert_history, pagerank, eval_metrics_by_tier, relevance_join, session_windows,
+        segment_idle, segment_todo, segment_caps, bm25_scores, bm25_topk, cosine_topk, temporal_decay, hybrid_rank, utility_rerank, gate_package, package_levels, near_duplicate, revision_fold, revision_judged,
+        upsert_history, pagerank, eval_metrics_by_tier, eval_run, relevance_join, session_windows,
     )
-} | session_queries.QUERIES
+} | session_queries.QUERIES | store_queries.QUERIES
 
 _DECAY = "exp(-0.0077 * greatest(0, (epoch_us(TIMESTAMP '2025-03-01') - epoch_us(created_at)) / 86400e6))"
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[\\s\\x0B\\x1C-\\x1F\\x85\\xA0]+'), lambda w: {}))"
@@ -380,6 +408,13 @@ _CHOSEN = f"""
   used AS (SELECT *, 0.35 * ({_OVER('q', 'act')}) + 0.25 * ({_OVER('q', 'risk')}) + 0.2 * CASE WHEN list_has_any(scope, q) THEN 1.0 WHEN contains(lower(query), 'the') OR contains(lower(query), lang) THEN 0.3 ELSE 0 END
       + 0.1 * greatest(0.1, {_DECAY}) AS utility FROM sets)
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY utility DESC, score DESC, rank) AS final_rank, id, round(score, 4) AS score, round(utility, 6) AS utility, memory_type FROM used"""
+#: The same for tasks over notes whose content begins with a marker that their cards haven't.
+_EVALUATED = (
+    _FOUND.format(5, 25).replace(", text AS content, ", ", '[e' || doc_id || '] ' || text AS content, text AS body, ").replace("text AS query FROM", "trim('r' || item_id % 4 || ' ' || substr(text, 1, 600), E' \\n\\t\\r') AS query FROM")
+    + ", found AS (SELECT * FROM ranked),"
+    + _CHOSEN.replace("substr(content, 1, 60)", "substr(body, 1, 60)").replace("substr(content, 1, 30)", "substr(body, 1, 30)").replace("substr(content, 61, 60)", "substr(body, 61, 60)").replace("\n  SELECT query_id,", ", top AS (SELECT doc_id, query_id,")
+    + " QUALIFY final_rank <= 5)"
+)
 #: PageRank from each request's own seeds: the files of its 20 best notes. Requests name no file or symbol.
 _LIFTED = """,
   file AS (SELECT DISTINCT user_id, 'src/g' || (doc_id % 211) || '.py' AS file FROM notes),
@@ -460,7 +495,14 @@ ORACLES = {
       u AS (SELECT 'all' AS tier, * EXCLUDE tier FROM t UNION ALL FROM t)
       SELECT tier, count(recall) AS n, round(coalesce(avg(recall), 0), 6) AS recall, round(coalesce(avg(prec), 0), 6) AS precision, round(coalesce(avg(hit1), 0), 6) AS hit1, round(coalesce(avg(rr), 0), 6) AS mrr
       FROM (VALUES ('all'), ('easy'), ('medium'), ('hard')) v(tier) LEFT JOIN u USING (tier) GROUP BY tier""",
+    "eval_run": f"""{_EVALUATED},
+      g AS (SELECT query_id, final_rank AS rank, CASE WHEN query_id::BIGINT % 4 <> doc_id // 20 % 4 THEN 'none' WHEN query_id::BIGINT % 9 = doc_id % 5 THEN 'strong' ELSE 'weak' END AS rel FROM top),
+      a AS (SELECT query_id, max((rel = 'strong')::INT) AS recall, sum((rel <> 'none')::INT) / count(*) AS prec, max((rel = 'strong' AND rank = 1)::INT) AS hit1, 1.0 / min(rank) FILTER (rel = 'strong') AS rr FROM g GROUP BY 1),
+      t AS (SELECT 'easy' AS tier, coalesce(recall, 0) AS recall, coalesce(prec, 0) AS prec, coalesce(hit1, 0) AS hit1, coalesce(rr, 0) AS rr FROM benchmark LEFT JOIN a ON query_id = item_id::VARCHAR),
+      u AS (SELECT 'all' AS tier, * EXCLUDE tier FROM t UNION ALL FROM t)
+      SELECT tier, count(recall) AS n, round(coalesce(avg(recall), 0), 6) AS recall, round(coalesce(avg(prec), 0), 6) AS precision, round(coalesce(avg(hit1), 0), 6) AS hit1, round(coalesce(avg(rr), 0), 6) AS mrr
+      FROM (VALUES ('all'), ('easy'), ('medium'), ('hard')) v(tier) LEFT JOIN u USING (tier) GROUP BY tier""",
     "relevance_join": """SELECT t.doc_id::VARCHAR AS instance_id, CASE WHEN t.doc_id % 9 = e.doc_id % 5 THEN 'strong' ELSE 'weak' END AS relevance, count(*) AS n FROM labels t JOIN labels e ON t.doc_id % 4 = e.doc_id % 4 WHERE t.doc_id % 50 = 0 GROUP BY ALL""",
     "session_windows": """WITH a AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600e6 THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM a) SELECT user_id, min(ts) AS began, count(*) AS n FROM s GROUP BY user_id, k""",
-} | session_queries.ORACLES
+} | session_queries.ORACLES | store_queries.oracles(BM25)

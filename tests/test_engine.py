@@ -403,6 +403,15 @@ def test_symbols_and_edges(spark):
     assert edges["m/a.py", "b.js"] == edges["b.js", "m/a.py"] >= 1.5
 
 
+def test_containment_by_runs_equals_all_pairs(spark):
+    rng = random.Random(8)
+    make = lambda n: [(rng.choice("uv"), "".join(rng.choice("abc") for _ in range(rng.randint(0, 7)))) for _ in range(n)]
+    inner, outer = make(60), make(60)
+    frame = lambda rows, c: spark.createDataFrame(rows, f"user_id string, {c} string")
+    got = Counter(map(tuple, graph.contained(frame(inner, "inner"), frame(outer, "outer")).collect()))
+    assert got == Counter({(u, a, b) for u, a in inner for v, b in outer if u == v and a and a in b})
+
+
 def test_pagerank_large_equals_small(spark):
     rng = random.Random(3)
     nodes = [("u", f"f{i}") for i in range(12)] + [("v", "x"), ("v", "y")]

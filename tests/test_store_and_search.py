@@ -218,3 +218,44 @@ def test_invalid_searches_find_nothing(spark):
     notes = versions(spark, [("u", "a", "some text", 1, False, "record", "2024-01-01")])
     asked = spark.createDataFrame([("ok", "u", "text", 1, []), ("none", "u", "text", 0, []), ("blank", "u", " ", 1, [])], "query_id string, user_id string, query string, top_k int, options array<string>")
     assert [r["query_id"] for r in pipelines.search(asked, notes, now()).collect()] == ["ok"]
+
+
+def test_a_stream_with_keyed_state_equals_batches_and_restarts(spark, tmp_path, monkeypatch):
+    """Three batches of candidates, a crash before the commit of the second and a restart: as one fold after another."""
+    from memoryloom.streaming import fold as streams
+
+    rng = random.Random(9)
+    judge = lambda a, b: (["supports", "contradicts", "unrelated"][(len(a) + len(b)) % 3], {})
+    kind = "user_id string, session_id string, request_id string, segment_id int, id string, content string, embedding array<float>, memory_type string, card " + CARD + ", created_at timestamp, request_ts timestamp"
+
+    def batch(k):
+        import datetime as dt
+
+        at = dt.datetime(2024, 5, k + 1, tzinfo=dt.UTC)
+        return spark.createDataFrame([("uv"[i % 2], "s", f"r{k}", i, f"c{k}-{i}", words(rng), [], rng.choice(["event", "profile"]), {**EMPTY, "gist": f"g{k}{i}", "pairs": [{"attr": f"a{i % 3}", "value": "v"}]}, at, at) for i in range(9)], kind)
+
+    batches = [batch(k) for k in range(3)]
+    plainly, stream = Store(spark, str(tmp_path / "a")), Store(spark, str(tmp_path / "b"))
+    early = versions(spark, [("u", "old", "term1 term2 the", 1, False, "event", "2024-01-01")])
+    for s in (plainly, stream):
+        s.write_memories(early)
+    for b in batches:
+        plainly.write_memories(revise.latest(revise.revise(b, plainly.memories(), judge=judge)))
+    commit, tries = Store._commit, []
+    for k, b in enumerate(batches):
+        b.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        start = lambda: streams.fold_stream(spark.readStream.schema(kind).json(str(tmp_path / "in")), stream, str(tmp_path / "c"), judge=judge).awaitTermination()
+        if k == 1:
+
+            def broken(self, change):
+                tries.append(1)
+                raise Died
+
+            monkeypatch.setattr(Store, "_commit", broken)
+            with pytest.raises(Exception):  # noqa: B017, PT011
+                start()
+            monkeypatch.setattr(Store, "_commit", commit)
+        start()
+    assert tries
+    shown = lambda s: Counter((r["user_id"], r["id"], r["content"], r["version"], r["superseded"], r["superseded_by"], str(r["card"])) for r in s.memories().collect())
+    assert shown(stream) == shown(plainly) and any(x[4] for x in shown(stream))

@@ -207,7 +207,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def overlap_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document the counts and the digest of the items found in it."""
+    """Per document the counts and the digest of the items found in it.
+
+    Null and empty texts have no words; repeated rows are treated alike; an empty table of documents gives an empty one, an
+    empty benchmark hits nothing; other columns aren't read, whatever they are called; a text of any length is streamed whole.
+    """
     found = find_overlaps(docs, benchmark)
     span = F.expr("aggregate(sequence(0, size(hit_runs) - 1, 2), 0L, (s, i) -> s + hit_runs[i + 1] - hit_runs[i])")
     n_hit = F.when(F.size("hit_runs") == 0, F.lit(0).cast("long")).otherwise(span)

@@ -91,8 +91,9 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     The edited text: the last floor(n_chars / 4) code points are replaced by the first as many of the next document,
     by ascending doc_id (rows of one doc_id: by the text's hash; a row without doc_id is its own next). Null texts
-    count as empty; texts without words have one fingerprint, like only to itself. Only the two columns are read; each
-    text is shuffled once.
+    count as empty; texts without words have one fingerprint, like only to itself. Only the two columns are read, whatever
+    the others are called; each text is shuffled once, with its successor's, so the two must fit into a row (2 GB); an empty
+    table gives an empty one.
     """
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marked = with_fingerprint(base, "text", "fp")

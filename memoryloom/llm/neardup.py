@@ -281,7 +281,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A document's set: the distinct five-word shingles of its lower-cased words; fewer words are one shingle; texts
     without words (or null) are linked with nothing. Documents whose sets have a similarity of 0.75 or more are linked;
     component_id is the least doc_id that can be reached. Rows of one doc_id are one document; rows without doc_id are
-    linked with nothing and have no component_id. Only the two columns are read.
+    linked with nothing and have no component_id. Only the two columns are read, whatever the others are called; an empty
+    table gives an empty one; a text of any length is one set, whose hashes must fit into a row.
 
     Equal sets are one class from the start. In each bucket of a band the members are first paired with a hub of the
     bucket alone: the likely pairs are verified on the full sets, and what is linked is united. Members of one bucket

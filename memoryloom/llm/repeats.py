@@ -224,7 +224,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(doc_id, n_words, n_removed, kept_sha256) for every row of docs, without the words that repeated_spans cover.
 
     Null and empty texts have no words. Rows without doc_id have no place in the order: they keep their words and make
-    no other row lose any. Rows that repeat a doc_id and its text lose the same words. Other columns are not read.
+    no other row lose any. Rows that repeat a doc_id and its text lose the same words. Other columns are not read, whatever
+    they are called; an empty table gives an empty one; a text of any length is taken whole and must fit into a row.
     """
     spans = repeated_spans(docs, key, text)
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tkey"), F.col(text).cast("binary").alias("text"))

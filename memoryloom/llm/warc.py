@@ -138,6 +138,8 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
     Equal payloads of at least revisit_bytes are stored once, by the row with the largest key; the others revisit it.
     Null html is an empty payload, null urls are empty, repeated rows with the largest key are each a response, and
     rows without a key whose group has none are responses. A lost task writes its archives again under the same names.
+    Only the three columns are read, whatever the others are called; an empty table writes no record; a payload of any
+    length is one record and must fit into a row.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("_sha1"), F.octet_length(body).alias("_n"))
@@ -182,7 +184,8 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages as archives in the shared folder and read them back; a wrong digest stops the job."""
+    """Write pages as archives in the shared folder and read them back; a wrong digest stops the job. Cases as in write_warc;
+    an empty table gives an empty one."""
     folder = new_path(pages.sparkSession, "warc")
     records = read_warc(write_warc(pages, folder), folder)
     bad = F.raise_error(F.concat(F.lit("wrong digest in page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))

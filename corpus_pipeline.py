@@ -81,7 +81,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages one after another over documents, each staged as Parquet and read again by the next."""
+    """All stages one after another over documents, each staged as Parquet and read again by the next.
+
+    Null, empty, very long and repeated texts, and columns of any names beside those of documents, fare as each stage says;
+    an empty table of documents gives an empty result, an empty benchmark or table of labels lets its stage keep all.
+    """
 
     def step(docs: DataFrame, function) -> DataFrame:
         out = stage(function(spark, docs, sf_dir), "pipeline")

@@ -143,7 +143,7 @@ def rank_documents(docs: DataFrame, queries: DataFrame, top_n: int, corpus: str
     met = matched.groupBy("_query").agg(F.count("*").alias("_met"), F.min("bm25").alias("_least"))
     sizes = asked.select("_query", "user_id").join(index.users.select("user_id", "n"), "user_id").join(met, "_query", "left").fillna(0, ["_met"])
     least = sizes.select("_query", F.when(F.col("_met") < F.col("n"), F.least(F.coalesce("_least", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_least")).alias("_least"))
-    lists = placed(index.docs.select("user_id", "id"), ["user_id"], [F.col("id").asc()])
+    lists = placed(index.docs.select("user_id", "id").join(asked.select("user_id").distinct(), "user_id", "left_semi"), ["user_id"], [F.col("id").asc()])
     others = first_others(sizes.select("_query", "user_id", (F.col("_met") + n).alias("reach")), lists, matched, ["user_id"], "_query")
     every = matched.select("_query", "user_id", "id", "bm25").unionByName(others.select("_query", "user_id", "id", F.lit(0.0).alias("bm25")))
     rank = F.row_number().over(Window.partitionBy("_query").orderBy(F.desc("bm25"), "id"))

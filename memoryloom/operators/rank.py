@@ -36,6 +36,7 @@ def _by_lists(index: bm25.Index, matched: DataFrame, queries: DataFrame, params:
     notes of each type there are, and how many matched, tells whether another one has the least raw score.
     """
     docs = index.docs.select("user_id", "id", F.coalesce("memory_type", F.lit("")).alias("memory_type"), "created_at", F.col("created_at").isNull().alias("_undated"))
+    docs = docs.join(queries.select("user_id").distinct(), "user_id", "left_semi")  # of those who ask
     kinds = ["user_id", "memory_type", "_undated"]
     met = matched.join(docs, ["user_id", "id"])
     counted = met.groupBy("query_id", "memory_type", "_undated").agg(F.count("*").alias("_met"))

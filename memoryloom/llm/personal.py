@@ -25,8 +25,13 @@ ROUNDS, RATE = 24, 0.3
 #: Added spans need this share of right ones among the candidates of their kind scored as high in the calibration half,
 #: and so many labelled right there.
 PRECISION, LEAST_RIGHT = 0.98, 5
-#: Characters of context before and after a candidate.
-CONTEXT = 16
+#: Characters of context before a candidate, and of how many parts before it they may come: every second part is a match
+#: of three characters or more.
+CONTEXT, CONTEXT_PARTS = 16, 12
+#: Values that a scan takes one after another; longer arrays are scanned in blocks, and the blocks' totals likewise.
+_BLOCK = 256
+#: Characters of a piece of a text that is cut at many places.
+_PIECE = 1024
 
 #: Private-use code points: a mark around matches, a joint (a separator between two characters that belong together),
 #: and what stands for either where a text has them itself. None is in any pattern.
@@ -48,7 +53,7 @@ _LOOSE = {
     "phone": (None, r"[+(]?[0-9][\x20()./0-9-]{6,}[0-9]"),
     "secret": (None, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"),
 }
-_SPAN = "struct<start:int,end:int,body:string>"
+_SPAN = "struct<start:int,end:int,body:string,before:string,after:string>"
 #: What the trees see: format and neighbours, and none of the evidence that labels are made of.
 FEATURES = ("kind", "length", "digits", "letters", "others", "plus", "capitals", "groups", "longest", "before", "after")
 _HINTS = {
@@ -66,18 +71,70 @@ def _present(kind: str, text: Column) -> Column:
     return text.rlike("[0-9]")
 
 
-def _matches(kind: str, text: Column, joint: str | None, pattern: str) -> Column:
-    """array<start, end, body> of the leftmost, non-overlapping matches, in code points; body with joints."""
+def _let(x: Column, f) -> Column:
+    """f of x, which is evaluated once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _last(x: Column) -> Column:
+    return F.get(x, F.size(x) - 1)
+
+
+def _scan(values: Column, join, levels: int = 1) -> Column:
+    """array<int>: for each value, what join (a sum or a maximum) makes of it and all before it.
+
+    An array that grows is copied for each value, so only blocks grow that way, and the last of levels of their totals.
+    """
+    plain = lambda x: F.aggregate(x, F.array().cast("array<int>"), lambda s, v: F.concat(s, F.array(F.coalesce(join(_last(s), v), v))))
+    if levels == 0:
+        return plain(values)
+
+    def placed(blocks: Column) -> Column:
+        moved = lambda t: F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda v: join(F.get(t, i - 1), v))))
+        return _let(_scan(F.transform(blocks, _last), join, levels - 1), lambda t: F.flatten(moved(t)))
+
+    def blocked(x: Column) -> Column:
+        count = F.ceil(F.size(x) / _BLOCK).cast("int")
+        return _let(F.transform(F.sequence(F.lit(0), count - 1), lambda i: plain(F.slice(x, i * _BLOCK + 1, F.lit(_BLOCK)))), placed)
+
+    return _let(values, lambda x: F.when(F.size(x) <= _BLOCK, plain(x)).otherwise(blocked(x)))
+
+
+def _sums(x: Column) -> Column:
+    return _scan(x, lambda a, b: a + b)
+
+
+def _maxima(x: Column) -> Column:
+    return _scan(x, F.greatest)
+
+
+def _matches(kind: str, text: Column, joint: str | None, pattern: str, context: bool = False) -> Column:
+    """array<start, end, body, before, after> of the leftmost, non-overlapping matches, in code points; body with joints.
+    before and after, the neighbouring characters, are null without context."""
     joined = text if joint is None else F.regexp_replace(text, joint, _JOINT)
     parts = F.split(F.regexp_replace(joined, pattern, f"{_MARK}$0{_MARK}"), _MARK)  # every second part is a match
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{_SPAN}>").alias("found"))
+    none, empty = F.lit(None).cast("string"), F.array().cast(f"array<{_SPAN}>")
+
+    def spans(p: Column) -> Column:
+        def found(ends: Column, tails: Column | None = None, heads: Column | None = None) -> Column:
+            def span(i: Column) -> Column:
+                before = after = none
+                if context:
+                    before = F.substring(F.concat_ws("", F.slice(tails, F.greatest(i - CONTEXT_PARTS, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT_PARTS)))), -CONTEXT, CONTEXT)
+                    after = F.substring(F.concat(F.get(heads, i + 1), F.coalesce(F.get(heads, i + 2), F.lit(""))), 1, 1)
+                end, body = F.get(ends, i), F.get(p, i)
+                return F.struct((end - F.length(body)).alias("start"), end.alias("end"), body.alias("body"), before.alias("before"), after.alias("after")).cast(_SPAN)
 
-    def step(s: Column, part: Column) -> Column:
-        end = (s["at"] + F.length(part)).cast("int")
-        span = F.struct(s["at"].alias("start"), end.alias("end"), part.alias("body")).cast(_SPAN)
-        return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"], F.concat(s["found"], F.array(span))).otherwise(s["found"]).alias("found"))
+            return F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), span)
 
-    return F.when(_present("loose email" if (joint, pattern) == _LOOSE["email"] else kind, text), F.aggregate(parts, start, step, lambda s: s["found"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        ends = _sums(F.transform(p, F.length))
+        if not context:
+            return _let(ends, lambda e: found(e))
+        edges = lambda at, n: F.transform(p, lambda x: F.substring(x, at, n))
+        return _let(ends, lambda e: _let(edges(-CONTEXT, CONTEXT), lambda t: _let(edges(1, 1), lambda h: found(e, t, h))))
+
+    some = _let(parts, lambda p: F.when(F.size(p) > 2, spans(p)).otherwise(empty))
+    return F.when(_present("loose email" if (joint, pattern) == _LOOSE["email"] else kind, text), some).otherwise(empty)
 
 
 def _digits(body: Column) -> Column:
@@ -103,12 +160,11 @@ def with_base(df: DataFrame, text: str) -> DataFrame:
     return out.withColumns({f"_{k}": kept(k) for k in KINDS})
 
 
-def _candidate(kind: str, s: Column, text: Column) -> Column:
+def _candidate(kind: str, s: Column) -> Column:
     """A candidate's place, its features, and what context says: word for a secret before it, word for a plain number."""
     body, size = s["body"], F.length(s["body"])
     digits = _digits(body)
-    before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-    after = F.substring(text, s["end"] + 1, F.lit(1))
+    before, after = s["before"], s["after"]
     edge = lambda c: F.when(c == "", 0).when(c.rlike(r"^[\s\"'(\[<,;:]$"), 1).when(c.rlike("^[A-Za-z]$"), 2).when(c.rlike("^[0-9]$"), 3).when(c.rlike("^[.!?)]$"), 4).otherwise(5)
     groups = F.filter(F.split(body, "[^0-9A-Za-z]+"), lambda x: x != "")
     values = {
@@ -122,8 +178,8 @@ def _candidate(kind: str, s: Column, text: Column) -> Column:
 
 def with_candidates(df: DataFrame) -> DataFrame:
     """with_base's output plus _loose: overlapping candidate spans with features."""
-    out = df.withColumns({f"_loose_{k}": _matches(k, F.col("_text"), *_LOOSE[k]) for k in ALL_KINDS})
-    each = lambda k: F.transform(f"_loose_{k}", lambda s: _candidate(k, s, F.col("_text")))
+    out = df.withColumns({f"_loose_{k}": _matches(k, F.col("_text"), *_LOOSE[k], context=True) for k in ALL_KINDS})
+    each = lambda k: F.transform(f"_loose_{k}", lambda s: _candidate(k, s))
     return out.withColumn("_loose", F.concat(*map(each, ALL_KINDS))).drop(*(f"_loose_{k}" for k in ALL_KINDS))
 
 
@@ -244,6 +300,44 @@ def _tagged() -> Column:
     return F.concat(*map(tagged, KINDS))
 
 
+def _with_clear(df: DataFrame) -> DataFrame:
+    """df whose _loose are the candidates that overlap no base span, by two scans over both in order of start: none of the
+    base spans that start before a candidate, or with it, ends in it or after it, and the next starts where it has ended."""
+    rows = F.concat(F.transform("_base", lambda b: F.struct(b["start"].alias("start"), F.lit(-1).alias("at"), b["end"].alias("end"))), F.transform("_loose", lambda c, i: F.struct(c["start"].alias("start"), i.alias("at"), c["end"].alias("end"))))
+    df = df.withColumn("_r", F.when((F.size("_loose") > 0) & (F.size("_base") > 0), F.array_sort(rows)))
+    ends = _maxima(F.transform("_r", lambda x: F.when(x["at"] < 0, x["end"]).otherwise(-1)))
+    starts = _maxima(F.transform(F.reverse("_r"), lambda x: F.when(x["at"] < 0, -x["start"]).otherwise(-(2**31) + 1)))
+    df = df.withColumns({"_e": ends, "_s": starts})
+    hit = lambda v, x, i: (x["at"] >= 0) & ((F.get(v["_e"], i) > x["start"]) | (-F.get(v["_s"], F.size(v["_r"]) - 1 - i) < x["end"]))
+    df = df.withColumn("_hit", _let(F.struct("_r", "_e", "_s"), lambda v: F.transform(v["_r"], lambda x, i: F.when(hit(v, x, i), x["at"]).otherwise(-1))))
+    free = F.array_except(F.sequence(F.lit(0), F.size("_loose") - 1), "_hit")
+    left = _let(F.col("_loose"), lambda c: F.transform(free, lambda i: F.get(c, i)))
+    return df.withColumn("_loose", F.when(F.col("_r").isNull(), F.col("_loose")).otherwise(left)).drop("_r", "_e", "_s", "_hit")
+
+
+def _with_best(df: DataFrame) -> DataFrame:
+    """df with those of _chosen that overlap none that sorts before them (better score, then kind and start).
+
+    Spans of one kind don't overlap, so of each kind only the last that starts before a span, or with it, can reach into
+    it; a pair that overlaps is met at its later span, and the worse of the two falls.
+    """
+    last = [f"_k{k}" for k in range(len(ALL_KINDS))]
+    ordered = F.array_sort(F.transform("_chosen", lambda x: F.struct(x["start"].alias("start"), x.alias("c"))))
+    df = df.withColumn("_r", F.when(F.size("_chosen") > 1, ordered))
+    of_kind = lambda k: F.transform("_r", lambda x, i: F.when(x["c"]["rank"] == k, i).otherwise(-1))
+    df = df.withColumns({c: _maxima(of_kind(k)) for k, c in enumerate(last)})
+
+    def worse(v: Column, x: Column, i: Column, k: int) -> Column:
+        p = F.get(v[last[k]], i)
+        y = F.get(v["_r"], p)
+        return F.when((p >= 0) & (x["c"]["rank"] != k) & (y["c"]["end"] > x["start"]), F.when(y["c"] < x["c"], i).otherwise(p)).otherwise(-1)
+
+    df = df.withColumn("_fallen", F.flatten(_let(F.struct("_r", *last), lambda v: F.transform(v["_r"], lambda x, i: F.array(*[worse(v, x, i, k) for k in range(len(last))])))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_r") - 1), "_fallen")
+    left = _let(F.col("_r"), lambda r: F.transform(kept, lambda i: F.get(r, i)["c"]))
+    return df.withColumn("_chosen", F.when(F.col("_r").isNull(), F.col("_chosen")).otherwise(left)).drop("_r", "_fallen", *last)
+
+
 def find(docs: DataFrame, model: Boosted | None, text: str = "text") -> DataFrame:
     """docs with last columns _email to _phone (base spans) and _all: every span (rank of the kind, start, end, kind).
 
@@ -256,14 +350,11 @@ def find(docs: DataFrame, model: Boosted | None, text: str = "text") -> DataFram
         out = out.withColumn("_all", F.array_sort("_base"))
     else:
         out = with_candidates(out)
-        clear = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        scored = F.transform(F.filter("_loose", clear), lambda c: F.struct((-model.column(c)).alias("s"), c["kind"].cast("int").alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind_name"].alias("kind"), model.threshold(c).alias("t")))
-        # best first, so that a span is kept if none of those before it overlaps
-        out = out.withColumn("_chosen", F.array_sort(F.filter(scored, lambda c: -c["s"] >= c["t"])))
-        better = lambda c, d: (d < c) & (d["start"] < c["end"]) & (c["start"] < d["end"])
-        added = F.filter("_chosen", lambda c: ~F.exists("_chosen", lambda d: better(c, d)))
-        added = F.transform(added, lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
-        out = out.withColumn("_all", F.when(F.size("_chosen") > 0, F.array_sort(F.concat("_base", added))).otherwise(F.array_sort("_base")))
+        out = _with_clear(out)
+        scored = F.transform("_loose", lambda c: F.struct((-model.column(c)).alias("s"), c["kind"].cast("int").alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind_name"].alias("kind"), model.threshold(c).alias("t")))
+        out = _with_best(out.withColumn("_chosen", F.filter(scored, lambda c: -c["s"] >= c["t"])))
+        added = F.transform("_chosen", lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+        out = out.withColumn("_all", F.array_sort(F.concat("_base", added)))
     return out.select(*names, *(f"_{k}" for k in KINDS), "_all")
 
 
@@ -275,7 +366,7 @@ def spans_digest(docs: DataFrame) -> DataFrame:
     """Per row of docs the counts of the base spans, their digest, all spans, and how many of them the method added.
 
     Null texts count as empty; rows without spans have zeros, the digest of nothing and an empty string. Repeated rows
-    get the same spans, and an empty table an empty result. Of equally good overlapping candidates the one of the least
+    get the same spans, and an empty table an empty result. The work on a text grows with its length and its spans. Of equally good overlapping candidates the one of the least
     kind, then start, is added. Other columns are not read.
     """
     rows = docs.select("doc_id", "text")
@@ -295,13 +386,22 @@ def redact(docs: DataFrame, text: str = "text", key: str | None = "doc_id") -> D
     packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_raw"))
     found = find(packed, fit(docs, text, key), "_raw")
     ordered = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("_e"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        put = F.concat(s["out"], F.substring("_raw", s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, put).otherwise(s["out"]).alias("out"))
+    def cut(pieces: Column, a: Column, b: Column | None = None) -> Column:
+        """The characters from a to b (none: to the end); only the pieces that have some of them are looked at."""
+        first = F.floor(a / _PIECE).cast("int")
+        if b is None:
+            return F.substring(F.concat_ws("", F.slice(pieces, first + 1, F.size(pieces))), a - first * _PIECE + 1, F.length("_raw"))
+        return F.substring(F.concat_ws("", F.slice(pieces, first + 1, F.floor(b / _PIECE).cast("int") - first + 1)), a - first * _PIECE + 1, b - a)
+
+    def rebuilt(pieces: Column, spans: Column, ends: Column) -> Column:
+        def put(x: Column, i: Column) -> Column:
+            at = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+            return F.when(x["start"] >= at, F.concat(cut(pieces, at, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+
+        return F.concat(F.concat_ws("", F.transform(spans, put)), cut(pieces, _last(ends)))
 
-    clean = F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring("_raw", s["at"] + 1, F.length("_raw"))))
+    pieces = F.regexp_extract_all("_raw", F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    clean = _let(pieces, lambda p: _let(ordered, lambda o: _let(_maxima(F.transform(o, lambda x: x["end"])), lambda e: rebuilt(p, o, e))))
     clean = F.when(F.size("_all") > 0, clean).otherwise(F.col("_raw"))
     return found.select(*[clean.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

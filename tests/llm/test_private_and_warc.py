@@ -118,6 +118,42 @@ def test_overlapping_added_spans_leave_the_best(spark):
     assert [(s["kind"], s["start"], s["end"]) for s in got] == [("card", 2, 18)]
 
 
+LOOSE = personal.Boosted(0.0, ((1, 14.5, (0, 2.5, 0.5, -0.2), (8, 6.5, 0.9, 0.4)), (2, 9.5, (5, 0.5, -0.9, 0.3), (10, 1.5, 0.6, -0.4))), (0.3,) * 5)
+
+
+def test_added_spans_are_those_of_a_brute_force(spark):
+    """Every span of the method, from the candidates and the model: clear of base spans, over the threshold, and no better
+    one overlaps."""
+    texts = [*TEXTS, *(t for t, _ in planted(300)), "id=8a7b6c5d4e3f2a1b@x/1.2.3.400:4111111111111112(at)z.com +1 555 1234567890123456 " * 40]
+    df = frame(spark, list(enumerate(texts)))
+    seen = personal.with_candidates(personal.with_base(df, "text")).withColumn("_base", personal._tagged()).select("doc_id", "_base", "_loose").collect()
+    got = {r["doc_id"]: [tuple(x) for x in r["_all"]] for r in personal.find(df, LOOSE).select("doc_id", "_all").collect()}
+    more = 0
+    for r in seen:
+        over = lambda a, b: a[0] < b[1] and b[0] < a[1]
+        clear = [c for c in r["_loose"] if not any(over((c["start"], c["end"]), (b["start"], b["end"])) for b in r["_base"])]
+        scores = LOOSE.scores(np.array([[c[f] for f in personal.FEATURES] for c in clear], float)) if clear else []
+        ranked = sorted((-round(float(s), 12), int(c["kind"]), c["start"], c["end"], c["kind_name"]) for s, c in zip(scores, clear, strict=True) if s >= 0.3)
+        added = [c for i, c in enumerate(ranked) if not any(over(c[2:4], d[2:4]) for d in ranked[:i])]
+        more += len(ranked) - len(added)
+        assert got[r["doc_id"]] == sorted([tuple(b) for b in r["_base"]] + [c[1:] for c in added]), texts[r["doc_id"]][:80]
+    assert more > 100
+
+
+def test_a_text_of_very_many_spans(spark):
+    text = " ".join(f"user{i}@host{i % 7}.example.com 10.0.0.{i % 300} 4111111111111112" for i in range(20_000))
+    row = personal.find(frame(spark, [(1, text)]), LOOSE).select("_all", *(f"_{k}" for k in personal.KINDS)).first()
+    want = base(text)
+    assert len(want) > 35_000 and [(k, s["start"], s["end"]) for k in personal.KINDS for s in row[f"_{k}"]] == want
+    assert {(s["kind"], s["start"], s["end"]) for s in row["_all"]} >= set(want)
+
+
+def test_redaction_of_very_many_spans(spark):
+    # too few candidates to learn from in one text, so base spans are what is redacted
+    text = " ".join(f"😀 user{i}@host.example.com and" for i in range(5000))
+    assert personal.redact(frame(spark, [(1, text)])).first()["text"] == " ".join(["😀 [EMAIL] and"] * 5000)
+
+
 def test_redaction(docs):
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
     after = {r["doc_id"]: r["text"] for r in personal.redact(docs).collect()}

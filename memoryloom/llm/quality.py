@@ -11,12 +11,12 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import tidy
+from .scratch import drop, stage, tidy
 
 #: Labelled rows of each class to build its dictionary from, and as many to calibrate on: the only bound of the fit.
 SAMPLE_ROWS = 1000
-#: Of longer texts the sample holds so many bytes, in even pieces from all through them (scoring reads whole texts).
-SAMPLE_BYTES, SAMPLE_PIECES = 1 << 15, 16
+#: Pieces of a text of which a dictionary is to see a bounded number of bytes; unless fit is told so, it sees whole texts.
+SAMPLE_PIECES = 16
 DICTIONARY_BYTES = 112_640
 #: Texts are compressed in pieces of this size, so that the dictionary counts all through a long text.
 PIECE = 2048
@@ -93,33 +93,54 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def sampled(text: Column, most: int = SAMPLE_BYTES) -> Column:
+def sampled(text: Column, most: int) -> Column:
     """A binary text, or of one of more than most bytes even pieces from all through it."""
     size, piece = F.octet_length(text), most // SAMPLE_PIECES
     at = lambda i: (F.floor((size - piece).cast("double") * i / (SAMPLE_PIECES - 1)) + 1).cast("int")
     return F.when(size <= most, text).otherwise(F.concat(*[F.substring(text, at(i), F.lit(piece)) for i in range(SAMPLE_PIECES)]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel | None:
-    """Fit on labelled rows that aren't held out: at most 2 * sample_rows a class that have text, least hash of the key
-    first, and of each up to sample_bytes bytes from all through the text. These two are the only bounds.
+def _featured(bad: bytes, good: bytes):
+    """For mapInArrow over (_y, _text): the label and the features of each whole text."""
 
-    Half of a class's sample builds its dictionary, the other half calibrates. None where a class has no text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(bad, good)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sizes.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int | None = None) -> QualityModel | None:
+    """Fit on labelled documents that aren't held out: at most 2 * sample_rows a class that have text, least hash of the
+    key first. This is the only bound; an id counts once, whatever its rows (of several texts, the least is taken).
+
+    Every second one of a class builds its dictionary, on the driver, from whole texts, or where sample_bytes is set from
+    so many bytes from all through them. The others calibrate: tasks compress whole texts, and the driver gets a row of
+    numbers of each. None where a class has no text.
     """
+    spark = docs.sparkSession
     rows = labels.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter(~held_out(F.col("_id")) & F.col("_id").isNotNull())
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     texts = docs.select(F.col(key).cast("long").alias("_id"), body.alias("_text")).filter(F.octet_length("_text") > 0)
-    there = rows.filter("_y in (0, 1)").distinct().join(texts.select("_id"), "_id", "left_semi")
-    pick = lambda y: there.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(2 * sample_rows)
-    sample = texts.join(F.broadcast(pick(0).union(pick(1))), "_id").select("_y", F.xxhash64("_id").alias("_h"), sampled(F.col("_text"), sample_bytes).alias("_text")).collect()
-    by = {y: [bytes(r["_text"]) for r in sorted(sample, key=lambda r: (r["_h"], bytes(r["_text"]))) if r["_y"] == y] for y in (0, 1)}
-    if not by[0] or not by[1]:
+    there = stage(rows.filter("_y in (0, 1)").distinct().join(texts.select("_id"), "_id", "left_semi"), "labelled")
+    picked = {y: [r["_id"] for r in there.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(2 * sample_rows).collect()] for y in (0, 1)}
+    counts = {r["_y"]: r["n"] for r in there.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    drop(there)
+    if not picked[0] or not picked[1]:
         return None
-    bad, good = (build_dictionary(by[y][::2]) for y in (0, 1))
-    rest = [(t, y) for y in (0, 1) for t in by[y][1::2] or by[y]]
-    sizes = Sizes(bad, good)
-    counts = {r["_y"]: r["n"] for r in rows.filter("_y in (0, 1)").groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    mean, scale, w = calibrate(np.array([sizes.features(t) for t, _ in rest]), np.array([y for _, y in rest], float), counts[1] / (counts[0] + counts[1]))
+
+    def of(parts: dict[int, list[int]]) -> DataFrame:
+        """(_id, _y, _text) of the picked ids; rows of one id are one before they are shuffled."""
+        ids = spark.createDataFrame([(i, y) for y in (0, 1) for i in parts[y]], "_id long, _y int")
+        return texts.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+
+    whole = F.col("_text") if sample_bytes is None else sampled(F.col("_text"), sample_bytes)
+    own = {(r["_y"], r["_id"]): bytes(r["_text"]) for r in of({y: picked[y][::2] for y in (0, 1)}).select("_id", "_y", whole.alias("_text")).collect()}
+    bad, good = (build_dictionary([own[y, i] for i in picked[y][::2]]) for y in (0, 1))
+    seen = of({y: picked[y][1::2] or picked[y] for y in (0, 1)}).select("_y", "_text").mapInArrow(tidy(_featured(bad, good)), "y int, x array<double>").collect()
+    seen = sorted((r["y"], r["x"]) for r in seen)  # sums don't depend on the order of tasks
+    mean, scale, w = calibrate(np.array([x for _, x in seen]), np.array([y for y, _ in seen], float), counts[1] / (counts[0] + counts[1]))
     return QualityModel(bad, good, mean.tolist(), scale.tolist(), w.tolist())
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -384,6 +385,16 @@ def test_quality_learns_from_long_texts(spark):
     assert len(cut) == 1600 and bytes(cut[:100]) == body[:100] and bytes(cut[-100:]) == body[-100:]
 
 
+def test_quality_counts_a_repeated_labelled_id_once(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{'spam' if i % 2 else 'prose'}{rng.randint(0, 60)}" for _ in range(40))) for i in range(300)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    plain = quality.fit(frame(spark, rows), marks)
+    hot = rows + [rows[i] for i in (2, 3) for _ in range(2000)]
+    again = marks.union(marks.filter("doc_id in (2, 3)")).union(spark.createDataFrame([(10_000 + i, 1) for i in range(500)], marks.schema))
+    assert quality.fit(frame(spark, hot), again) == plain  # repeated rows, repeated labels, and labels of no document
+
+
 def test_quality_learns_and_bears_all_rows(spark):
     rng = __import__("random").Random(6)
     rows, labels = [], []

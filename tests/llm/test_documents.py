@@ -79,6 +79,32 @@ def test_pairs_over_the_threshold_are_found(spark):
     assert want == 2000 and all(r["component_id"] == r["doc_id"] - 1 for r in got)
 
 
+def test_exact_near_duplicates_lose_no_link(spark, docs, rows, monkeypatch):
+    """Pairs at the threshold and just under it, found without bands and estimate, which would find none here."""
+    want = Counter(tuple(r) for r in neardup.near_duplicates(docs).collect())
+    monkeypatch.setattr(neardup, "LEAST_EQUAL", 2.0)
+    assert Counter(tuple(r) for r in neardup.near_duplicates(docs, exact=True).collect()) == want
+    texts, linked, common = [], {}, sentence(random.Random(1), 60)
+    for i in range(60):
+        # a text of n shingles, and one that lacks its last k of them: a similarity of (n - k) / n
+        rng = random.Random(100 + i)
+        n = 4 * rng.randint(10, 50)
+        k = n // 4 + i % 2
+        body = (common + " " + sentence(rng, 200)).split(" ")[: n + 4] if i % 3 else sentence(rng, n + 4).split(" ")
+        assert len({tuple(body[j : j + 5]) for j in range(n)}) == n
+        texts += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(body[: n + 4 - k]))]
+    sets = {i: {tuple(w) for w in zip(*(t.split(" ")[j:] for j in range(5)), strict=False)} for i, t in texts}
+    linked = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and linked[a] != linked[b]:
+                low, high = sorted((linked[a], linked[b]))
+                linked = {i: low if x == high else x for i, x in linked.items()}
+    assert 30 <= sum(linked[2 * i + 1] == linked[2 * i] for i in range(60)) < 60
+    got = neardup.near_duplicates(frame(spark, texts).repartition(3), exact=True).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == linked
+
+
 def test_links_across_components_match_brute_force():
     rng = np.random.default_rng(13)
     for same in (True, False):

@@ -19,7 +19,7 @@ from .functions import card
 from .operators import graph, segment, transcript
 from .params import DEFAULT
 from .sources import store
-from .sources.checkpoints import shared_folder
+from .sources.checkpoints import shared_folder, staged
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -146,12 +146,12 @@ def symbol_defs_imports(spark, sf):
 
 
 def graph_edges(spark, sf):
-    return graph.build_edges(symbol_defs_imports(spark, sf))
+    return graph.build_edges(staged(symbol_defs_imports(spark, sf), "symbols"))
 
 
 def symbol_boost(spark, sf):
     """Related files of each user, from the files that define two of its symbols."""
-    s = symbol_defs_imports(spark, sf)
+    s = staged(symbol_defs_imports(spark, sf), "symbols")
     users = s.select("user_id").distinct()
     seeds = graph.seed_files(users.select("user_id", F.explode(F.array(F.lit("load_ring"), F.lit("Turnbolt"))).alias("seed")), s)
     nodes = s.filter("kind = 'def'").select("user_id", "file").distinct()

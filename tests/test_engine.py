@@ -412,6 +412,15 @@ def test_containment_by_runs_equals_all_pairs(spark):
     assert got == Counter({(u, a, b) for u, a in inner for v, b in outer if u == v and a and a in b})
 
 
+def test_file_joins_are_never_broadcast(spark, tmp_path):
+    files = [("u", f"m/a{i}.py", f"import a{i + 1}\ndef f{i % 3}():\n") for i in range(9)]
+    spark.createDataFrame(files, "user_id string, file string, content string").write.parquet(f"{tmp_path}/files")
+    edges = graph.build_edges(graph.extract_symbols(spark.read.parquet(f"{tmp_path}/files")))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    wide = [x for x in plan.splitlines() if "BroadcastHashJoin" in x and any(f"{c}#" in x for c in ("gram", "name", "file", "tail", "stem"))]
+    assert "SortMergeJoin" in plan and not wide  # the planner's estimate of exploded runs is far too small
+
+
 def test_pagerank_large_equals_small(spark):
     rng = random.Random(3)
     nodes = [("u", f"f{i}") for i in range(12)] + [("v", "x"), ("v", "y")]

@@ -433,6 +433,12 @@ def test_pagerank_large_equals_small(spark):
     assert small.keys() == large.keys() and all(np.isclose(small[k], large[k]) for k in small)
 
 
+def test_supply_graph_is_no_group_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "pagerank", None)
+    monkeypatch.setattr(graph, "pagerank_large", lambda nodes, edges, seeds: edges.select(F.col("src").alias("file"), F.col("w").alias("score")))
+    assert queries.pagerank(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_evaluation(spark):
     t = evaluate.tasks(spark.createDataFrame([("t1", "r", "s", "diff --git a/x.py b/x.py"), ("t2", "r", "s", "")], "instance_id string, repo string, problem_statement string, patch string"))
     e = spark.createDataFrame([("e1", "r", ["x.py"]), ("e2", "r", ["y.py"]), ("e3", "other", ["x.py"])], "instance_id string, repo string, source_files array<string>")

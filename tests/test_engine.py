@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from memoryloom import queries
 from memoryloom.functions import adapters, card, scoring, text
 from memoryloom.operators import bm25, evaluate, graph, rank, revise, segment, transcript
 from memoryloom.params import DEFAULT, Params
@@ -439,6 +440,12 @@ def test_supply_graph_is_no_group_of_one_task(spark, monkeypatch):
     assert queries.pagerank(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_words_of_pairs_are_cut_once(spark):
+    found = queries.word_overlap(spark, "/root/testdata/sf0.001")
+    assert "split(" not in found._jdf.queryExecution().executedPlan().toString()  # neither text is cut again for a pair
+    assert found.count() > 0
+
+
 def test_evaluation(spark):
     t = evaluate.tasks(spark.createDataFrame([("t1", "r", "s", "diff --git a/x.py b/x.py"), ("t2", "r", "s", "")], "instance_id string, repo string, problem_statement string, patch string"))
     e = spark.createDataFrame([("e1", "r", ["x.py"]), ("e2", "r", ["y.py"]), ("e3", "other", ["x.py"])], "instance_id string, repo string, source_files array<string>")

@@ -446,6 +446,17 @@ def test_words_of_pairs_are_cut_once(spark):
     assert found.count() > 0
 
 
+def test_scores_that_differ_by_rounding_tie(spark, monkeypatch):
+    docs = spark.createDataFrame([("u", i, "x", "event") for i in "abc"], "user_id string, id string, content string, memory_type string").withColumn("created_at", F.lit("2025-01-01").cast("timestamp")).withColumn("embedding", F.array().cast("array<float>"))
+    asked = spark.createDataFrame([("q", "u", "x")], "query_id string, user_id string, query string").withColumn("weights", F.lit(None).cast("map<string,double>")).withColumn("embedding", F.array().cast("array<float>"))
+    summed = spark.createDataFrame([("u", "a", 0.3), ("u", "b", 0.1 + 0.2)], "user_id string, id string, bm25 double")
+    monkeypatch.setattr(bm25, "scores", lambda index, queries, query="query_id", *a, **k: summed.select(F.lit("q").alias(query), "user_id", "id", "bm25"))
+    assert [r["id"] for r in bm25.rank_documents(docs, asked, 1).collect()] == ["a"]
+    for vectors in (False, True):
+        found = rank.hybrid_rank(docs, asked, F.lit("2025-03-01").cast("timestamp"), top_n=F.lit(1), vectors=vectors)
+        assert [r["id"] for r in found.collect()] == ["a"]
+
+
 def test_evaluation(spark):
     t = evaluate.tasks(spark.createDataFrame([("t1", "r", "s", "diff --git a/x.py b/x.py"), ("t2", "r", "s", "")], "instance_id string, repo string, problem_statement string, patch string"))
     e = spark.createDataFrame([("e1", "r", ["x.py"]), ("e2", "r", ["y.py"]), ("e3", "other", ["x.py"])], "instance_id string, repo string, source_files array<string>")

@@ -457,6 +457,17 @@ def test_scores_that_differ_by_rounding_tie(spark, monkeypatch):
         assert [r["id"] for r in found.collect()] == ["a"]
 
 
+def test_fold_splits_a_text_once(monkeypatch):
+    text_ = "fooBar foo_bar fooBar a bar HTTPServer foo_bar 的的"
+    assert list(revise.term_counts(text_).items()) == list(Counter(revise.tokens(text_)).items())
+    notes, split = revise.Notes(), []
+    pieces = revise._pieces
+    monkeypatch.setattr(revise, "_pieces", lambda t: split.append(t) or pieces(t))
+    notes.add({"content": text_, "embedding": None})
+    notes.remove(0)
+    assert len(split) == len(set(split)) and not notes.postings and not notes.own  # neither for a repeat nor to take it out
+
+
 def test_evaluation(spark):
     t = evaluate.tasks(spark.createDataFrame([("t1", "r", "s", "diff --git a/x.py b/x.py"), ("t2", "r", "s", "")], "instance_id string, repo string, problem_statement string, patch string"))
     e = spark.createDataFrame([("e1", "r", ["x.py"]), ("e2", "r", ["y.py"]), ("e3", "other", ["x.py"])], "instance_id string, repo string, source_files array<string>")

@@ -7,7 +7,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from memoryloom.functions import adapters
+from memoryloom.functions import adapters, text
 from memoryloom.operators import bm25, rank, revise, transcript
 from memoryloom.params import DEFAULT, Params
 from memoryloom.plans import pipelines
@@ -87,6 +87,27 @@ def test_ranking_by_lists_equals_ranking_of_all_notes(spark, monkeypatch, top, b
     assert shown(False, apply_decay=False) == shown(True, apply_decay=False)
 
 
+def test_terms_are_counted_as_the_expression_cuts_them(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aAbBzZ09__ \n的一鿿䷿éKİ.-😀TP") for _ in range(rng.randrange(16))) for _ in range(600)] + [None, "", "_bT b _A HTTPServer fooBar 9abc __"]
+    rows = spark.createDataFrame([("u", str(i), t) for i, t in enumerate(texts)], "user_id string, id string, content string")
+    wanted = {r["id"]: Counter(r["x"]) for r in rows.select("id", text.tokenize(F.col("content")).alias("x")).collect()}
+    found = bm25.token_bags(rows, "user_id", "id", "content").collect()
+    assert {r["id"]: {x["term"]: x["tf"] for x in r["bag"]} for r in found} == wanted
+    assert all(r["dl"] == wanted[r["id"]].total() for r in found)
+
+
+def test_ranking_shuffles_neither_tokens_nor_texts(spark):
+    notes = versions(spark, [("u", f"n{i:02}", "one two", 1, False, "event", "2025-01-01") for i in range(40)])
+    asked = spark.createDataFrame([("q", "u", "one")], "query_id string, user_id string, query string").withColumns({"weights": F.lit(None).cast("map<string,double>"), "embedding": F.array().cast("array<float>")})
+    index = bm25.index_of(notes)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    scored = plan(bm25.scores(index, asked))
+    assert scored.count("hashpartitioning(query_id") == 1 and scored.count("hashpartitioning(user_id") == 1  # sums, and the distinct terms asked for
+    found = rank.hybrid_rank(notes, asked, now(), top_n=F.lit(5), vectors=False, index=index)
+    assert "hashpartitioning" not in plan(found) and found.count() == 5
+
+
 def test_ranked_documents_equal_a_sort_of_all(spark):
     rng = random.Random(5)
     docs = [("uv"[i % 2], f"n{i:02}", words(rng, 5)) for i in range(60)] + [("w", "n99", "")]

@@ -77,60 +77,74 @@ class Gru:
 
     def steps(self, state: np.ndarray, ids: np.ndarray, fresh: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The states after each step of a window (lanes, steps), and the last one. fresh: a document begins here."""
-        k = HIDDEN
-        out = np.empty((ids.shape[1], len(state), k), np.float32)
+        k, shape = HIDDEN, (ids.shape[1], len(state))
+        out, added, begins = np.empty((*shape, k), np.float32), self.x[ids.T], fresh.any(axis=0)
+        if keep is not None:
+            keep += [np.empty((*shape, w * k), np.float32) for w in (1, 2, 1, 1)]
         for t in range(ids.shape[1]):
-            if fresh[:, t].any():
+            if begins[t]:
                 state = state * ~fresh[:, t, None]
-            x, g = self.x[ids[:, t]], state @ self.h
+            x, g = added[t], state @ self.h
             gates = _sigmoid(x[:, : 2 * k] + g[:, : 2 * k])
             z, r = gates[:, :k], gates[:, k:]
             n = np.tanh(x[:, 2 * k :] + r * g[:, 2 * k :])
             if keep is not None:
-                keep.append((state, z, r, n, g[:, 2 * k :]))
+                for whole, part in zip(keep, (state, gates, n, g[:, 2 * k :]), strict=True):
+                    whole[t] = part
             state = n + z * (state - n)
             out[t] = state
         return out, state
 
     def losses(self, hidden: np.ndarray, classes: np.ndarray, members: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of targets from states; with grads, also the gradient of their negated sum."""
-        rows = np.arange(len(hidden))
-        logits = hidden @ self.c
-        logits += self.cb
+        """Natural log-probabilities of targets from states; with grads, also the gradient of their negated sum.
+
+        Rows are put in order of class once, with a column of ones, so that biases and sums are part of the products.
+        """
+        k, rows, order = hidden.shape[1], np.arange(len(hidden)), np.argsort(classes.astype(np.uint16), kind="stable")
+        classes, members, states = classes[order], members[order], np.ones((len(hidden), hidden.shape[1] + 1), np.float32)
+        states[:, :k] = hidden[order]
+        logits = states @ np.vstack((self.c, self.cb))
         if not self.tame:
             logits -= logits.max(axis=1, keepdims=True)
+        ones = np.ones(max(logits.shape[1], self.size.max()), np.float32)
         of = logits[rows, classes]
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        out = of - np.log(total)
+        total = logits @ ones[: logits.shape[1]]
+        got = of - np.log(total)
         back = None
         if grads is not None:
             logits /= total[:, None]
             logits[rows, classes] -= 1
-            grads["c"], grads["cb"] = hidden.T @ logits, logits.sum(axis=0)
-            back = logits @ self.c.T
-            grads["w"], grads["wb"] = {}, {}
-        order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(len(self.size) + 1))
-        for k in np.flatnonzero((np.diff(ends) > 0) & (self.size > 1)).tolist():
-            at = order[ends[k] : ends[k + 1]]
-            cols = slice(int(self.first[k]), int(self.first[k] + self.size[k]))
-            some = hidden[at]
-            own = some @ self.w[cols].T
-            own += self.wb[cols]
+            both = states.T @ logits
+            grads["c"], grads["cb"] = both[:k], both[k]
+            back, of_words = logits @ self.c.T, np.zeros((len(self.w), k + 1), np.float32)
+        ends = np.searchsorted(classes, np.arange(len(self.size) + 1))
+        words = np.hstack((self.w, self.wb[:, None]))
+        for c in np.flatnonzero((np.diff(ends) > 0) & (self.size > 1)).tolist():
+            at = slice(int(ends[c]), int(ends[c + 1]))
+            cols = slice(int(self.first[c]), int(self.first[c] + self.size[c]))
+            some = states[at]
+            own = some @ words[cols].T
             if not self.tame:
                 own -= own.max(axis=1, keepdims=True)
-            lane = np.arange(len(at))
-            of = own[lane, members[at]]
+            lane, member = rows[: len(some)], members[at]
+            of = own[lane, member]
             np.exp(own, out=own)
-            total = own.sum(axis=1)
-            out[at] += of - np.log(total)
+            total = own @ ones[: own.shape[1]]
+            got[at] += of - np.log(total)
             if grads is not None:
                 own /= total[:, None]
-                own[lane, members[at]] -= 1
-                grads["w"][k], grads["wb"][k] = own.T @ some, own.sum(axis=0)
+                own[lane, member] -= 1
+                of_words[cols] = own.T @ some
                 back[at] += own @ self.w[cols]
-        return out, back
+        out = np.empty_like(got)
+        out[order] = got
+        if grads is None:
+            return out, None
+        grads["w"], grads["wb"] = of_words[:, :k], of_words[:, k]
+        placed = np.empty_like(back)
+        placed[order] = back
+        return out, placed
 
 
 class Trainer:
@@ -148,7 +162,7 @@ class Trainer:
     def gradients(self, state: np.ndarray, ids: np.ndarray, fresh: np.ndarray, live: np.ndarray, classes: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
         """Of the window's summed negated log-likelihood, the entering state held fixed: (last state, gradients of what
         each input adds, by step and lane, of the recurrent weights, and of the output's as losses gives them)."""
-        m, k, keep = self.m, HIDDEN, []
+        m, k, keep = self.m.settle(), HIDDEN, []
         out, last = m.steps(state, ids, fresh, keep)
         lit = live.T.ravel()
         grads: dict = {}
@@ -156,36 +170,38 @@ class Trainer:
         full = np.zeros((out.shape[0] * out.shape[1], k), np.float32)
         full[lit] = back
         full = full.reshape(out.shape)
-        dx, dh = np.empty((*out.shape[:2], 3 * k), np.float32), np.zeros_like(m.h)
-        ahead = np.zeros_like(state)
+        before, gates, n, g = keep
+        z, r = gates[..., :k], gates[..., k:]
+        # what the loss's gradient is multiplied by for each gate, of all steps at once
+        stay = 1 - z
+        to_n, to_z, to_r = stay * (1 - n * n), (before - n) * z * stay, g * r * (1 - r)
+        dx, inner = np.empty((*out.shape[:2], 3 * k), np.float32), np.empty((*out.shape[:2], 3 * k), np.float32)
+        ahead, begins, back_h = np.zeros_like(state), fresh.any(axis=0), m.h.T
         for t in range(ids.shape[1] - 1, -1, -1):
-            before, z, r, n, g = keep[t]
-            d = full[t] + ahead
-            dn = d * (1 - z) * (1 - n * n)
-            dz, dr = d * (before - n) * z * (1 - z), dn * g * r * (1 - r)
-            dx[t, :, :k], dx[t, :, k : 2 * k], dx[t, :, 2 * k :] = dz, dr, dn
-            inner = np.concatenate((dz, dr, dn * r), axis=1)
-            dh += before.T @ inner
-            ahead = d * z + inner @ m.h.T
-            if fresh[:, t].any():
+            d, row = full[t] + ahead, inner[t]
+            dn = np.multiply(d, to_n[t], out=dx[t, :, 2 * k :])
+            np.multiply(d, to_z[t], out=row[:, :k])
+            np.multiply(dn, to_r[t], out=row[:, k : 2 * k])
+            np.multiply(dn, r[t], out=row[:, 2 * k :])
+            ahead = row @ back_h
+            ahead += d * z[t]
+            if begins[t]:
                 ahead *= ~fresh[:, t, None]
-        return last, dx, dh, grads
+        dx[..., : 2 * k] = inner[..., : 2 * k]
+        return last, dx, before.reshape(-1, k).T @ inner.reshape(-1, 3 * k), grads
 
     def window(self, state: np.ndarray, ids: np.ndarray, fresh: np.ndarray, live: np.ndarray, classes: np.ndarray, members: np.ndarray) -> np.ndarray:
         last, dx, dh, grads = self.gradients(state, ids, fresh, live, classes, members)
-        m, k, scale = self.m, HIDDEN, np.float32(1 / max(1, live.sum()))
+        k, scale = HIDDEN, np.float32(1 / max(1, live.sum()))
         clip = lambda g: np.clip(g * scale, -0.1, 0.1)
         flat = ids.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        used, starts = np.unique(flat[order], return_index=True)
-        self._step("x", used, clip(np.add.reduceat(dx.reshape(-1, 3 * k)[order], starts, axis=0)))
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        flat = flat[order]
+        starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        self._step("x", flat[starts], clip(np.add.reduceat(dx.reshape(-1, 3 * k)[order], starts, axis=0)))
         self._step("h", slice(None), clip(dh))
-        self._step("c", slice(None), clip(grads["c"]))
-        self._step("cb", slice(None), clip(grads["cb"]))
-        for c, g in grads["w"].items():
-            at = slice(int(m.first[c]), int(m.first[c] + m.size[c]))
-            self._step("w", at, clip(g))
-            self._step("wb", at, clip(grads["wb"][c]))
+        for name in ("c", "cb", "w", "wb"):  # words of classes that the window hasn't have no gradient and stay
+            self._step(name, slice(None), clip(grads[name]))
         return last
 
 

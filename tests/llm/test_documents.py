@@ -560,6 +560,20 @@ def test_backpropagation_through_time_matches_differences():
             assert abs((ends[0] - ends[1]) / 0.04 - got.reshape(-1)[i]) < 5e-3 + 5e-3 * abs(got.reshape(-1)[i]), (name, i)
 
 
+def test_a_training_window_steps_each_table_once(monkeypatch):
+    from memoryloom.llm.gru import Trainer
+
+    model, class_of, member_of = small_model(3)
+    stepped, step, trainer = [], Trainer._step, Trainer(model)
+    monkeypatch.setattr(Trainer, "_step", lambda self, name, *a: stepped.append(name) or step(self, name, *a))
+    ids = np.zeros((3, 8), int)
+    trainer.window(np.zeros((3, model.h.shape[0]), np.float32), ids, np.zeros((3, 8), bool), np.ones((3, 8), bool), class_of[ids], member_of[ids])
+    assert sorted(stepped) == sorted(Gru.NAMES)
+    of = class_of[0]
+    others = [i for i in range(len(model.w)) if not model.first[of] <= i < model.first[of] + model.size[of]]
+    assert (trainer.m.w[others] == model.w[others]).all() and (trainer.m.wb[others] == model.wb[others]).all()
+
+
 def test_language_model_does_not_follow_file_layout(spark):
     rng = __import__("random").Random(10)
     rows = [(i, sentence(rng, 40)) for i in range(60)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import bm25
 from .sources import store as stores
-from .sources.checkpoints import shared_folder
+from .sources.checkpoints import shared_folder, staged
 
 #: Commits that the changes are dealt to, by change_id.
 COMMITS = 3
@@ -31,7 +31,7 @@ def versions(spark: SparkSession, sf: str) -> DataFrame:
 def changed_store(spark: SparkSession, sf: str) -> stores.Store:
     """A store that has taken the versions in COMMITS commits, later ones before earlier ones, one of them twice."""
     store = stores.Store(spark, f"{shared_folder(spark)}/memoryloom-{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}")
-    rows = versions(spark, sf)
+    rows = staged(versions(spark, sf), "changes")
     for k in (*range(COMMITS - 1, -1, -1), 1):
         store.write_memories(rows.filter(F.pmod("change_id", F.lit(COMMITS)) == k))
     return store

@@ -61,6 +61,39 @@ def test_stored_index_follows_upserts(spark, tmp_path):
     assert store.snapshot(1).memories().count() <= 12  # older versions stay readable
 
 
+def test_a_write_costs_what_it_changes(spark, tmp_path, monkeypatch):
+    """Replays write no tables, versions that come late no index rows, and no log of keys is broadcast, however small its files are."""
+    store, plans, write = Store(spark, str(tmp_path / "s")), [], Change.write
+
+    def watched(self, name, rows):
+        if name == "memories":
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(self, name, rows)
+
+    monkeypatch.setattr(Change, "write", watched)
+    row = lambda i, version, text="term1 the": ("u", i, text, version, False, "event", "2024-01-01")
+    store.write_memories(versions(spark, [row("a", 3), row("b", 1), row("a", 2)]))
+    first = store.snapshot()
+    store.write_memories(versions(spark, [row("b", 1), row("a", 2)]))
+    assert store.snapshot().folders == first.folders
+    store.write_memories(versions(spark, [row("a", 1, "late words"), row("b", 2, "term2"), row("c", 1)]))
+    now = store.snapshot()
+    assert sorted((r["id"], r["sign"]) for r in now.log("index_docs").collect()) == [("a", 1), ("b", -1), ("b", 1), ("b", 1), ("c", 1)]
+    assert now.log("memories").count() == 6 and {(r["id"], r["version"], r["content"]) for r in now.memories().collect()} == {("a", 3, "term1 the"), ("b", 2, "term2"), ("c", 1, "term1 the")}
+    joins = [[x for x in p.splitlines() if "LeftAnti" in x] for p in plans]
+    assert [len(x) for x in joins] == [0, 1, 1] and all("SortMergeJoin" in x[0] for x in joins[1:])
+
+
+def test_the_changes_are_worked_out_once(spark, tmp_path, monkeypatch):
+    """All commits of a store read one staged table of versions, not the changes themselves."""
+    from memoryloom import store_queries
+
+    read, write = [], Store.write_memories
+    monkeypatch.setattr(Store, "write_memories", lambda self, rows: read.append(rows.inputFiles()) or write(self, rows))
+    store_queries.changed_store(spark, "/root/testdata/sf0.001")
+    assert len(read) == store_queries.COMMITS + 1 and not any("client_changes" in f for files in read for f in files)
+
+
 def test_a_search_of_the_store_reads_no_text_to_rank(spark, tmp_path):
     rng, store = random.Random(3), Store(spark, str(tmp_path / "s"))
     rows = [("u", f"n{i:03}", words(rng), 1, False, rng.choice(["event", "record"]), f"2024-{1 + i % 12:02}-01") for i in range(150)]

@@ -480,6 +480,18 @@ def test_scores_that_differ_by_rounding_tie(spark, monkeypatch):
         assert [r["id"] for r in found.collect()] == ["a"]
 
 
+def test_utilities_are_ordered_by_all_digits(spark):
+    # 0.35 * 3/14 + 0.25 * 1/10 is more than 0.35 * 4/14 by the last digit, as in the SQL; the score would say otherwise
+    words = [f"w{i:02d}" for i in range(14)]
+    card_ = lambda action, risk: (action, "", risk, "", "")
+    fill = lambda own, n, tag: " ".join([*own, *(f"{tag}{i:02d}" for i in range(n - len(own)))])
+    rows = [("q", " ".join(words), "a", "", card_(fill(words[:3], 20, "x"), fill(words[:1], 10, "y")), 1.0, 2), ("q", " ".join(words), "b", "", card_(fill(words[:4], 20, "x"), fill([], 10, "y")), 2.0, 1)]
+    found = spark.createDataFrame(rows, "query_id string, query string, id string, content string, card struct<action_hint:string,gist:string,failure_if_ignored:string,trigger:string,scope:string>, score double, rank int")
+    found = found.withColumns({"created_at": F.lit("2025-01-16").cast("timestamp"), "memory_type": F.lit("event"), "weights": F.lit(None).cast("map<string,double>")})
+    best = rank.rerank(found, F.lit("2025-03-01").cast("timestamp")).orderBy("final_rank").collect()
+    assert best[0]["utility"] > best[1]["utility"] and best[0]["utility"] - best[1]["utility"] < 1e-12 and [r["id"] for r in best] == ["a", "b"]
+
+
 def test_fold_splits_a_text_once(monkeypatch):
     text_ = "fooBar foo_bar fooBar a bar HTTPServer foo_bar 的的"
     assert list(revise.term_counts(text_).items()) == list(Counter(revise.tokens(text_)).items())

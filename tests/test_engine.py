@@ -309,6 +309,27 @@ def test_fold_equals_one_that_looks_at_all_notes(seed, width):
             assert got == plain.fold(stored, rows, asked, p)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fold_holds_few_notes_in_memory_and_decides_the_same(seed, monkeypatch):
+    for name, value in {"POSTINGS_HELD": 40, "FILES_MERGED": 2 + seed % 2, "MERGED_AT_ONCE": 16, "POSTINGS_AT_ONCE": 8}.items():
+        monkeypatch.setattr(revise, name, value)
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}x" for i in range(30)] + ["the"] * 10
+    judge = lambda a, b: (["supports", "contradicts", "unrelated", "duplicate", "refines"][(len(a) * 7 + len(b)) % 5], {})
+    for p in (DEFAULT, Params(dedup_neighbor_cap=15)):
+        for asked in (judge, None):
+            stored = [dict(stored=True, user_id="u", memory_type="record", id=f"s{i:02}", content=" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))), embedding=None, card={**CARD, "gist": "g"}, version=1) for i in range(8)]
+            rows = fold_rows([" ".join(rng.choices(vocabulary, k=rng.randint(0, 12))) for _ in range(240)])
+            for i, r in enumerate(rows):
+                r |= {"request_id": f"r{i // 60}"}
+            one_, got, most = revise.Fold(p, asked), [], 0
+            for r in [*stored, *rows]:
+                got += [(o["action"], o["id"], o.get("candidate_id"), o["version"], o["content"]) for o in one_.row(dict(r))]
+                most = max(most, sum(len(x[0]) // 2 for x in one_.notes.postings.values()), len(one_.notes.notes.near))
+            assert got == plain.fold(stored, rows, asked, p) and most <= 52
+            assert asked or one_.notes.files and len(one_.notes.files) < 12
+
+
 def test_profiles_gather_the_pairs_of_all_stored_profiles(spark):
     from memoryloom.schema import CARD as TYPE
 
